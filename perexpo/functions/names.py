@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perexpo.functions.cleaning import as_col
@@ -52,9 +52,17 @@ def expand_avenue(c: Column | str) -> Column:
     return expand_suffix(c, *AVENUE)
 
 
-def site_key(c: Column | str) -> Column:
-    """Comparable form of a site name: base name, streets, then avenues spelled out."""
-    return expand_avenue(expand_street(base_name(c)))
+def with_site_key(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Comparable form of a site name: base name, streets, then avenues spelled out.
+
+    One projection per step: each step uses its input several times, and as one nested
+    expression the text of the plan would grow with the product.
+    """
+    return (
+        df.withColumn(out, base_name(name))
+        .withColumn(out, expand_street(out))
+        .withColumn(out, expand_avenue(out))
+    )
 
 
 def expand_abbrev(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from perexpo.functions.bins import DISTANCE_BINS, Bins, bin_by, bin_ordinal
 from perexpo.functions.geometry import scaled, unscaled
-from perexpo.functions.names import ADMIN_PATTERN, expand_abbrev, is_admin, site_key
+from perexpo.functions.names import ADMIN_PATTERN, expand_abbrev, is_admin, with_site_key
 from perexpo.operators.nearest import best_per_key, nearest
 
 CLUSTER_KEY = ("name", "lat_e5", "lon_e5")
@@ -47,14 +47,14 @@ def site_lookup(sites: DataFrame) -> DataFrame:
     return sites.groupBy("site_id").agg(F.min("site_name").alias("site_name"))
 
 
-def match_coverage(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column, name: str = "name") -> DataFrame:
+def match_coverage(left: DataFrame, left_key: Column, right: DataFrame, right_key: str, name: str = "name") -> DataFrame:
     """How many distinct left names have an equal normalised name on the right.
 
     Both sides are reduced to distinct keys first and met by a semi join, so neither the
     number of facts per name nor repeated names multiply rows.
     """
     names = left.select(name).distinct()
-    keys = right.select(right_key.alias("_key")).distinct()
+    keys = right.select(F.col(right_key).alias("_key")).distinct()
     hit = names.withColumn("_key", left_key).join(keys, "_key", "left_semi")
     return hit.agg(F.count(name).alias("matched_names"))
 
@@ -67,7 +67,7 @@ def candidates(clusters: DataFrame, sites: DataFrame) -> DataFrame:
         unscaled("lon_e5").alias("lon"),
         expand_abbrev("name").alias("name_key"),
     )
-    keyed = sites.select("*", site_key("site_name").alias("site_key"))
+    keyed = with_site_key(sites, "site_name", "site_key")
     return nearest(points, keyed, keep=("site_name", "site_key")).select(
         *CLUSTER_KEY, "incidents", "name_key", "site_id", "site_name", "site_key", "distance_miles"
     )

@@ -1,11 +1,13 @@
 """Nearest site of every point, exact, without pairing all points with all sites.
 
-Sites are indexed by a pyramid of grid cells: the extent is halved three times per level
-in each direction, so a cell has at most 64 children, and every cell knows the tight
-bounding box of its sites and one of its sites. A point walks down the pyramid. At each
-level it keeps the child cells whose box is not farther away than the closest site it has
-already seen, and joins only those with the next level. What is left at the bottom are a
-few cells of a few sites each, and the smallest (distance, site id) wins.
+Sites are indexed by a pyramid of grid cells: each level halves a cell three times in
+each direction, so it has at most 64 children, and every cell knows the tight bounding
+box of its sites. A point walks down the pyramid, starting at the finest level that still
+has no more than 64 cells. At each level it keeps the child cells whose box is not farther
+away than a site it is sure of (every side of a tight box touches one), and joins only
+those with the next level. What is left at the bottom are a few cells of a few sites
+each, and the smallest (distance, site id) wins. Boxes come from the sites, not from the
+grid, so the grid affects speed only, never the result.
 
 Each step is an equi-join on a cell number against a table with one row per cell, so a
 cell that attracts a third of the points is an ordinary skewed join key with a single
@@ -25,8 +27,9 @@ from perexpo.functions.geometry import haversine_miles, planar_d2
 from perexpo.sources.tables import materialize
 
 _BITS = 3
-_MAX_DEPTH = 8
-_SIDE = 1 << (_BITS * _MAX_DEPTH)
+_DEPTH = 10
+_SIDE = float(1 << (_BITS * _DEPTH))
+_MAX_CHILDREN = 1 << (2 * _BITS)
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -45,40 +48,58 @@ def _has_point(lat: Column, lon: Column) -> Column:
     return lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
 
 
+def _step(fraction: Column) -> Column:
+    """Grid line below a coordinate; what lies outside the grid goes to its border."""
+    inner = F.least(F.greatest(fraction * _SIDE, F.lit(0.0)), F.lit(_SIDE - 1))
+    return inner.cast("bigint")
+
+
 def _cell(level: int) -> Column:
-    shift = _BITS * (_MAX_DEPTH - level)
-    return F.shiftright("gx", shift) * F.lit(_SIDE) + F.shiftright("gy", shift)
-
-
-def _children(grid: DataFrame, level: int) -> DataFrame:
-    """One row per non-empty cell of the level above, with its (at most 64) child cells."""
-    cells = grid.groupBy(_cell(level - 1).alias("parent"), _cell(level).alias("cell")).agg(
-        F.min("site_lat").alias("lat_lo"),
-        F.max("site_lat").alias("lat_hi"),
-        F.min("site_lon").alias("lon_lo"),
-        F.max("site_lon").alias("lon_hi"),
-        F.min(F.struct("site_lat", "site_lon")).alias("some"),
+    shift = _BITS * (_DEPTH - level)
+    return F.shiftright("gx", shift) * F.lit(1 << (_BITS * _DEPTH + 1)) + F.shiftright("gy", shift)
+
+
+def _boxes(grid: DataFrame, level: int, *keys: Column) -> DataFrame:
+    """Non-empty cells of a level, each with the tight bounding box of its sites."""
+    return grid.groupBy(*keys, _cell(level).alias("cell")).agg(
+        F.struct(
+            F.min("site_lat").alias("lat_lo"),
+            F.max("site_lat").alias("lat_hi"),
+            F.min("site_lon").alias("lon_lo"),
+            F.max("site_lon").alias("lon_hi"),
+        ).alias("box")
     )
-    child = F.struct("cell", "lat_lo", "lat_hi", "lon_lo", "lon_hi", "some")
-    return cells.groupBy("parent").agg(F.collect_list(child).alias("kids"))
 
 
 def _descend(cand: DataFrame, carried: Sequence[str], lat: Column, lon: Column) -> DataFrame:
     """Replace the ``kids`` of a candidate by the child cells that can still win."""
 
+    def gaps(lo: Column, hi: Column, v: Column) -> tuple[Column, Column, Column]:
+        """Distance to the interval, to its nearer end and to its farther end."""
+        a, b = F.abs(v - lo), F.abs(v - hi)
+        return F.when(v.between(lo, hi), 0.0).otherwise(F.least(a, b)), F.least(a, b), F.greatest(a, b)
+
     def lower(k: Column) -> Column:
-        dy = F.greatest(k["lat_lo"] - lat, lat - k["lat_hi"], F.lit(0.0))
-        dx = F.greatest(k["lon_lo"] - lon, lon - k["lon_hi"], F.lit(0.0))
+        """No site of the cell is closer than its box."""
+        dy, _, _ = gaps(k["box"]["lat_lo"], k["box"]["lat_hi"], lat)
+        dx, _, _ = gaps(k["box"]["lon_lo"], k["box"]["lon_hi"], lon)
         return dy * dy + dx * dx
 
     def upper(k: Column) -> Column:
-        return planar_d2(lat, lon, k["some"]["site_lat"], k["some"]["site_lon"])
+        """Some site is at least this close: every side of the box touches one."""
+        _, y_near, y_far = gaps(k["box"]["lat_lo"], k["box"]["lat_hi"], lat)
+        _, x_near, x_far = gaps(k["box"]["lon_lo"], k["box"]["lon_hi"], lon)
+        return F.least(y_near * y_near + x_far * x_far, y_far * y_far + x_near * x_near)
 
-    bounded = cand.withColumn("bound", F.least("bound", F.array_min(F.transform("kids", upper))))
-    kept = bounded.withColumn("kids", F.filter("kids", lambda k: lower(k) <= F.col("bound")))
-    return kept.select(
-        *carried, "bound", F.explode_outer(F.transform("kids", lambda k: k["cell"])).alias("cell")
-    )
+    def keep(bound: Column) -> Column:
+        near = F.filter("kids", lambda k: lower(k) <= bound)
+        return F.transform(near, lambda k: F.struct(k["cell"].alias("cell"), bound.alias("bound")))
+
+    # The bound goes through a one-element array so that it is computed once per row, not
+    # once for every cell it is compared with.
+    bound = F.least("bound", F.array_min(F.transform("kids", upper)))
+    kept = F.flatten(F.transform(F.array(bound), keep))
+    return cand.select(*carried, F.explode_outer(kept).alias("_k")).select(*carried, "_k.cell", "_k.bound")
 
 
 def nearest(
@@ -98,62 +119,50 @@ def nearest(
     point_cols = points.columns
     # The site list is usually distilled from a large fact table: write it once. Of sites
     # at the same place only the smallest id can win.
-    unique = materialize(
+    grid = materialize(
         sites.where(_has_point(lat, lon))
         .groupBy(lat.alias("site_lat"), lon.alias("site_lon"))
-        .agg(F.min(F.struct("site_id", *keep)).alias("site")),
+        .agg(F.min(F.struct("site_id", *keep)).alias("site"))
+        .withColumn("gx", _step((F.col("site_lon") + 180) / 360))
+        .withColumn("gy", _step((F.col("site_lat") + 90) / 360)),
         "sites",
     )
-    extent = unique.agg(
-        F.min("site_lat").alias("lat0"),
-        F.max("site_lat").alias("lat1"),
-        F.min("site_lon").alias("lon0"),
-        F.max("site_lon").alias("lon1"),
-    ).first()
-
-    def grid_step(c: str, lo: float | None, hi: float | None) -> Column:
-        lo, hi = (0.0, 1.0) if lo is None or hi is None else (lo, hi)
-        span = (hi - lo) or 1.0
-        return F.least(F.floor((F.col(c) - lo) / span * _SIDE), F.lit(_SIDE - 1)).cast("bigint")
-
-    grid = unique.select(
-        "*",
-        grid_step("site_lon", extent["lon0"], extent["lon1"]).alias("gx"),
-        grid_step("site_lat", extent["lat0"], extent["lat1"]).alias("gy"),
-    )
-    levels = range(1, _MAX_DEPTH + 1)
-    densest = (
-        grid.select(F.posexplode(F.array(*[_cell(level) for level in levels])).alias("pos", "cell"))
-        .groupBy("pos", "cell")
+    # Cells and densest cell per level: eleven rows, whatever the number of sites.
+    occupancy = {
+        r["level"]: r
+        for r in grid.select(F.posexplode(F.array(*[_cell(i) for i in range(_DEPTH + 1)])).alias("level", "cell"))
+        .groupBy("level", "cell")
         .count()
-        .groupBy("pos")
-        .agg(F.max("count").alias("n"))
+        .groupBy("level")
+        .agg(F.count("*").alias("cells"), F.max("count").alias("densest"))
         .collect()
-    )
-    fitting = [row["pos"] + 1 for row in densest if row["n"] <= leaf_size]
-    depth = min(fitting, default=_MAX_DEPTH if densest else 1)
+    }
+    top = max((i for i, r in occupancy.items() if r["cells"] <= _MAX_CHILDREN), default=0)
+    depth = min((i for i, r in occupancy.items() if i >= top and r["densest"] <= leaf_size), default=_DEPTH if occupancy else top)
 
-    root = _children(grid, 1).select("kids")
+    child = F.struct("cell", "box")
+    root = _boxes(grid, top).agg(F.collect_list(child).alias("kids"))
     cand = points.select(
         *point_cols,
         F.lit(float("inf")).alias("bound"),
         F.when(_has_point(lat, lon), root.scalar()).alias("kids"),
     )
     cand = _descend(cand, point_cols, lat, lon)
-    for level in range(2, depth + 1):
-        kids = _children(grid, level).withColumnRenamed("parent", "cell")
+    for level in range(top + 1, depth + 1):
+        kids = (
+            _boxes(grid, level, _cell(level - 1).alias("parent"))
+            .groupBy(F.col("parent").alias("cell"))
+            .agg(F.collect_list(child).alias("kids"))
+        )
         cand = _descend(cand.join(kids, "cell", "left"), point_cols, lat, lon)
 
     leaf = grid.select(_cell(depth).alias("cell"), "site", "site_lat", "site_lon")
     d2 = planar_d2(lat, lon, F.col("site_lat"), F.col("site_lon"))
+    hit = F.struct(d2.alias("d2"), "site", "site_lat", "site_lon")
     best = (
         cand.join(leaf, "cell", "left")
-        .select(
-            *point_cols,
-            F.when(F.col("site").isNotNull(), F.struct(d2.alias("d2"), "site", "site_lat", "site_lon")).alias("hit"),
-        )
         .groupBy(*point_cols)
-        .agg(F.min("hit").alias("hit"))
+        .agg(F.min(F.when(F.col("site").isNotNull(), hit)).alias("hit"))
     )
     return best.select(
         *point_cols,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from perexpo.operators.rates import top_k
 from perexpo.sources.tables import materialize
 
 _CUTS = 256
+_BLOCK = 16
 _SALTS = 64
 
 
@@ -19,56 +20,89 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("pearson"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
 
 
-def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, outs: Mapping[str, str]) -> DataFrame:
     """Rank of each value, ties sharing the average of their ranks; NULL has none.
 
-    A ranking window over everything would sort the whole table in one task. Values are
-    cut into ranges at sketched quantiles instead. The rank is what lies in the ranges
-    below plus the rank inside the range. Every cut point is a range of its own, so a
-    value that holds a large share of the rows is always such a point: its rank follows
-    from the counts alone, its rows need no common sort and are spread over salts.
+    ``outs`` maps each column to the name of its rank. A ranking window over everything
+    would sort the whole table in one task. Values are cut into ranges at sketched
+    quantiles instead, and the rank is what lies in the ranges below plus the rank inside
+    the range. Every cut point is a range of its own, so a value that holds a large share
+    of the rows is always such a point: its rank follows from the counts alone, its rows
+    need no common sort and are spread over salts.
 
-    The cut points and the range counts (about 500 numbers at most) are read by the
-    driver once, so all uses agree on them. ``df`` is read three times: materialise it
+    The cut points and the range counts (about 500 numbers per column at most) are read by
+    the driver once, so all uses agree on them. ``df`` is read three times: materialise it
     first when it is expensive. The salt is a hash of the row, so a repeated task sends
     every row to the same place again; give rows an id where they may be identical.
     """
-    v = F.col(col)
     steps = [i / _CUTS for i in range(1, _CUTS)]
-    found = df.agg(F.percentile_approx(v, steps, 10_000).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(found or []))
+    found = df.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in outs]).first()
+    cuts = {c: sorted(set(found[c] or [])) for c in outs}
+    ranged = df
+    for c in outs:
+        ranged = _with_range(ranged, c, cuts[c])
+
+    tagged = [F.struct(F.lit(c).alias("col"), F.col(_range(c)).alias("range")) for c in outs]
+    counts = {
+        (r["col"], r["range"]): r["count"]
+        for r in ranged.select(F.explode(F.array(*tagged)).alias("t"))
+        .groupBy("t.col", "t.range")
+        .count()
+        .collect()
+    }
+    for c, out in outs.items():
+        sizes = [counts.get((c, i), 0) for i in range(2 * len(cuts[c]) + 1)]
+        ranged = _rank_in_range(ranged, df.columns, c, out, sizes)
+    return ranged.drop(*[_range(c) for c in outs])
+
+
+def _range(col: str) -> str:
+    return f"_range_{col}"
+
+
+def _with_range(df: DataFrame, col: str, cuts: list) -> DataFrame:
+    """Number of the range: odd for a value equal to a cut point, even between two.
+
+    The position among the cut points is found in two steps of at most 16 comparisons.
+    """
+    v = F.col(col)
     if not cuts:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    points = F.lit(cuts)
-    below = F.size(F.filter(points, lambda c: c < v))
-    on_cut = F.array_contains(points, v)
-    spot = F.when(v.isNotNull(), below * 2 + F.when(on_cut, 1).otherwise(0))
-
-    ranged = df.withColumn("_range", spot)
-    counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    before, offsets, sizes = 0, [], []
-    for i in range(2 * len(cuts) + 1):
-        offsets.append(before)
-        sizes.append(counts.get(i, 0))
-        before += sizes[-1]
-
-    single = F.col("_range") % 2 == 1
-    spread = F.when(single | v.isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS))).otherwise(0)
-    w = Window.partitionBy("_range", "_salt").orderBy(v)
+        return df.withColumn(_range(col), F.lit(None).cast("int"))
+    blocks = [cuts[i : i + _BLOCK] for i in range(0, len(cuts), _BLOCK)]
+    starts = F.lit([block[0] for block in blocks])
+    return (
+        df.withColumn("_block", F.greatest(F.size(F.filter(starts, lambda c: c <= v)) - 1, F.lit(0)))
+        .withColumn("_in_block", F.get(F.array(*[F.lit(block) for block in blocks]), F.col("_block")))
+        .withColumn("_upto", F.col("_block") * _BLOCK + F.size(F.filter("_in_block", lambda c: c <= v)))
+        .withColumn(
+            _range(col),
+            F.when(v.isNotNull(), F.col("_upto") * 2 - (F.get(F.lit(cuts), F.col("_upto") - 1).eqNullSafe(v)).cast("int")),
+        )
+        .drop("_block", "_in_block", "_upto")
+    )
+
+
+def _rank_in_range(df: DataFrame, row: Sequence[str], col: str, out: str, sizes: list[int]) -> DataFrame:
+    v, at = F.col(col), F.col(_range(col))
+    single = at % 2 == 1
+    spread = F.when(single | v.isNull(), F.pmod(F.xxhash64(*row), F.lit(_SALTS))).otherwise(0)
+    w = Window.partitionBy(_range(col), "_salt").orderBy(v)
     peers = F.count("*").over(w.rangeBetween(0, 0))
-    start = F.get(F.lit(offsets), F.col("_range"))
-    size = F.get(F.lit(sizes), F.col("_range"))
-    rank = F.when(single, start + (size + 1) / 2).when(
+    start = F.get(F.lit([sum(sizes[:i]) for i in range(len(sizes))]), at)
+    rank = F.when(single, start + (F.get(F.lit(sizes), at) + 1) / 2).when(
         v.isNotNull(), start + F.rank().over(w) + (peers - 1) / 2
     )
-    return ranged.withColumn("_salt", spread).withColumn(out, rank.cast("double")).drop("_range", "_salt")
+    return df.withColumn("_salt", spread).withColumn(out, rank.cast("double")).drop("_salt")
+
+
+def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
+    return average_ranks(df, {col: out})
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation over the rows where both are known."""
     known = df.select(x, y).dropna().withColumn("_row", F.monotonically_increasing_id())
-    pairs = materialize(known, "rank-pairs")
-    ranked = average_rank(average_rank(pairs, x, "_rx"), y, "_ry")
+    ranked = average_ranks(materialize(known, "rank-pairs"), {x: "_rx", y: "_ry"})
     return ranked.agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 

@@ -25,9 +25,8 @@ def zone_edges(zones: DataFrame) -> DataFrame:
     return edges.select("zone_id", "edge_no", "e.x1", "e.y1", "e.x2", "e.y2")
 
 
-def _cell(c: Column | str, level: Column | int) -> Column:
-    size = F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
-    return F.floor(as_col(c) / size).cast("bigint")
+def _cell(c: Column | str, level: Column) -> Column:
+    return F.floor(as_col(c) / F.pow(F.lit(2.0), level)).cast("bigint")
 
 
 def _cover(zones: DataFrame) -> DataFrame:
@@ -54,22 +53,13 @@ def pip_join(points: DataFrame, zones: DataFrame, how: str = "left") -> DataFram
     zones comes back once for each.
     """
     cover = _cover(zones)
-    # One number per power of two between the smallest and the largest zone.
-    levels = sorted(r["level"] for r in cover.select("level").distinct().collect())
     x, y = F.col("lon"), F.col("lat")
-    if levels:
-        probes = F.array(
-            *[
-                F.struct(F.lit(n).alias("level"), _cell(x, n).alias("cx"), _cell(y, n).alias("cy"))
-                for n in levels
-            ]
-        )
-    else:
-        probes = F.expr("cast(array() AS array<struct<level:int,cx:bigint,cy:bigint>>)")
-    probe = points.select("site_id", "lat", "lon", F.explode(probes).alias("p")).select(
-        "site_id", "lat", "lon", "p.level", "p.cx", "p.cy"
-    )
+    # One number per power of two between the smallest and the largest zone.
+    levels = cover.agg(F.collect_set("level").alias("levels")).scalar()
     level = F.col("level")
+    probe = points.select("site_id", "lat", "lon", F.explode(levels).alias("level")).select(
+        "*", _cell(x, level).alias("cx"), _cell(y, level).alias("cy")
+    )
     cells = (
         cover.withColumn("cx", F.explode(F.sequence(_cell("x_lo", level), _cell("x_hi", level))))
         .withColumn("cy", F.explode(F.sequence(_cell("y_lo", level), _cell("y_hi", level))))

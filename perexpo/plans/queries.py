@@ -47,10 +47,15 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 # ---- shared stages -----------------------------------------------------------------
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
     clusters = matching.coord_clusters(inputs.incidents(spark, d))
     sites = matching.site_dim(inputs.exposure_raw(spark, d))
-    return tables.materialize(matching.candidates(clusters, sites), "candidates")
+    return matching.candidates(clusters, sites)
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates for queries that read them several times: written once."""
+    return tables.materialize(_nearest(spark, d), "candidates")
 
 
 def decisions(cand: DataFrame) -> DataFrame:
@@ -391,7 +396,7 @@ def expand_street(spark, d):
 
 @register
 def expand_avenue(spark, d):
-    return _site_names(spark, d).select("site_id", names.site_key("site_name").alias("site_key"))
+    return names.with_site_key(_site_names(spark, d), "site_name", "site_key").select("site_id", "site_key")
 
 
 @register
@@ -402,24 +407,21 @@ def expand_abbrev(spark, d):
 
 @register
 def name_match_naive(spark, d):
-    return matching.match_coverage(
-        inputs.incidents(spark, d), F.col("name"), _site_names(spark, d), names.base_name("site_name")
-    )
+    base = _site_names(spark, d).withColumn("base_name", names.base_name("site_name"))
+    return matching.match_coverage(inputs.incidents(spark, d), F.col("name"), base, "base_name")
 
 
 @register
 def name_match_normalised(spark, d):
+    keyed = names.with_site_key(_site_names(spark, d), "site_name", "site_key")
     return matching.match_coverage(
-        inputs.incidents(spark, d),
-        names.expand_abbrev("name"),
-        _site_names(spark, d),
-        names.site_key("site_name"),
+        inputs.incidents(spark, d), names.expand_abbrev("name"), keyed, "site_key"
     )
 
 
 @register
 def name_match_summary(spark, d):
-    return matching.name_match_summary(_candidates(spark, d))
+    return matching.name_match_summary(_nearest(spark, d))
 
 
 @register
@@ -462,7 +464,7 @@ def period_of_hour(spark, d):
 
 @register
 def bin_distance(spark, d):
-    return _candidates(spark, d).select(
+    return _nearest(spark, d).select(
         *matching.CLUSTER_KEY,
         bins.bin_by("distance_miles", bins.DISTANCE_BINS).alias("distance_range"),
         bins.bin_ordinal("distance_miles", bins.DISTANCE_BINS).alias("bin_ordinal"),
@@ -499,17 +501,17 @@ def coord_clusters(spark, d):
 
 @register
 def nearest_site(spark, d):
-    return rounded(_candidates(spark, d), "distance_miles")
+    return rounded(_nearest(spark, d), "distance_miles")
 
 
 @register
 def distance_histogram(spark, d):
-    return matching.distance_histogram(_candidates(spark, d))
+    return matching.distance_histogram(_nearest(spark, d))
 
 
 @register
 def distance_histogram_low_volume(spark, d):
-    rare = matching.low_volume(_candidates(spark, d), REVIEW_MIN)
+    rare = matching.low_volume(_nearest(spark, d), REVIEW_MIN)
     return matching.distance_histogram(rare, bins.DISTANCE_BINS_SHORT)
 
 
@@ -564,7 +566,7 @@ def average_rank_quantity(spark, d):
 
 @register
 def review_queue(spark, d):
-    return rounded(_queue(_candidates(spark, d)), "distance_miles")
+    return rounded(_queue(_nearest(spark, d)), "distance_miles")
 
 
 @register
