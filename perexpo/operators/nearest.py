@@ -1,8 +1,8 @@
 """Nearest site of every point, exact, without pairing all points with all sites.
 
-Sites are indexed by a pyramid of grid cells: each level halves a cell three times in
-each direction, so it has at most 64 children, and every cell knows the tight bounding
-box of its sites. A point walks down the pyramid, starting at the finest level that still
+Sites are indexed by a pyramid of grid cells: each level halves a cell twice in each
+direction, so it has at most 16 children, and every cell knows the tight bounding box of
+its sites. A point walks down the pyramid, starting at the finest level that still
 has no more than 64 cells. At each level it keeps the child cells whose box is not farther
 away than a site it is sure of (every side of a tight box touches one), and joins only
 those with the next level. What is left at the bottom are a few cells of a few sites
@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from perexpo.functions.geometry import haversine_miles, planar_d2
 from perexpo.sources.tables import materialize
 
-_BITS = 3
-_DEPTH = 10
+_BITS = 2
+_DEPTH = 15
 _SIDE = float(1 << (_BITS * _DEPTH))
-_MAX_CHILDREN = 1 << (2 * _BITS)
+_MAX_ROOT = 64
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -62,34 +62,33 @@ def _cell(level: int) -> Column:
 def _boxes(grid: DataFrame, level: int, *keys: Column) -> DataFrame:
     """Non-empty cells of a level, each with the tight bounding box of its sites."""
     return grid.groupBy(*keys, _cell(level).alias("cell")).agg(
-        F.struct(
-            F.min("site_lat").alias("lat_lo"),
-            F.max("site_lat").alias("lat_hi"),
-            F.min("site_lon").alias("lon_lo"),
-            F.max("site_lon").alias("lon_hi"),
-        ).alias("box")
+        F.min("site_lat").alias("lat_lo"),
+        F.max("site_lat").alias("lat_hi"),
+        F.min("site_lon").alias("lon_lo"),
+        F.max("site_lon").alias("lon_hi"),
     )
 
 
 def _descend(cand: DataFrame, carried: Sequence[str], lat: Column, lon: Column) -> DataFrame:
     """Replace the ``kids`` of a candidate by the child cells that can still win."""
 
-    def gaps(lo: Column, hi: Column, v: Column) -> tuple[Column, Column, Column]:
-        """Distance to the interval, to its nearer end and to its farther end."""
-        a, b = F.abs(v - lo), F.abs(v - hi)
-        return F.when(v.between(lo, hi), 0.0).otherwise(F.least(a, b)), F.least(a, b), F.greatest(a, b)
-
     def lower(k: Column) -> Column:
         """No site of the cell is closer than its box."""
-        dy, _, _ = gaps(k["box"]["lat_lo"], k["box"]["lat_hi"], lat)
-        dx, _, _ = gaps(k["box"]["lon_lo"], k["box"]["lon_hi"], lon)
+        dy = F.greatest(k["lat_lo"] - lat, lat - k["lat_hi"], F.lit(0.0))
+        dx = F.greatest(k["lon_lo"] - lon, lon - k["lon_hi"], F.lit(0.0))
         return dy * dy + dx * dx
 
     def upper(k: Column) -> Column:
         """Some site is at least this close: every side of the box touches one."""
-        _, y_near, y_far = gaps(k["box"]["lat_lo"], k["box"]["lat_hi"], lat)
-        _, x_near, x_far = gaps(k["box"]["lon_lo"], k["box"]["lon_hi"], lon)
-        return F.least(y_near * y_near + x_far * x_far, y_far * y_far + x_near * x_near)
+
+        def near2(lo: Column, hi: Column, v: Column) -> Column:
+            return F.least((v - lo) * (v - lo), (v - hi) * (v - hi))
+
+        def far2(lo: Column, hi: Column, v: Column) -> Column:
+            return F.greatest((v - lo) * (v - lo), (v - hi) * (v - hi))
+
+        y, x = (k["lat_lo"], k["lat_hi"], lat), (k["lon_lo"], k["lon_hi"], lon)
+        return F.least(near2(*y) + far2(*x), far2(*y) + near2(*x))
 
     def keep(bound: Column) -> Column:
         near = F.filter("kids", lambda k: lower(k) <= bound)
@@ -106,7 +105,7 @@ def nearest(
     points: DataFrame,
     sites: DataFrame,
     keep: Sequence[str] = ("site_name",),
-    leaf_size: int = 32,
+    leaf_size: int = 16,
 ) -> DataFrame:
     """Closest site for each point, ranked by planar difference, ties by ``site_id``.
 
@@ -127,7 +126,7 @@ def nearest(
         .withColumn("gy", _step((F.col("site_lat") + 90) / 360)),
         "sites",
     )
-    # Cells and densest cell per level: eleven rows, whatever the number of sites.
+    # Cells and densest cell per level: sixteen rows, whatever the number of sites.
     occupancy = {
         r["level"]: r
         for r in grid.select(F.posexplode(F.array(*[_cell(i) for i in range(_DEPTH + 1)])).alias("level", "cell"))
@@ -137,12 +136,15 @@ def nearest(
         .agg(F.count("*").alias("cells"), F.max("count").alias("densest"))
         .collect()
     }
-    top = max((i for i, r in occupancy.items() if r["cells"] <= _MAX_CHILDREN), default=0)
+    top = max((i for i, r in occupancy.items() if r["cells"] <= _MAX_ROOT), default=0)
     depth = min((i for i, r in occupancy.items() if i >= top and r["densest"] <= leaf_size), default=_DEPTH if occupancy else top)
 
-    child = F.struct("cell", "box")
+    child = F.struct("cell", "lat_lo", "lat_hi", "lon_lo", "lon_hi")
     root = _boxes(grid, top).agg(F.collect_list(child).alias("kids"))
-    cand = points.select(
+    # Points are few bytes but much arithmetic: spread them over all cores, which sizing
+    # partitions by bytes would not do. The last aggregate reuses this partitioning.
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    cand = points.repartition(cores, *point_cols).select(
         *point_cols,
         F.lit(float("inf")).alias("bound"),
         F.when(_has_point(lat, lon), root.scalar()).alias("kids"),
@@ -159,9 +161,10 @@ def nearest(
     leaf = grid.select(_cell(depth).alias("cell"), "site", "site_lat", "site_lon")
     d2 = planar_d2(lat, lon, F.col("site_lat"), F.col("site_lon"))
     hit = F.struct(d2.alias("d2"), "site", "site_lat", "site_lon")
+    # The hash leads the sort of the aggregate with one number instead of the point columns.
     best = (
         cand.join(leaf, "cell", "left")
-        .groupBy(*point_cols)
+        .groupBy(F.xxhash64(*point_cols).alias("_hash"), *point_cols)
         .agg(F.min(F.when(F.col("site").isNotNull(), hit)).alias("hit"))
     )
     return best.select(
