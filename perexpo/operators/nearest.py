@@ -4,8 +4,7 @@ Sites are indexed by a pyramid of grid cells: each level halves a cell twice in
 direction, so it has at most 16 children, and every cell knows the tight bounding box of
 its sites. A point walks down the pyramid, starting at the finest level that still
 has no more than 64 cells. At each level it keeps the child cells whose box is not farther
-away than a site it is sure of (every side of a tight box touches one), and joins only
-those with the next level. What is left at the bottom are a few cells of a few sites
+away than a site it is sure of, and joins only those with the next level. What is left at the bottom are a few cells of a few sites
 each, and the smallest (distance, site id) wins. Boxes come from the sites, not from the
 grid, so the grid affects speed only, never the result.
 
@@ -20,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perexpo.functions.geometry import haversine_miles, planar_d2
@@ -69,36 +68,33 @@ def _boxes(grid: DataFrame, level: int, *keys: Column) -> DataFrame:
     )
 
 
-def _descend(cand: DataFrame, carried: Sequence[str], lat: Column, lon: Column) -> DataFrame:
-    """Replace the ``kids`` of a candidate by the child cells that can still win."""
+def _narrow(cand: DataFrame, point: Sequence[str], lat: Column, lon: Column) -> DataFrame:
+    """Keep the candidate cells of each point that may hold its nearest site.
 
-    def lower(k: Column) -> Column:
-        """No site of the cell is closer than its box."""
-        dy = F.greatest(k["lat_lo"] - lat, lat - k["lat_hi"], F.lit(0.0))
-        dx = F.greatest(k["lon_lo"] - lon, lon - k["lon_hi"], F.lit(0.0))
-        return dy * dy + dx * dx
-
-    def upper(k: Column) -> Column:
-        """Some site is at least this close: every side of the box touches one."""
-
-        def near2(lo: Column, hi: Column, v: Column) -> Column:
-            return F.least((v - lo) * (v - lo), (v - hi) * (v - hi))
-
-        def far2(lo: Column, hi: Column, v: Column) -> Column:
-            return F.greatest((v - lo) * (v - lo), (v - hi) * (v - hi))
-
-        y, x = (k["lat_lo"], k["lat_hi"], lat), (k["lon_lo"], k["lon_hi"], lon)
-        return F.least(near2(*y) + far2(*x), far2(*y) + near2(*x))
-
-    def keep(bound: Column) -> Column:
-        near = F.filter("kids", lambda k: lower(k) <= bound)
-        return F.transform(near, lambda k: F.struct(k["cell"].alias("cell"), bound.alias("bound")))
+    A cell is no closer than its box. Every side of the box touches a site, so the nearer
+    side plus the farther corner of it bounds the distance of some site from above. The
+    best such bound of all candidates of the point, of this and of earlier levels, is what
+    the others have to beat.
+    """
 
-    # The bound goes through a one-element array so that it is computed once per row, not
-    # once for every cell it is compared with.
-    bound = F.least("bound", F.array_min(F.transform("kids", upper)))
-    kept = F.flatten(F.transform(F.array(bound), keep))
-    return cand.select(*carried, F.explode_outer(kept).alias("_k")).select(*carried, "_k.cell", "_k.bound")
+    def below(lo: str, hi: str, v: Column) -> Column:
+        gap = F.greatest(F.col(lo) - v, v - F.col(hi), F.lit(0.0))
+        return gap * gap
+
+    def ends(lo: str, hi: str, v: Column) -> tuple[Column, Column]:
+        a, b = (v - F.col(lo)) * (v - F.col(lo)), (v - F.col(hi)) * (v - F.col(hi))
+        return F.least(a, b), F.greatest(a, b)
+
+    (y_near, y_far), (x_near, x_far) = ends("lat_lo", "lat_hi", lat), ends("lon_lo", "lon_hi", lon)
+    lower = below("lat_lo", "lat_hi", lat) + below("lon_lo", "lon_hi", lon)
+    upper = F.least(y_near + x_far, y_far + x_near)
+    best = F.min("upper").over(Window.partitionBy(*point))
+    return (
+        cand.withColumn("upper", upper)
+        .withColumn("bound", F.least("bound", best))
+        .where(F.col("cell").isNull() | (lower <= F.col("bound")))
+        .select(*point, "bound", "cell")
+    )
 
 
 def nearest(
@@ -139,32 +135,32 @@ def nearest(
     top = max((i for i, r in occupancy.items() if r["cells"] <= _MAX_ROOT), default=0)
     depth = min((i for i, r in occupancy.items() if i >= top and r["densest"] <= leaf_size), default=_DEPTH if occupancy else top)
 
-    child = F.struct("cell", "lat_lo", "lat_hi", "lon_lo", "lon_hi")
-    root = _boxes(grid, top).agg(F.collect_list(child).alias("kids"))
     # Points are few bytes but much arithmetic: spread them over all cores, which sizing
-    # partitions by bytes would not do. The last aggregate reuses this partitioning.
+    # partitions by bytes would not do. Every later step per point reuses the partitioning;
+    # the hash makes its sorts compare one number instead of the point columns.
     cores = points.sparkSession.sparkContext.defaultParallelism
-    cand = points.repartition(cores, *point_cols).select(
-        *point_cols,
-        F.lit(float("inf")).alias("bound"),
-        F.when(_has_point(lat, lon), root.scalar()).alias("kids"),
+    point = ["_hash", *point_cols]
+    box = ("cell", "lat_lo", "lat_hi", "lon_lo", "lon_hi")
+    root = _boxes(grid, top).agg(F.collect_list(F.struct(*box)).alias("cells"))
+    cand = (
+        points.withColumn("_hash", F.xxhash64(*point_cols))
+        .repartition(cores, *point)
+        .withColumn("_cells", F.when(_has_point(lat, lon), root.scalar()))
+        .select(*point, F.lit(float("inf")).alias("bound"), F.explode_outer("_cells").alias("_box"))
+        .select(*point, "bound", *[f"_box.{c}" for c in box])
     )
-    cand = _descend(cand, point_cols, lat, lon)
+    cand = _narrow(cand, point, lat, lon)
     for level in range(top + 1, depth + 1):
-        kids = (
-            _boxes(grid, level, _cell(level - 1).alias("parent"))
-            .groupBy(F.col("parent").alias("cell"))
-            .agg(F.collect_list(child).alias("kids"))
-        )
-        cand = _descend(cand.join(kids, "cell", "left"), point_cols, lat, lon)
+        below = _boxes(grid, level, _cell(level - 1).alias("parent"))
+        parents = cand.withColumnRenamed("cell", "parent")
+        cand = _narrow(parents.join(below, "parent", "left"), point, lat, lon)
 
     leaf = grid.select(_cell(depth).alias("cell"), "site", "site_lat", "site_lon")
     d2 = planar_d2(lat, lon, F.col("site_lat"), F.col("site_lon"))
     hit = F.struct(d2.alias("d2"), "site", "site_lat", "site_lon")
-    # The hash leads the sort of the aggregate with one number instead of the point columns.
     best = (
         cand.join(leaf, "cell", "left")
-        .groupBy(F.xxhash64(*point_cols).alias("_hash"), *point_cols)
+        .groupBy(*point)
         .agg(F.min(F.when(F.col("site").isNotNull(), hit)).alias("hit"))
     )
     return best.select(
