@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perexpo.functions.cleaning import as_col, prefix_int
@@ -34,12 +34,8 @@ def hour12(c: Column | str) -> Column:
     c = as_col(c)
     clock = prefix_int(F.substring(c, 12, 2), strict=True)
     half = F.substring(c, 21, 2)
-    on_dial = clock.between(1, 12)
-    return (
-        F.when(on_dial & (half == "AM"), clock % 12)
-        .when(on_dial & (half == "PM"), clock % 12 + 12)
-        .cast("int")
-    )
+    start = F.when(half == "AM", 0).when(half == "PM", 12)
+    return F.when(clock.between(1, 12), clock % 12 + start).cast("int")
 
 
 def parse_timestamp(c: Column | str, fmt: str = TEXT_TIMESTAMP) -> Column:
@@ -57,3 +53,9 @@ def period(hour: Column | str, spec: Sequence[tuple[str, int, int]] = DAY_PERIOD
             cond = (hour >= first) | hour.between(0, last)
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return out
+
+
+def with_period(df: DataFrame, hour: Column, spec: Sequence[tuple[str, int, int]] = DAY_PERIODS) -> DataFrame:
+    """Add ``period``. The hour gets a projection of its own, so that it is computed once
+    per row and not once per comparison."""
+    return df.withColumn("_hour", hour).withColumn("period", period("_hour", spec)).drop("_hour")

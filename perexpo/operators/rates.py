@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perexpo.functions.bins import EXPOSURE_BINS, INCOME_BINS, MISSING, Bins, bin_by, flag
-from perexpo.functions.daytime import hour12, hour24, period
+from perexpo.functions.daytime import hour12, hour24, with_period
 from perexpo.operators.matching import attach_site, cluster_keys
 
 # Smallest exposure for a stable rate, per site and per site and period.
@@ -37,7 +37,7 @@ def _sum(c: str) -> Column:
 def exposure_rollup(exposure: DataFrame) -> DataFrame:
     """Exposure per site and part of the day: all that later steps need of the facts."""
     return (
-        exposure.select("site_id", "site_name", "lat", "lon", period(hour12("ts")).alias("period"), "exposure")
+        with_period(exposure, hour12("ts"))
         .groupBy("site_id", "site_name", "lat", "lon", "period")
         .agg(_sum("exposure"))
     )
@@ -45,9 +45,9 @@ def exposure_rollup(exposure: DataFrame) -> DataFrame:
 
 def incident_rollup(incidents: DataFrame) -> DataFrame:
     """Incidents per cluster and part of the day."""
-    timed = incidents.select("name", "lat", "lon", period(hour24("tm")).alias("period"))
+    timed = with_period(incidents, hour24("tm"))
     return (
-        cluster_keys(timed)
+        cluster_keys(timed.select("name", "lat", "lon", "period"))
         .groupBy("name", "lat_e5", "lon_e5", "period")
         .agg(F.count("*").alias("incidents"))
     )
@@ -165,25 +165,33 @@ def rate_by_bin(attr_set: DataFrame, bins: Bins = INCOME_BINS) -> DataFrame:
 def period_metrics(incidents: DataFrame, exposure: DataFrame) -> DataFrame:
     """Rate per part of the day over all incidents, matched to a site or not.
 
-    Takes facts with ``tm`` and ``ts`` text. Both sides combine to a handful of rows
-    before the shuffle; hours outside every period drop out of the join.
+    Takes facts with ``tm`` and ``ts`` text; only periods with incidents and exposure come
+    back. Both tables go through one aggregate, which combines them to a handful of rows
+    before its shuffle. A join would do the same but make the planner push its "key is
+    not null" test, with the whole parsing of the hour, down to every row once more; the
+    test below also looks at the sums, so it can only run after them.
     """
-    counts = incidents.groupBy(period(hour24("tm")).alias("period")).agg(
-        F.count("*").alias("incidents")
+    nothing = F.lit(None).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    counted = with_period(incidents, hour24("tm")).select(
+        "period", one.alias("incidents"), nothing.alias("exposure"), nothing.alias("measured")
+    )
+    measured = with_period(exposure, hour12("ts")).select(
+        "period", nothing.alias("incidents"), "exposure", one.alias("measured")
+    )
+    sums = counted.unionByName(measured).groupBy("period").agg(
+        _sum("incidents"), _sum("exposure"), _sum("measured")
+    )
+    both = (F.col("incidents") > 0) & (F.col("measured") > 0)
+    return sums.where(F.when(both, F.col("period")).isNotNull()).select(
+        "period", "incidents", "exposure", rate_per("incidents", "exposure").alias("rate")
     )
-    totals = exposure.groupBy(period(hour12("ts")).alias("period")).agg(_sum("exposure"))
-    return _period_rate(counts, totals)
 
 
 def period_metrics_from_rollups(incidents: DataFrame, exposure: DataFrame) -> DataFrame:
     """The same from the rollups, without touching the facts again."""
-    return _period_rate(
-        incidents.groupBy("period").agg(_sum("incidents")),
-        exposure.groupBy("period").agg(_sum("exposure")),
-    )
-
-
-def _period_rate(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    counts = incidents.groupBy("period").agg(_sum("incidents"))
+    totals = exposure.groupBy("period").agg(_sum("exposure"))
     return counts.join(totals, "period").select(
         "period", "incidents", "exposure", rate_per("incidents", "exposure").alias("rate")
     )

@@ -134,15 +134,20 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _site_periods(spark: SparkSession, d: str) -> DataFrame:
-    return rates.site_period_metrics(
-        rates.incident_rollup(inputs.incidents(spark, d)),
-        _crosswalk(spark, d),
-        rates.exposure_rollup(inputs.exposure(spark, d)),
-        _site_attr(spark, d),
+def _rollups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both fact tables reduced to site, cluster and period; written, so that what later
+    joins demand of the period is not checked by parsing the text of every fact again."""
+    return (
+        tables.materialize(rates.incident_rollup(inputs.incidents(spark, d)), "incident-rollup"),
+        tables.materialize(rates.exposure_rollup(inputs.exposure(spark, d)), "exposure-rollup"),
     )
 
 
+def _site_periods(spark: SparkSession, d: str) -> DataFrame:
+    incidents, exposure = _rollups(spark, d)
+    return rates.site_period_metrics(incidents, _crosswalk(spark, d), exposure, _site_attr(spark, d))
+
+
 def _periods(spark: SparkSession, d: str) -> DataFrame:
     return rates.period_metrics(inputs.incidents(spark, d), inputs.exposure(spark, d))
 
@@ -751,9 +756,7 @@ def serving_site_period(spark, d):
 
 @register
 def serving_period(spark, d):
-    return rates.period_metrics_from_rollups(
-        rates.incident_rollup(inputs.incidents(spark, d)), rates.exposure_rollup(inputs.exposure(spark, d))
-    )
+    return rates.period_metrics_from_rollups(*_rollups(spark, d))
 
 
 @register
