@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from perexpo.operators.rates import top_k
 from perexpo.sources.tables import materialize
 
-_CUTS = 256
-_BLOCK = 16
+_CUTS = 64
+_BLOCK = 8
 _SALTS = 64
 
 
@@ -20,7 +20,7 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("pearson"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
 
 
-def average_ranks(df: DataFrame, outs: Mapping[str, str]) -> DataFrame:
+def average_ranks(df: DataFrame, outs: Mapping[str, str], cuts: int = _CUTS) -> DataFrame:
     """Rank of each value, ties sharing the average of their ranks; NULL has none.
 
     ``outs`` maps each column to the name of its rank. A ranking window over everything
@@ -30,17 +30,18 @@ def average_ranks(df: DataFrame, outs: Mapping[str, str]) -> DataFrame:
     of the rows is always such a point: its rank follows from the counts alone, its rows
     need no common sort and are spread over salts.
 
-    The cut points and the range counts (about 500 numbers per column at most) are read by
-    the driver once, so all uses agree on them. ``df`` is read three times: materialise it
+    A range that is sorted holds about one in ``cuts`` of the rows; more cuts make smaller
+    tasks. The cut points and the range counts (three numbers per cut and column) are read
+    by the driver once, so all uses agree on them. ``df`` is read three times: materialise it
     first when it is expensive. The salt is a hash of the row, so a repeated task sends
     every row to the same place again; give rows an id where they may be identical.
     """
-    steps = [i / _CUTS for i in range(1, _CUTS)]
+    steps = [i / cuts for i in range(1, cuts)]
     found = df.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in outs]).first()
-    cuts = {c: sorted(set(found[c] or [])) for c in outs}
+    points = {c: sorted(set(found[c] or [])) for c in outs}
     ranged = df
     for c in outs:
-        ranged = _with_range(ranged, c, cuts[c])
+        ranged = _with_range(ranged, c, points[c])
 
     tagged = [F.struct(F.lit(c).alias("col"), F.col(_range(c)).alias("range")) for c in outs]
     counts = {
@@ -51,7 +52,7 @@ def average_ranks(df: DataFrame, outs: Mapping[str, str]) -> DataFrame:
         .collect()
     }
     for c, out in outs.items():
-        sizes = [counts.get((c, i), 0) for i in range(2 * len(cuts[c]) + 1)]
+        sizes = [counts.get((c, i), 0) for i in range(2 * len(points[c]) + 1)]
         ranged = _rank_in_range(ranged, df.columns, c, out, sizes)
     return ranged.drop(*[_range(c) for c in outs])
 
@@ -63,7 +64,7 @@ def _range(col: str) -> str:
 def _with_range(df: DataFrame, col: str, cuts: list) -> DataFrame:
     """Number of the range: odd for a value equal to a cut point, even between two.
 
-    The position among the cut points is found in two steps of at most 16 comparisons.
+    The position among the cut points is found in two steps, by block and inside it.
     """
     v = F.col(col)
     if not cuts:

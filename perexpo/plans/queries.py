@@ -115,9 +115,7 @@ def _reviews(cand: DataFrame) -> DataFrame:
 def _crosswalk(spark: SparkSession, d: str, cand: DataFrame | None = None) -> DataFrame:
     cand = _candidates(spark, d) if cand is None else cand
     lookup = matching.site_lookup(matching.site_dim(inputs.exposure_raw(spark, d)))
-    return tables.materialize(
-        matching.build_crosswalk(cand, _reviews(cand), lookup, REVIEW_MIN), "crosswalk"
-    )
+    return matching.build_crosswalk(cand, _reviews(cand), lookup, REVIEW_MIN)
 
 
 def _site_attr(spark: SparkSession, d: str) -> DataFrame:
@@ -126,12 +124,18 @@ def _site_attr(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _enriched(spark: SparkSession, d: str) -> DataFrame:
+    crosswalk = tables.materialize(_crosswalk(spark, d), "crosswalk")
+    return zones.enrich(crosswalk, _site_attr(spark, d))
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    """One row per site, read several times by most statistics: written once."""
-    return tables.materialize(
-        rates.site_metrics(_crosswalk(spark, d), inputs.exposure(spark, d), _site_attr(spark, d)),
-        "site-metrics",
-    )
+    return rates.site_metrics(_crosswalk(spark, d), inputs.exposure(spark, d), _site_attr(spark, d))
+
+
+def _written_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """One row per site, for queries that read it several times: written once."""
+    return tables.materialize(_metrics(spark, d), "site-metrics")
 
 
 def _rollups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -651,12 +655,12 @@ def attach_site(spark, d):
 
 @register
 def enriched_crosswalk(spark, d):
-    return zones.enrich(_crosswalk(spark, d), _site_attr(spark, d))
+    return _enriched(spark, d)
 
 
 @register
 def attr_coverage(spark, d):
-    return zones.attribute_coverage(zones.enrich(_crosswalk(spark, d), _site_attr(spark, d)))
+    return zones.attribute_coverage(_enriched(spark, d))
 
 
 @register
@@ -766,12 +770,12 @@ def rate_ratio(spark, d):
 
 @register
 def quadrant(spark, d):
-    return rates.quadrant(_metrics(spark, d))
+    return rates.quadrant(_written_metrics(spark, d))
 
 
 @register
 def recurring_outliers(spark, d):
-    m = _metrics(spark, d)
+    m = _written_metrics(spark, d)
     res = statistics.residual_table(rates.attribute_set(m, MIN_SITE))
     lists = [
         rates.top_k(m, "rate", 10, "exposure", MIN_SITE),
@@ -851,7 +855,7 @@ def ols_attr(spark, d):
 @register
 def residuals(spark, d):
     return rounded(
-        statistics.residual_table(_attrs(spark, d)),
+        statistics.residual_table(rates.attribute_set(_written_metrics(spark, d), MIN_SITE)),
         "log_exposure",
         "expected_from_exposure",
         "exposure_residual",
@@ -861,7 +865,7 @@ def residuals(spark, d):
 
 
 def _outliers(spark: SparkSession, d: str, col: str, side: str) -> DataFrame:
-    table = statistics.residual_table(_attrs(spark, d))
+    table = statistics.residual_table(rates.attribute_set(_written_metrics(spark, d), MIN_SITE))
     picked = statistics.residual_outliers(table, col, 10, side)
     return rounded(picked.select("site_id", "site_name", "attr", "exposure", "rate", col), col)
 

@@ -11,7 +11,7 @@ import __spark_entry__ as contract
 from perexpo.plans import queries as Q
 
 SF_DIR = f"{TESTDATA}/sf0.001"
-SHARED = ("_candidates", "_crosswalk", "_metrics")
+SHARED = ("_candidates", "_crosswalk", "_metrics", "_written_metrics")
 
 
 @pytest.fixture(scope="module")
