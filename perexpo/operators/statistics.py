@@ -32,16 +32,16 @@ def average_ranks(df: DataFrame, outs: Mapping[str, str], cuts: int = _CUTS) ->
 
     A range that is sorted holds about one in ``cuts`` of the rows; more cuts make smaller
     tasks. The cut points and the range counts (three numbers per cut and column) are read
-    by the driver once, so all uses agree on them. ``df`` is read three times: materialise it
-    first when it is expensive. The salt is a hash of the row, so a repeated task sends
-    every row to the same place again; give rows an id where they may be identical.
+    by the driver once, so all uses agree on them. ``df`` is read twice, for the cut points
+    and to write its rows with their ranges; everything else starts from what was written.
     """
     steps = [i / cuts for i in range(1, cuts)]
     found = df.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in outs]).first()
     points = {c: sorted(set(found[c] or [])) for c in outs}
-    ranged = df
+    ranged = df.withColumn("_row", F.monotonically_increasing_id())
     for c in outs:
         ranged = _with_range(ranged, c, points[c])
+    ranged = materialize(ranged, "ranges")
 
     tagged = [F.struct(F.lit(c).alias("col"), F.col(_range(c)).alias("range")) for c in outs]
     counts = {
@@ -53,8 +53,8 @@ def average_ranks(df: DataFrame, outs: Mapping[str, str], cuts: int = _CUTS) ->
     }
     for c, out in outs.items():
         sizes = [counts.get((c, i), 0) for i in range(2 * len(points[c]) + 1)]
-        ranged = _rank_in_range(ranged, df.columns, c, out, sizes)
-    return ranged.drop(*[_range(c) for c in outs])
+        ranged = _rank_in_range(ranged, c, out, sizes)
+    return ranged.drop("_row", *[_range(c) for c in outs])
 
 
 def _range(col: str) -> str:
@@ -83,15 +83,16 @@ def _with_range(df: DataFrame, col: str, cuts: list) -> DataFrame:
     )
 
 
-def _rank_in_range(df: DataFrame, row: Sequence[str], col: str, out: str, sizes: list[int]) -> DataFrame:
+def _rank_in_range(df: DataFrame, col: str, out: str, sizes: list[int]) -> DataFrame:
     v, at = F.col(col), F.col(_range(col))
     single = at % 2 == 1
-    spread = F.when(single | v.isNull(), F.pmod(F.xxhash64(*row), F.lit(_SALTS))).otherwise(0)
+    spread = F.when(single | v.isNull(), F.col("_row") % _SALTS).otherwise(0)
     w = Window.partitionBy(_range(col), "_salt").orderBy(v)
-    peers = F.count("*").over(w.rangeBetween(0, 0))
+    # Ranks of the first and of the last peer; the running count includes all peers.
+    first, last = F.rank().over(w), F.count("*").over(w)
     start = F.get(F.lit([sum(sizes[:i]) for i in range(len(sizes))]), at)
     rank = F.when(single, start + (F.get(F.lit(sizes), at) + 1) / 2).when(
-        v.isNotNull(), start + F.rank().over(w) + (peers - 1) / 2
+        v.isNotNull(), start + (first + last) / 2
     )
     return df.withColumn("_salt", spread).withColumn(out, rank.cast("double")).drop("_salt")
 
@@ -102,8 +103,7 @@ def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation over the rows where both are known."""
-    known = df.select(x, y).dropna().withColumn("_row", F.monotonically_increasing_id())
-    ranked = average_ranks(materialize(known, "rank-pairs"), {x: "_rx", y: "_ry"})
+    ranked = average_ranks(df.select(x, y).dropna(), {x: "_rx", y: "_ry"})
     return ranked.agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 

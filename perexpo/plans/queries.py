@@ -812,17 +812,17 @@ def pearson_lineitem(spark, d):
 
 @register
 def spearman_volume(spark, d):
-    return rounded(statistics.spearman(rates.volume_set(_metrics(spark, d)), "exposure", "incidents"), "spearman")
+    return rounded(statistics.spearman(rates.volume_set(_written_metrics(spark, d)), "exposure", "incidents"), "spearman")
 
 
 @register
 def spearman_rate(spark, d):
-    return rounded(statistics.spearman(_rates(spark, d), "exposure", "rate"), "spearman")
+    return rounded(statistics.spearman(rates.rate_set(_written_metrics(spark, d), MIN_SITE), "exposure", "rate"), "spearman")
 
 
 @register
 def spearman_attr(spark, d):
-    return rounded(statistics.spearman(_attrs(spark, d), "attr", "rate"), "spearman")
+    return rounded(statistics.spearman(rates.attribute_set(_written_metrics(spark, d), MIN_SITE), "attr", "rate"), "spearman")
 
 
 @register
