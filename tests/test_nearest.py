@@ -38,6 +38,16 @@ def test_matches_brute_force(spark, leaf_size):
     assert run(spark, points, sites, leaf_size) == brute(points, sites)
 
 
+def test_index_too_large_to_broadcast(spark):
+    rng = random.Random(11)
+    sites, points = cloud(rng, 300), cloud(rng, 150, 0.6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert run(spark, points, sites, 4) == brute(points, sites)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_dense_clump_far_from_most_points(spark):
     """A third of sites and of points within a few metres, the rest around the world."""
     rng = random.Random(7)
