@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perexpo.llm import bpe, language, mixing, secrets, simhash
+from perexpo.llm import bpe, language, mixing, quality, secrets, simhash, wavelet
 from perexpo.llm.common import documents, id_crc
+from perexpo.sources.tables import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 RANK_FILE = "byte_bpe_50k.tiktoken"
+TOKENIZER_FILE = "byte_bpe_50k.json"
 
 
 def register(fn: Query) -> Query:
@@ -57,6 +60,15 @@ def op1_byte_bpe(spark, d):
     )
 
 
+@register
+def op3_quality(spark, d):
+    docs = documents(spark, d)
+    held_out = id_crc("doc_id", 3) == 1
+    model = quality.fit(docs, spark.read.parquet(f"{d}/labels.parquet").where(~held_out))
+    scored = quality.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register
 def op5_secrets(spark, d):
     found = secrets.scan(documents(spark, d).select("doc_id", "text"))
@@ -90,6 +102,27 @@ def op8_language(spark, d):
     )
 
 
+@register
+def op9_wavelet(spark, d):
+    path = scratch_path(spark, "llm-shards")
+    with open(public_tokenizers.path(TOKENIZER_FILE), encoding="utf-8") as file:
+        wavelet.write_shards(documents(spark, d), path, file.read())
+
+    def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets = batch["ids"].offsets.to_numpy()
+            flat = batch["ids"].values.to_numpy(zero_copy_only=False).astype("<u4")
+            crc = [zlib.crc32(flat[i:j]) for i, j in zip(offsets, offsets[1:], strict=False)]
+            n = pa.array(np.diff(offsets).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["start"], n, pa.array(crc, pa.int64())],
+                ["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
+
+    read = wavelet.read_documents(wavelet.read_shards(spark, path))
+    return read.mapInArrow(checksum, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
 @register
 def op10_simhash(spark, d):
     found = simhash.near_duplicates(documents(spark, d))
