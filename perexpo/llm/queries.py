@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perexpo.llm import bpe, language, mixing, quality, secrets, simhash, wavelet
+from perexpo.llm import bpe, embeddings, language, mixing, quality, secrets, simhash, wavelet
 from perexpo.llm.common import documents, id_crc
 from perexpo.sources.tables import scratch_path
 
@@ -84,6 +84,12 @@ def op5_secrets(spark, d):
     )
 
 
+@register
+def op6_embeddings(spark, d):
+    found = embeddings.near_duplicates(spark.read.parquet(f"{d}/embeddings.parquet"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 @register
 def op7_mixing(spark, d):
     found = mixing.mix(documents(spark, d))
