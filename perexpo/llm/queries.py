@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perexpo.llm import bpe, embeddings, language, mixing, quality, secrets, simhash, wavelet
+from perexpo.llm import bpe, embeddings, language, mixing, neighbours, quality, secrets, simhash, wavelet
 from perexpo.llm.common import documents, id_crc
 from perexpo.sources.tables import scratch_path
 
@@ -69,6 +69,12 @@ def op3_quality(spark, d):
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@register
+def op4_neighbours(spark, d):
+    table = spark.read.parquet(f"{d}/embeddings.parquet")
+    return neighbours.search(table, F.col("vec_id") % 20 == 0)
+
+
 @register
 def op5_secrets(spark, d):
     found = secrets.scan(documents(spark, d).select("doc_id", "text"))
