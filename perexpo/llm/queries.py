@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perexpo.llm import bpe, embeddings, language, mixing, neighbours, quality, secrets, simhash, wavelet
+from perexpo.llm import bpe, embeddings, language, mixing, neighbours, quality, repeats, secrets, simhash, wavelet
 from perexpo.llm.common import documents, id_crc
 from perexpo.sources.tables import scratch_path
 
@@ -60,6 +60,12 @@ def op1_byte_bpe(spark, d):
     )
 
 
+@register
+def op2_repeats(spark, d):
+    found = repeats.repeated_passages(documents(spark, d))
+    return found.withColumn("n_words", F.col("end_word") - F.col("start_word"))
+
+
 @register
 def op3_quality(spark, d):
     docs = documents(spark, d)
