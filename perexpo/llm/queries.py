@@ -146,3 +146,42 @@ def op10_simhash(spark, d):
     found = simhash.near_duplicates(documents(spark, d))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+#: Documents are taken by running sums over the hash line, which the operator finds without sorting.
+ORACLE_SQL["op7_mixing"] = """
+WITH sized AS (
+  SELECT doc_id, source,
+         COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(COALESCE(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS place
+  FROM documents
+), sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, source_size, 2e0 * source_size AS cap,
+         [3e0, 1e0, 2e0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight
+  FROM sums
+), levels AS (
+  SELECT *, (1.5e0 * sum(source_size) OVER () - COALESCE(sum(cap) OVER (
+               ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+            / sum(weight) OVER (
+               ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed
+), targets AS (
+  SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels
+), plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 1 END AS times FROM targets
+), places AS (
+  SELECT s.source, s.place, p.target - p.times * p.source_size AS budget, sum(s.size) AS n
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source GROUP BY ALL
+), running AS (
+  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY place) AS upto FROM places
+), edges AS (
+  SELECT source, min(place) AS edge FROM running WHERE upto - budget > budget - (upto - n) GROUP BY source
+)
+SELECT s.doc_id, s.size, p.source_size, p.target,
+       (s.size * least(p.times + CASE WHEN e.edge IS NULL OR s.place < e.edge THEN 1 ELSE 0 END, 2))::BIGINT AS taken
+FROM sized s
+JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+LEFT JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
+"""
