@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_DECIMAL = r"^\s*([+-]?\d+)\.\d*\s*$"
 _INT_PREFIX = r"^\s*([+-]?\d+)"
 
 
@@ -39,9 +40,15 @@ def prefix_int(c: Column | str, strict: bool = False) -> Column:
 
 
 def clean_int(c: Column | str, lenient: bool = False) -> Column:
-    """``'1,008'`` -> 1008. Unreadable text is NULL, or its integer prefix when lenient."""
+    """``'1,008'`` -> 1008 and ``'5.0'`` -> 5; a fraction is cut off.
+
+    Unreadable text is NULL, or its integer prefix when lenient. ``profiling.unreadable``
+    counts what became NULL.
+    """
     bare = strip_literal(as_col(c).cast("string"), ",")
-    return prefix_int(bare) if lenient else bare.try_cast("bigint")
+    if lenient:
+        return prefix_int(bare)
+    return F.coalesce(bare.try_cast("bigint"), F.regexp_extract(bare, _DECIMAL, 1).try_cast("bigint"))
 
 
 def to_double(c: Column | str) -> Column:

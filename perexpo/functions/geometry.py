@@ -13,11 +13,13 @@ EARTH_RADIUS_MILES = 3959.0
 def scaled(c: Column | str, digits: int = 5) -> Column:
     """Coordinate rounded to ``digits`` as a BIGINT, the form used in join and group keys.
 
-    Equal keys compare exactly, which rounded doubles only do by luck.
+    Equal keys compare exactly, which rounded doubles only do by luck. What is no finite
+    number has no place, so its key is NULL.
     """
     c = as_col(c)
     steps = F.floor(F.abs(c) * F.lit(float(10**digits)) + 0.5).cast("bigint")
-    return F.when(c < 0, -steps).otherwise(steps)
+    finite = ~F.isnan(c.cast("double")) & (F.abs(c) < F.lit(float("inf")))
+    return F.when(finite, F.when(c < 0, -steps).otherwise(steps))
 
 
 def unscaled(c: Column | str, digits: int = 5) -> Column:

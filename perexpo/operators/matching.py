@@ -37,6 +37,11 @@ def coord_clusters(facts: DataFrame, name: str = "name", lat: str = "lat", lon:
     return keyed.groupBy(*CLUSTER_KEY).agg(F.count("*").alias("incidents"))
 
 
+def clusters_of(incident_roll: DataFrame) -> DataFrame:
+    """The same clusters from incidents that are already counted by cluster and more."""
+    return incident_roll.groupBy(*CLUSTER_KEY).agg(F.sum("incidents").cast("bigint").alias("incidents"))
+
+
 def site_dim(exposure: DataFrame) -> DataFrame:
     """The sites that occur in the exposure facts."""
     return exposure.select("site_id", "site_name", "lat", "lon").distinct()
@@ -261,9 +266,11 @@ def build_crosswalk(
             .when(s == "AUTO_ACCEPT_VALIDATED_NAME", F.col(auto_col))
         )
 
+    # Clusters without a name match no validated name and would all meet in one task.
+    joined = cand.join(accepted, list(CLUSTER_KEY), "full")
+    named = joined.where(F.col("name").isNotNull()).join(names, "name", "left")
     return (
-        cand.join(accepted, list(CLUSTER_KEY), "full")
-        .join(names, "name", "left")
+        named.unionByName(joined.where(F.col("name").isNull()), allowMissingColumns=True)
         .withColumn("match_status", status)
         .select(
             *CLUSTER_KEY,

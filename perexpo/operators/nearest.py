@@ -35,7 +35,8 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     """First row of each key in the given order.
 
     An aggregate of one struct instead of a ranking window: it combines map-side, so a
-    key with many rows does not have to be sorted in one task.
+    key with many rows is down to one row per task before the shuffle. A struct has no fixed
+    width, so each task sorts its rows by key for it.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     row = F.struct(*order, *rest)
@@ -44,7 +45,11 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 
 def _has_point(lat: Column, lon: Column) -> Column:
-    return lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    """Whether both coordinates are finite numbers; never NULL."""
+    finite = F.lit(True)
+    for c in (lat, lon):
+        finite = finite & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return F.coalesce(finite, F.lit(False))
 
 
 def _step(fraction: Column) -> Column:
@@ -68,32 +73,42 @@ def _boxes(grid: DataFrame, level: int, *keys: Column) -> DataFrame:
     )
 
 
-def _narrow(cand: DataFrame, point: Sequence[str], lat: Column, lon: Column) -> DataFrame:
-    """Keep the candidate cells of each point that may hold its nearest site.
+def _bounds(box: Column | None, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Least and greatest possible distance from a place to the nearest site in a box.
 
     A cell is no closer than its box. Every side of the box touches a site, so the nearer
-    side plus the farther corner of it bounds the distance of some site from above. The
-    best such bound of all candidates of the point, of this and of earlier levels, is what
-    the others have to beat.
+    side plus the farther corner of it bounds the distance of some site from above.
     """
 
-    def below(lo: str, hi: str, v: Column) -> Column:
-        gap = F.greatest(F.col(lo) - v, v - F.col(hi), F.lit(0.0))
-        return gap * gap
+    def side(name: str) -> Column:
+        return F.col(name) if box is None else box[name]
+
+    def gap(lo: str, hi: str, v: Column) -> Column:
+        away = F.greatest(side(lo) - v, v - side(hi), F.lit(0.0))
+        return away * away
 
     def ends(lo: str, hi: str, v: Column) -> tuple[Column, Column]:
-        a, b = (v - F.col(lo)) * (v - F.col(lo)), (v - F.col(hi)) * (v - F.col(hi))
+        a, b = (v - side(lo)) * (v - side(lo)), (v - side(hi)) * (v - side(hi))
         return F.least(a, b), F.greatest(a, b)
 
     (y_near, y_far), (x_near, x_far) = ends("lat_lo", "lat_hi", lat), ends("lon_lo", "lon_hi", lon)
-    lower = below("lat_lo", "lat_hi", lat) + below("lon_lo", "lon_hi", lon)
-    upper = F.least(y_near + x_far, y_far + x_near)
-    best = F.min("upper").over(Window.partitionBy(*point))
+    lower = gap("lat_lo", "lat_hi", lat) + gap("lon_lo", "lon_hi", lon)
+    return lower, F.least(y_near + x_far, y_far + x_near)
+
+
+def _narrow(cand: DataFrame, place: Sequence[str], lat: Column, lon: Column) -> DataFrame:
+    """Keep the candidate cells of each place that may hold its nearest site.
+
+    The best upper bound of all candidates of the place, of this and of earlier levels, is
+    what the others have to beat.
+    """
+    lower, upper = _bounds(None, lat, lon)
+    best = F.min("upper").over(Window.partitionBy("_place"))
     return (
         cand.withColumn("upper", upper)
         .withColumn("bound", F.least("bound", best))
-        .where(F.col("cell").isNull() | (lower <= F.col("bound")))
-        .select(*point, "bound", "cell")
+        .where(lower <= F.col("bound"))
+        .select(*place, "bound", "cell")
     )
 
 
@@ -105,10 +120,13 @@ def nearest(
 ) -> DataFrame:
     """Closest site for each point, ranked by planar difference, ties by ``site_id``.
 
-    ``points`` has ``lat`` and ``lon`` and unique rows; ``sites`` has ``site_id``,
-    ``lat``, ``lon`` and the ``keep`` columns. All points come back; those without
-    coordinates get no site. Adds ``site_id``, the kept columns, ``site_lat``,
+    ``points`` has ``lat`` and ``lon``; ``sites`` has ``site_id``, ``lat``, ``lon`` and the
+    ``keep`` columns. All points come back, repeated rows as often as they occur; those
+    without coordinates get no site. Adds ``site_id``, the kept columns, ``site_lat``,
     ``site_lon`` and ``distance_miles``.
+
+    Different places walk down the index, each under a number, so many points at one place
+    cost one walk, and the steps carry and compare one integer instead of the point's columns.
     """
     lat, lon = F.col("lat"), F.col("lon")
     point_cols = points.columns
@@ -135,35 +153,40 @@ def nearest(
     top = max((i for i, r in occupancy.items() if r["cells"] <= _MAX_ROOT), default=0)
     depth = min((i for i, r in occupancy.items() if i >= top and r["densest"] <= leaf_size), default=_DEPTH if occupancy else top)
 
-    # Points are few bytes but much arithmetic: spread them over all cores, which sizing
-    # partitions by bytes would not do. Every later step per point reuses the partitioning;
-    # the hash makes its sorts compare one number instead of the point columns.
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    point = ["_hash", *point_cols]
+    places = materialize(
+        points.where(_has_point(lat, lon))
+        .select("lat", "lon")
+        .distinct()
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "places",
+    )
+    place = ["_place", "lat", "lon"]
     box = ("cell", "lat_lo", "lat_hi", "lon_lo", "lon_hi")
     root = _boxes(grid, top).agg(F.collect_list(F.struct(*box)).alias("cells"))
+    # Cells that cannot win go before a place becomes several rows.
+    cells = F.col("_cells")
+    best = F.array_min(F.transform(cells, lambda c: _bounds(c, lat, lon)[1]))
     cand = (
-        points.withColumn("_hash", F.xxhash64(*point_cols))
-        .repartition(cores, *point)
-        .withColumn("_cells", F.when(_has_point(lat, lon), root.scalar()))
-        .select(*point, F.lit(float("inf")).alias("bound"), F.explode_outer("_cells").alias("_box"))
-        .select(*point, "bound", *[f"_box.{c}" for c in box])
+        places.withColumn("_cells", root.scalar())
+        .withColumn("bound", best)
+        .withColumn("_cells", F.filter(cells, lambda c: _bounds(c, lat, lon)[0] <= F.col("bound")))
+        .select(*place, "bound", F.explode(F.transform("_cells", lambda c: c["cell"])).alias("cell"))
     )
-    cand = _narrow(cand, point, lat, lon)
     for level in range(top + 1, depth + 1):
         below = _boxes(grid, level, _cell(level - 1).alias("parent"))
-        parents = cand.withColumnRenamed("cell", "parent")
-        cand = _narrow(parents.join(below, "parent", "left"), point, lat, lon)
+        cand = _narrow(cand.withColumnRenamed("cell", "parent").join(below, "parent"), place, lat, lon)
 
     leaf = grid.select(_cell(depth).alias("cell"), "site", "site_lat", "site_lon")
     d2 = planar_d2(lat, lon, F.col("site_lat"), F.col("site_lon"))
     hit = F.struct(d2.alias("d2"), "site", "site_lat", "site_lon")
-    best = (
-        cand.join(leaf, "cell", "left")
-        .groupBy(*point)
-        .agg(F.min(F.when(F.col("site").isNotNull(), hit)).alias("hit"))
+    found = cand.join(leaf, "cell").groupBy("_place").agg(F.min(hit).alias("hit"))
+    # Back to the points by their place; a place that a third of them share is a skewed key with one match.
+    where = places.join(found, "_place", "left").select(
+        F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "hit"
     )
-    return best.select(
+    located = points.where(_has_point(lat, lon)).join(where, (lat == F.col("_lat")) & (lon == F.col("_lon")), "left")
+    every = located.drop("_lat", "_lon").unionByName(points.where(~_has_point(lat, lon)), allowMissingColumns=True)
+    return every.select(
         *point_cols,
         *[F.col(f"hit.site.{c}").alias(c) for c in ("site_id", *keep)],
         F.col("hit.site_lat").alias("site_lat"),

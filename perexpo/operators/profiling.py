@@ -56,6 +56,12 @@ def type_profile(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(stored_type(col).alias("stored_type")).agg(F.count("*").alias("row_count"))
 
 
+def unreadable(df: DataFrame, col: str, read: Column) -> DataFrame:
+    """How many values of a text column a conversion makes NULL although they hold something."""
+    lost = F.col(col).isNotNull() & read.isNull()
+    return df.agg(F.count("*").alias("row_count"), F.count_if(lost).alias("unreadable"))
+
+
 def dependency_counts(df: DataFrame, key: str, deps: Sequence[str]) -> DataFrame:
     """Per key, the number of distinct values of each dependent column.
 
@@ -69,10 +75,13 @@ def dependency_counts(df: DataFrame, key: str, deps: Sequence[str]) -> DataFrame
 
 def fd_violations(df: DataFrame, key: str, deps: Sequence[str]) -> DataFrame:
     """Keys with more than one value in some dependent column; empty means key -> deps."""
-    bad = F.lit(False)
+    # One aggregate that combines map-side finds the few keys; only their rows are counted out.
+    differs = F.lit(False)
     for d in deps:
-        bad = bad | (F.col(f"n_{d}") > 1)
-    return dependency_counts(df, key, deps).where(bad)
+        differs = differs | (F.min(d) != F.max(d))
+    found = df.groupBy(key).agg(differs.alias("_differs")).where("_differs").select(F.col(key).alias("_key"))
+    rows = df.select(key, *deps).join(found, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return dependency_counts(rows, key, deps)
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ exposure side, so nothing is counted twice and places without incidents stay wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,12 +58,13 @@ def incident_rollup(incidents: DataFrame) -> DataFrame:
 
 
 def exposure_totals(exposure: DataFrame) -> DataFrame:
-    """Exposure per site, largest first. Works on facts and on the rollup."""
-    return (
-        exposure.groupBy("site_id", "site_name")
-        .agg(_sum("exposure"))
-        .orderBy(F.desc("exposure"), "site_id")
-    )
+    """Exposure per site. Works on facts and on the rollup."""
+    return exposure.groupBy("site_id", "site_name").agg(_sum("exposure"))
+
+
+def exposure_ranking(exposure: DataFrame) -> DataFrame:
+    """Exposure per site, largest first."""
+    return exposure_totals(exposure).orderBy(F.desc("exposure"), "site_id")
 
 
 def incident_totals(crosswalk: DataFrame) -> DataFrame:
@@ -79,9 +81,8 @@ def pick_one(df: DataFrame, key: str, col: str, fn=F.max) -> DataFrame:
 def site_metrics(crosswalk: DataFrame, exposure: DataFrame, site_attr: DataFrame) -> DataFrame:
     """Incidents, exposure, attribute and rate of every site that has exposure."""
     count = F.coalesce(F.col("incidents"), F.lit(0).cast("bigint"))
-    totals = exposure.groupBy("site_id", "site_name").agg(_sum("exposure"))
     return (
-        totals.join(incident_totals(crosswalk), "site_id", "left")
+        exposure_totals(exposure).join(incident_totals(crosswalk), "site_id", "left")
         .join(pick_one(site_attr, "site_id", "attr"), "site_id", "left")
         .select(
             "site_id",
@@ -249,33 +250,52 @@ def rate_ratio(periods: DataFrame, base: str, key: str = "period") -> DataFrame:
     )
 
 
-def quadrant(
-    metrics: DataFrame,
-    volume_cut: float | None = None,
-    rate_cut: float | None = None,
-    accuracy: int = 10_000,
-) -> DataFrame:
+def quadrant(metrics: DataFrame, volume_cut: float | None = None, rate_cut: float | None = None) -> DataFrame:
     """Priority class by number of incidents and by rate, high meaning at or above the cut.
 
-    A cut that is not given is the median, taken from a mergeable sketch (exact while a
-    group has fewer values than ``accuracy``) so that no task has to hold all values.
+    A cut that is not given is the exact median, whatever the number of rows.
     """
-    med = metrics.agg(
-        F.struct(
-            F.percentile_approx("incidents", 0.5, accuracy).alias("volume"),
-            F.percentile_approx("rate", 0.5, accuracy).alias("rate"),
-        ).alias("cut")
-    )
-    if volume_cut is None or rate_cut is None:
-        metrics = metrics.withColumn("_cut", med.scalar())
-    v = F.col("_cut.volume") if volume_cut is None else F.lit(volume_cut)
-    r = F.col("_cut.rate") if rate_cut is None else F.lit(rate_cut)
+    if volume_cut is None:
+        volume_cut = exact_quantile(metrics, "incidents")
+    if rate_cut is None:
+        rate_cut = exact_quantile(metrics, "rate")
     side = F.concat(
-        flag(F.col("incidents") >= v, "High volume", "Low volume"),
+        flag(F.col("incidents") >= F.lit(volume_cut), "High volume", "Low volume"),
         F.lit(" / "),
-        flag(F.col("rate") >= r, "high rate", "low rate"),
+        flag(F.col("rate") >= F.lit(rate_cut), "high rate", "low rate"),
     )
-    return metrics.withColumn("quadrant", side).drop("_cut")
+    return metrics.withColumn("quadrant", side)
+
+
+def exact_quantile(df: DataFrame, col: str, q: float = 0.5, most: int = 10_000):
+    """The smallest value with at least ``q`` of the known values at or below it; None without values.
+
+    Each round takes two sketched quantiles around the wanted rank, counts exactly what lies
+    below the lower one, and goes on between them, until at most ``most`` different values are
+    left, which the driver reads with their counts. No task holds or sorts all values. ``df``
+    is read once a round; give it written if it is expensive.
+    """
+    value = F.col(col)
+    inside = df.where(value.isNotNull() & ~F.isnan(value.cast("double"))).select(value.alias("v"))
+    n, low, high = inside.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    rank, width = max(math.ceil(n * q), 1), 1 / math.sqrt(most)
+    while True:
+        inside = inside.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
+        counted = inside.groupBy("v").agg(F.count("*").alias("n")).limit(most + 1).collect()
+        if len(counted) <= most:
+            for row in sorted(counted):
+                rank -= row.n
+                if rank <= 0:
+                    return row.v
+        at = rank / n
+        around = F.percentile_approx("v", [max(at - width, 0.0), min(at + width, 1.0)], most)
+        low, high = inside.agg(around).first()[0]
+        below, upto = inside.agg(F.count_if(F.col("v") < F.lit(low)), F.count_if(F.col("v") <= F.lit(high))).first()
+        if below >= rank or upto < rank:
+            raise ArithmeticError("the sketch is less accurate than it promises")
+        rank, n = rank - below, upto - below
 
 
 def recurring(views: Sequence[DataFrame], min_views: int, key: str = "site_id") -> DataFrame:

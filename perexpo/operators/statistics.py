@@ -10,91 +10,42 @@ from pyspark.sql import functions as F
 from perexpo.operators.rates import top_k
 from perexpo.sources.tables import materialize
 
-_CUTS = 64
-_BLOCK = 8
-_SALTS = 64
-
-
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Linear correlation over the rows where both are known."""
     return df.agg(F.corr(x, y).alias("pearson"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
 
 
-def average_ranks(df: DataFrame, outs: Mapping[str, str], cuts: int = _CUTS) -> DataFrame:
-    """Rank of each value, ties sharing the average of their ranks; NULL has none.
+def _ranked(counts: DataFrame) -> DataFrame:
+    """(v, rank) from (v, n), one row per value: the average rank of the n rows that hold it.
 
-    ``outs`` maps each column to the name of its rank. A ranking window over everything
-    would sort the whole table in one task. Values are cut into ranges at sketched
-    quantiles instead, and the rank is what lies in the ranges below plus the rank inside
-    the range. Every cut point is a range of its own, so a value that holds a large share
-    of the rows is always such a point: its rank follows from the counts alone, its rows
-    need no common sort and are spread over salts.
-
-    A range that is sorted holds about one in ``cuts`` of the rows; more cuts make smaller
-    tasks. The cut points and the range counts (three numbers per cut and column) are read
-    by the driver once, so all uses agree on them. ``df`` is read twice, for the cut points
-    and to write its rows with their ranges; everything else starts from what was written.
+    Values are dealt out by range, so a running sum in each part and the totals of the parts
+    before it give the rank. A value that holds many rows is one row here. The number of parts
+    follows the session's setting, so no part has to grow with the table; the driver reads the
+    totals, one number per part.
     """
-    steps = [i / cuts for i in range(1, cuts)]
-    found = df.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in outs]).first()
-    points = {c: sorted(set(found[c] or [])) for c in outs}
-    ranged = df.withColumn("_row", F.monotonically_increasing_id())
-    for c in outs:
-        ranged = _with_range(ranged, c, points[c])
-    ranged = materialize(ranged, "ranges")
-
-    tagged = [F.struct(F.lit(c).alias("col"), F.col(_range(c)).alias("range")) for c in outs]
-    counts = {
-        (r["col"], r["range"]): r["count"]
-        for r in ranged.select(F.explode(F.array(*tagged)).alias("t"))
-        .groupBy("t.col", "t.range")
-        .count()
-        .collect()
-    }
-    for c, out in outs.items():
-        sizes = [counts.get((c, i), 0) for i in range(2 * len(points[c]) + 1)]
-        ranged = _rank_in_range(ranged, c, out, sizes)
-    return ranged.drop("_row", *[_range(c) for c in outs])
-
+    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    parts = materialize(parts, "ranges")
+    totals = {r["part"]: r["total"] for r in parts.groupBy("part").agg(F.sum("n").alias("total")).collect()}
+    starts = F.lit([sum(n for p, n in totals.items() if p < i) for i in range(max(totals, default=0) + 1)])
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.get(starts, F.col("part")) + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return parts.select("v", (below + (F.col("n") + 1) / 2).alias("rank"))
 
-def _range(col: str) -> str:
-    return f"_range_{col}"
 
+def average_ranks(df: DataFrame, outs: Mapping[str, str]) -> DataFrame:
+    """Rank of each value, ties sharing the average of their ranks; NULL has none.
 
-def _with_range(df: DataFrame, col: str, cuts: list) -> DataFrame:
-    """Number of the range: odd for a value equal to a cut point, even between two.
-
-    The position among the cut points is found in two steps, by block and inside it.
+    ``outs`` maps each column to the name of its rank. Only the different values with their
+    numbers of rows are put in order; the ranks come back by a join on the value, in which a
+    value with many rows is a skewed key with a single match.
     """
-    v = F.col(col)
-    if not cuts:
-        return df.withColumn(_range(col), F.lit(None).cast("int"))
-    blocks = [cuts[i : i + _BLOCK] for i in range(0, len(cuts), _BLOCK)]
-    starts = F.lit([block[0] for block in blocks])
-    return (
-        df.withColumn("_block", F.greatest(F.size(F.filter(starts, lambda c: c <= v)) - 1, F.lit(0)))
-        .withColumn("_in_block", F.get(F.array(*[F.lit(block) for block in blocks]), F.col("_block")))
-        .withColumn("_upto", F.col("_block") * _BLOCK + F.size(F.filter("_in_block", lambda c: c <= v)))
-        .withColumn(
-            _range(col),
-            F.when(v.isNotNull(), F.col("_upto") * 2 - (F.get(F.lit(cuts), F.col("_upto") - 1).eqNullSafe(v)).cast("int")),
-        )
-        .drop("_block", "_in_block", "_upto")
-    )
-
-
-def _rank_in_range(df: DataFrame, col: str, out: str, sizes: list[int]) -> DataFrame:
-    v, at = F.col(col), F.col(_range(col))
-    single = at % 2 == 1
-    spread = F.when(single | v.isNull(), F.col("_row") % _SALTS).otherwise(0)
-    w = Window.partitionBy(_range(col), "_salt").orderBy(v)
-    # Ranks of the first and of the last peer; the running count includes all peers.
-    first, last = F.rank().over(w), F.count("*").over(w)
-    start = F.get(F.lit([sum(sizes[:i]) for i in range(len(sizes))]), at)
-    rank = F.when(single, start + (F.get(F.lit(sizes), at) + 1) / 2).when(
-        v.isNotNull(), start + (first + last) / 2
-    )
-    return df.withColumn("_salt", spread).withColumn(out, rank.cast("double")).drop("_salt")
+    for c, out in outs.items():
+        known = df.where(F.col(c).isNotNull())
+        ranks = _ranked(known.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")))
+        ranks = ranks.select(F.col("v").alias("_v"), F.col("rank").cast("double").alias(out))
+        joined = known.join(ranks, F.col(c) == F.col("_v"), "left").drop("_v")
+        df = joined.unionByName(df.where(F.col(c).isNull()), allowMissingColumns=True)
+    return df
 
 
 def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -102,9 +53,26 @@ def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation over the rows where both are known."""
-    ranked = average_ranks(df.select(x, y).dropna(), {x: "_rx", y: "_ry"})
-    return ranked.agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
+    """Rank correlation over the rows where both are known.
+
+    The rows become different pairs with their numbers first; ranks, and the sums of the
+    correlation, are weighted by these. The mean of average ranks is (n + 1) / 2.
+    """
+    pairs = materialize(
+        df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("n")),
+        "pairs",
+    )
+    ranked = pairs
+    for c in ("x", "y"):
+        ranks = _ranked(pairs.groupBy(F.col(c).alias("v")).agg(F.sum("n").alias("n")))
+        ranked = ranked.join(ranks.select(F.col("v").alias(c), F.col("rank").alias(f"r{c}")), c)
+    total = pairs.agg(F.sum("n").alias("n")).scalar()
+    middle = (total + 1) / 2
+    w, a, b = F.col("n").cast("double"), F.col("rx") - middle, F.col("ry") - middle
+    sums = ranked.agg(
+        F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
+    )
+    return sums.select(F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("spearman"), "n")
 
 
 def log10(df: DataFrame, col: str, out: str) -> DataFrame:

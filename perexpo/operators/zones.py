@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from perexpo.functions.cleaning import as_col, attribute_value, is_topcoded, strip_literal
 from perexpo.functions.geometry import inside, ring_edges
+from perexpo.operators.nearest import best_per_key
 
 # What the zone attribute source puts in front of ids and in its extra row.
 ZONE_ID_PREFIX = "1400000US"
@@ -101,10 +102,11 @@ def site_attributes(sites_in_zones: DataFrame, attributes: DataFrame) -> DataFra
 def enrich(crosswalk: DataFrame, site_attr: DataFrame) -> DataFrame:
     """Attach the attribute of the assigned site; every cluster stays.
 
-    Clusters without a site can be many and would all meet in one task of the join, so
-    they go around it.
+    A site in several zones takes the first of them by zone id, so that no cluster is
+    counted twice. Clusters without a site can be many and would all meet in one task of the
+    join, so they go around it.
     """
-    attrs = site_attr.select("site_id", "zone_id", "attr", "topcoded")
+    attrs = best_per_key(site_attr.select("site_id", "zone_id", "attr", "topcoded"), ["site_id"], ["zone_id"])
     matched = crosswalk.where(F.col("site_id").isNotNull()).join(attrs, "site_id", "left")
     rest = crosswalk.where(F.col("site_id").isNull())
     return matched.unionByName(rest, allowMissingColumns=True)

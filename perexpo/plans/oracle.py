@@ -66,7 +66,7 @@ _ABBREV = (
 )
 _DIST_EDGES = ("0.05", "0.1", "0.25", "0.5")
 _DIST_SHORT = ("'0-0.05'", "'0.05-0.10'", "'0.10-0.25'", "'0.25-0.50'", "'Over 0.50'")
-_DIST_LONG = tuple(f"{x[:-1]} miles'" for x in _DIST_SHORT)
+_DIST_LONG = ("'0-0.05 miles'", "'0.05-0.10 miles'", "'0.10-0.25 miles'", "'0.25-0.50 miles'", "'Over 0.50 miles'")
 _ORDINALS = ("0", "1", "2", "3", "4")
 _INCOME_EDGES = ("50000", "75000", "100000", "150000")
 _INCOME = ("'Under $50k'", "'$50k-$75k'", "'$75k-$100k'", "'$100k-$150k'", "'$150k+'")
@@ -456,7 +456,45 @@ FINAL: dict[str, str] = {
     "view_volume_vs_exposure_trend": _ols("exposure", "incidents", "s_published", 10),
     "view_top_sites": """SELECT site_name, round(r, 6) AS rate FROM (SELECT site_name, sum(rate) AS r
         FROM s_published WHERE exposure >= 100000 GROUP BY 1) ORDER BY r DESC, site_name LIMIT 10""",
-    "full_analysis": "SELECT * FROM s_served_periods",
+    "full_analysis": " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, count(*) AS row_count, CAST(sum(exposure) AS BIGINT) AS exposure,
+            {rate} AS avg_rate FROM {source}"""
+        for name, source, rate in (
+            ("sites", "s_published", "round(avg(rate), 6)"),
+            ("site_periods", "s_served_periods", "round(avg(rate), 6)"),
+            ("periods", "s_periods", "round(avg(rate), 6)"),
+            ("volume_set", "s_metrics", "CAST(NULL AS DOUBLE)"),
+            ("rate_set", "s_rate_set", "round(avg(rate), 6)"),
+            ("attribute_set", "s_attr_set", "round(avg(rate), 6)"),
+        )
+    ),
+    "published_sites": "SELECT * FROM s_published",
+    "clean_decimal": """SELECT l_orderkey, l_linenumber, CAST(l_quantity AS VARCHAR) AS text,
+        CAST(trunc(l_quantity) AS BIGINT) AS cleaned FROM lineitem""",
+    "unreadable_values": """SELECT count(*) AS row_count,
+        count(*) FILTER (o_orderpriority IS NOT NULL AND try_cast(o_orderpriority AS BIGINT) IS NULL) AS unreadable
+        FROM orders""",
+    "csv_odd_values": """SELECT o_orderkey, CASE o_orderkey % 6
+        WHEN 0 THEN '  ' || o_orderpriority || ' '
+        WHEN 1 THEN o_orderpriority || chr(10) || o_orderpriority
+        WHEN 2 THEN '"' || o_orderpriority || '", "'
+        WHEN 3 THEN ''
+        WHEN 4 THEN NULL
+        ELSE o_orderpriority || chr(13) || chr(10) || ',' || chr(92) END AS text FROM orders""",
+    "nearest_site_of_facts": """SELECT site_id, count(*) AS points, round(max(miles), 6) AS farthest_miles
+        FROM (SELECT CASE WHEN district <> 3 THEN lat END AS plat, lon AS plon FROM s_incidents) f
+        LEFT JOIN (SELECT plat, plon, site_id, 2 * 3959e0 * asin(sqrt(power(sin(radians(lat - plat) / 2), 2)
+                + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lon - plon) / 2), 2))) AS miles
+            FROM (SELECT DISTINCT lat AS plat, lon AS plon FROM s_incidents) p CROSS JOIN s_dim
+            QUALIFY row_number() OVER (PARTITION BY plat, plon
+                ORDER BY (plat - lat) * (plat - lat) + (plon - lon) * (plon - lon), site_id) = 1) n USING (plat, plon)
+        GROUP BY site_id""",
+    "clusters_without_place": """SELECT name, CASE WHEN district <> 3 THEN lat_e5 END AS lat_e5,
+        CASE WHEN district <> 5 THEN lon_e5 END AS lon_e5, count(*) AS incidents FROM s_keyed GROUP BY ALL""",
+    "raw_incidents": "SELECT dt, tm, name, lat, lon, district FROM s_incidents",
+    "raw_exposure": """SELECT * REPLACE (CAST(replace(exposure, ',', '') AS BIGINT) AS exposure)
+        FROM s_exposure_raw""",
+    "raw_zone_attributes": "SELECT geo_id, CAST(NULL AS VARCHAR) AS name, value FROM s_attr_raw",
 }
 
 _STAGE_NAME = re.compile(r"\bs_[a-z_]+\b")

@@ -7,13 +7,14 @@ data the defaults were made for, the values below are used.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perexpo.functions import bins, cleaning, daytime, geometry, names
 from perexpo.operators import matching, profiling, rates, statistics, views, zones
-from perexpo.operators.nearest import best_per_key
+from perexpo.operators.nearest import best_per_key, nearest
 from perexpo.plans import analysis, inputs
 from perexpo.sources import tables
 
@@ -112,10 +113,26 @@ def _reviews(cand: DataFrame) -> DataFrame:
     return matching.append_decisions(applied, low_batch(cand))
 
 
-def _crosswalk(spark: SparkSession, d: str, cand: DataFrame | None = None) -> DataFrame:
-    cand = _candidates(spark, d) if cand is None else cand
-    lookup = matching.site_lookup(matching.site_dim(inputs.exposure_raw(spark, d)))
-    return matching.build_crosswalk(cand, _reviews(cand), lookup, REVIEW_MIN)
+@dataclass(frozen=True)
+class _Stages:
+    """What queries on sites and periods start from: each fact table was read once for it."""
+
+    incidents: DataFrame
+    exposure: DataFrame
+    cand: DataFrame
+    crosswalk: DataFrame
+
+
+def _stages(spark: SparkSession, d: str) -> _Stages:
+    incidents, exposure = _rollups(spark, d)
+    sites = matching.site_dim(exposure)
+    cand = tables.materialize(matching.candidates(matching.clusters_of(incidents), sites), "candidates")
+    crosswalk = matching.build_crosswalk(cand, _reviews(cand), matching.site_lookup(sites), REVIEW_MIN)
+    return _Stages(incidents, exposure, cand, crosswalk)
+
+
+def _crosswalk(spark: SparkSession, d: str) -> DataFrame:
+    return _stages(spark, d).crosswalk
 
 
 def _site_attr(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +147,8 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rates.site_metrics(_crosswalk(spark, d), inputs.exposure(spark, d), _site_attr(spark, d))
+    stages = _stages(spark, d)
+    return rates.site_metrics(stages.crosswalk, stages.exposure, _site_attr(spark, d))
 
 
 def _written_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -148,8 +166,8 @@ def _rollups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _site_periods(spark: SparkSession, d: str) -> DataFrame:
-    incidents, exposure = _rollups(spark, d)
-    return rates.site_period_metrics(incidents, _crosswalk(spark, d), exposure, _site_attr(spark, d))
+    stages = _stages(spark, d)
+    return rates.site_period_metrics(stages.incidents, stages.crosswalk, stages.exposure, _site_attr(spark, d))
 
 
 def _periods(spark: SparkSession, d: str) -> DataFrame:
@@ -326,14 +344,15 @@ def reconcile_clean(spark, d):
 
 @register
 def reconcile_crosswalk(spark, d):
-    cand = _candidates(spark, d)
-    return profiling.reconcile(cand, _crosswalk(spark, d, cand), "incidents", "incidents")
+    stages = _stages(spark, d)
+    return profiling.reconcile(stages.cand, stages.crosswalk, "incidents", "incidents")
 
 
 @register
 def reconcile_site_period(spark, d):
-    facts = inputs.exposure(spark, d)
-    return profiling.reconcile(facts, _site_periods(spark, d), "exposure", "exposure").select(
+    stages = _stages(spark, d)
+    served = rates.site_period_metrics(stages.incidents, stages.crosswalk, stages.exposure, _site_attr(spark, d))
+    return profiling.reconcile(inputs.exposure(spark, d), served, "exposure", "exposure").select(
         "rows_after", "measure_before", "measure_after", "measure_equal"
     )
 
@@ -648,8 +667,8 @@ def crosswalk_duplicates(spark, d):
 
 @register
 def attach_site(spark, d):
-    counts = rates.incident_rollup(inputs.incidents(spark, d))
-    joined = matching.attach_site(counts, _crosswalk(spark, d), ["period"])
+    stages = _stages(spark, d)
+    joined = matching.attach_site(stages.incidents, stages.crosswalk, ["period"])
     return joined.groupBy("site_id", "period").agg(F.sum("incidents").cast("bigint").alias("incidents"))
 
 
@@ -673,7 +692,7 @@ def site_attributes(spark, d):
 
 @register
 def exposure_totals(spark, d):
-    return rates.exposure_totals(inputs.exposure(spark, d))
+    return rates.exposure_ranking(inputs.exposure(spark, d))
 
 
 @register
@@ -938,7 +957,7 @@ def view_top_sites(spark, d):
 
 @register
 def full_analysis(spark, d):
-    """All stages from raw facts; the site and period table at the end."""
+    """All stages from raw facts, published and read back: what each of the tables holds."""
     result = analysis.analyse(
         inputs.incidents(spark, d),
         inputs.exposure(spark, d),
@@ -947,4 +966,103 @@ def full_analysis(spark, d):
         REVIEW_MIN,
         MIN_SITE_PERIOD,
     )
-    return result.site_periods
+    served = analysis.publish(result, tables.scratch_path(spark, "served"), MIN_SITE)
+    return analysis.contents(served)
+
+
+@register
+def published_sites(spark, d):
+    """The site table as a CSV file holds it."""
+    result = rates.publish_sites(_metrics(spark, d))
+    path = tables.write_csv(result, tables.scratch_path(spark, "sites"))
+    return tables.read_csv(spark, path, result.schema)
+
+
+# ---- values that are easily lost ---------------------------------------------------
+
+
+@register
+def clean_decimal(spark, d):
+    """Whole numbers that arrive as decimal text."""
+    text = inputs.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").alias("text")
+    )
+    return text.select("l_orderkey", "l_linenumber", "text", cleaning.clean_int("text").alias("cleaned"))
+
+
+@register
+def unreadable_values(spark, d):
+    orders = inputs.table(spark, d, "orders")
+    return profiling.unreadable(orders, "o_orderpriority", cleaning.clean_int("o_orderpriority"))
+
+
+@register
+def csv_odd_values(spark, d):
+    """Texts with spaces at the ends, line ends, quotes, separators, and empty and missing ones."""
+    o = inputs.table(spark, d, "orders")
+    k, word = F.col("o_orderkey"), F.col("o_orderpriority")
+    text = (
+        F.when(k % 6 == 0, F.concat(F.lit("  "), word, F.lit(" ")))
+        .when(k % 6 == 1, F.concat(word, F.lit("\n"), word))
+        .when(k % 6 == 2, F.concat(F.lit('"'), word, F.lit('", "')))
+        .when(k % 6 == 3, "")
+        .when(k % 6 == 4, None)
+        .otherwise(F.concat(word, F.lit("\r\n,\\")))
+    )
+    rows = o.select("o_orderkey", text.alias("text"))
+    return tables.read_csv(spark, tables.write_csv(rows, tables.scratch_path(spark, "odd")), rows.schema)
+
+
+@register
+def nearest_site_of_facts(spark, d):
+    """One point per incident: repeated places come back as often as they occur, places that are
+    no numbers without a site."""
+    facts = inputs.incidents(spark, d).select(
+        "name", F.when(F.col("district") == 3, F.lit(float("nan"))).otherwise(F.col("lat")).alias("lat"), "lon"
+    )
+    found = nearest(facts, matching.site_dim(inputs.exposure_raw(spark, d)))
+    return found.groupBy("site_id").agg(
+        F.count("*").alias("points"), F.round(F.max("distance_miles"), 6).alias("farthest_miles")
+    )
+
+
+@register
+def clusters_without_place(spark, d):
+    """Coordinates that are no numbers have no key."""
+    facts = inputs.incidents(spark, d).select(
+        "name",
+        F.when(F.col("district") == 3, F.lit(float("nan"))).otherwise(F.col("lat")).alias("lat"),
+        F.when(F.col("district") == 5, F.lit(float("inf"))).otherwise(F.col("lon")).alias("lon"),
+    )
+    return matching.coord_clusters(facts)
+
+
+# ---- raw tables to the columns of the analysis -------------------------------------
+
+
+@register
+def raw_incidents(spark, d):
+    raw = inputs.incidents(spark, d).select(
+        F.col("dt").alias("Start Date"),
+        F.col("tm").alias("Start Time"),
+        F.col("name").alias("Place"),
+        F.col("lat").cast("string").alias("Lat"),
+        F.col("lon").cast("string").alias("Long"),
+        F.col("district").cast("string").alias("District"),
+    )
+    names = {"dt": "Start Date", "tm": "Start Time", "name": "Place", "lat": "Lat", "lon": "Long", "district": "District"}
+    return tables.ingest(raw, tables.INCIDENT_SCHEMA, names)
+
+
+@register
+def raw_exposure(spark, d):
+    raw = inputs.exposure_raw(spark, d)
+    raw = raw.select([F.col(c).cast("string").alias(c) for c in raw.columns])
+    return tables.ingest(raw, tables.EXPOSURE_SCHEMA)
+
+
+@register
+def raw_zone_attributes(spark, d):
+    """A raw table without one of the declared columns."""
+    raw = inputs.zone_attributes_raw(spark, d).drop("name")
+    return tables.ingest(raw, tables.ZONE_ATTRIBUTE_SCHEMA, optional=["name"])

@@ -6,24 +6,24 @@ inferred. Derived tables are written with overwrite, so a rerun replaces them.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegralType, StringType, StructType
+
+from perexpo.functions.cleaning import clean_int, to_double
 
 SITE_SCHEMA = "site_id BIGINT, site_name STRING, lat DOUBLE, lon DOUBLE"
-SITE_ATTRIBUTE_SCHEMA = (
-    "site_id BIGINT, site_name STRING, zone_id STRING, attr DOUBLE, topcoded BOOLEAN"
-)
-RAW_INCIDENT_SCHEMA = (
-    "dt STRING, tm STRING, name STRING, premises STRING, lat DOUBLE, lon DOUBLE, district INT"
-)
-RAW_EXPOSURE_SCHEMA = (
-    "ts STRING, site_id STRING, site_name STRING, region STRING, "
-    "lat DOUBLE, lon DOUBLE, exposure STRING"
+INCIDENT_SCHEMA = "dt STRING, tm STRING, name STRING, lat DOUBLE, lon DOUBLE, district INT"
+EXPOSURE_SCHEMA = (
+    "ts STRING, site_id BIGINT, site_name STRING, region STRING, lat DOUBLE, lon DOUBLE, exposure BIGINT"
 )
 ZONE_ATTRIBUTE_SCHEMA = "geo_id STRING, name STRING, value STRING"
 ZONE_SCHEMA = "zone_id STRING, rings ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>"
@@ -50,13 +50,29 @@ def empty(spark: SparkSession, schema: str | StructType) -> DataFrame:
     return spark.createDataFrame([], _struct(schema))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """CSV with a header row and a declared schema; a header that differs is an error."""
+#: How a CSV file holds NULL, so that it differs from an empty text.
+NULL_MARK = "\\N"
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "nullValue": NULL_MARK,
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType, null: str = NULL_MARK) -> DataFrame:
+    """CSV with a header row and a declared schema; a header or a value that does not fit is an error.
+
+    Values may hold line ends, so a file is read by one task.
+    """
     return (
         spark.read.schema(_struct(schema))
-        .option("header", True)
+        .options(**_CSV | {"nullValue": null})
         .option("enforceSchema", False)
-        .option("escape", '"')
+        .option("multiLine", True)
+        .option("mode", "FAILFAST")
         .csv(path)
     )
 
@@ -64,15 +80,55 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFr
 def read_raw(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Any table as text, with lower-case column names; types are decided by the caller."""
     if fmt == "csv":
-        df = spark.read.option("header", True).option("escape", '"').csv(path)
+        df = spark.read.options(**_CSV).option("multiLine", True).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     return df.select([F.col(f"`{c}`").cast("string").alias(c.lower()) for c in df.columns])
 
 
+def ingest(
+    raw: DataFrame,
+    schema: str | StructType,
+    names: Mapping[str, str] | None = None,
+    optional: Sequence[str] = (),
+) -> DataFrame:
+    """A raw table of texts as the columns that the analysis takes, each converted once.
+
+    ``names`` gives the raw name of a column where it differs; case does not matter. Whole
+    numbers may have separators or a decimal point. Text that cannot be read is NULL, which
+    ``profiling.unreadable`` counts. A column that the raw table lacks is an error, or NULL if
+    it is optional.
+    """
+    present = {c.lower(): c for c in raw.columns}
+    out = []
+    for field in _struct(schema).fields:
+        own = present.get((names or {}).get(field.name, field.name).lower())
+        kind = field.dataType
+        if own is None:
+            if field.name not in optional:
+                raise ValueError(f"the raw table has no column for {field.name}")
+            value = F.lit(None).cast(kind)
+        elif isinstance(kind, IntegralType):
+            value = clean_int(F.col(f"`{own}`")).cast(kind)
+        elif isinstance(kind, DoubleType):
+            value = to_double(F.col(f"`{own}`"))
+        else:
+            value = F.col(f"`{own}`").cast(kind)
+        out.append(value.alias(field.name))
+    return raw.select(out)
+
+
 def write_csv(df: DataFrame, path: str) -> str:
-    """CSV with a header; quotes inside values are doubled."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; every value comes back as it was.
+
+    All values are quoted and quotes inside them doubled. A text that equals the mark for
+    NULL is an error.
+    """
+    marks = [F.col(f"`{f.name}`") == NULL_MARK for f in df.schema.fields if f.dataType == StringType()]
+    for name, mark in zip([f.name for f in df.schema.fields if f.dataType == StringType()], marks, strict=True):
+        refused = F.raise_error(F.lit(f"a value of {name} is the mark for NULL")).cast("string")
+        df = df.withColumn(name, F.when(mark, refused).otherwise(F.col(f"`{name}`")))
+    df.write.mode("overwrite").options(**_CSV).option("quoteAll", True).csv(path)
     return path
 
 
@@ -99,22 +155,57 @@ def load_decisions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     return spark.read.schema(_struct(DECISION_SCHEMA)).format(fmt).load(path)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting gets a folder of its own; on a cluster a
-    machine-local folder would not be seen by the other executors.
-    """
+def _checkpoint_dir(spark: SparkSession) -> str | None:
+    """The shared folder of the session or of its context."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get() if found.isDefined() else None
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder for intermediate tables of this application, below the shared checkpoint folder.
+
+    Only a local session without such a folder gets a temporary one of its own; on a cluster a
+    machine-local folder would not be seen by the other executors. ``clear_scratch`` removes
+    it, and runs by itself when the program ends.
+    """
+    app = f"perexpo-{spark.sparkContext.applicationId}"
+    shared = _checkpoint_dir(spark)
+    if shared:
+        path = f"{shared.rstrip('/')}/{app}"
+    elif spark.sparkContext.master.startswith("local"):
+        path = os.path.join(tempfile.gettempdir(), app)
+    else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return os.path.join(tempfile.gettempdir(), f"perexpo-{spark.sparkContext.applicationId}")
+    if path not in _SCRATCH:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        _SCRATCH[path] = folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if len(_SCRATCH) == 1:
+            atexit.register(_clear_all)
+    return path
+
+
+#: Scratch folders in use: the folder and its file system, which outlive the session.
+_SCRATCH: dict[str, tuple] = {}
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; results that were not saved go with them."""
+    folder, files = _SCRATCH.pop(scratch_dir(spark))
+    files.delete(folder, True)
+
+
+def _clear_all() -> None:
+    while _SCRATCH:
+        _, (folder, files) = _SCRATCH.popitem()
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may have gone before
+            files.delete(folder, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

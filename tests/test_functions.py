@@ -7,8 +7,10 @@ from perexpo.functions import bins, cleaning, daytime, geometry, names
 
 
 def test_clean_int(values):
+    decimals = ["5.0", "1,008.0", "-3.", ".5", "1e3"]
+    assert values(cleaning.clean_int, decimals) == [5, 1008, -3, None, None]
     data = ["5", "1,008", "1,234,567", None, "abc", "12.7"]
-    assert values(cleaning.clean_int, data) == [5, 1008, 1234567, None, None, None]
+    assert values(cleaning.clean_int, data) == [5, 1008, 1234567, None, None, 12]
     lenient = values(lambda c: cleaning.clean_int(c, lenient=True), data)
     assert lenient == [5, 1008, 1234567, None, 0, 12]
 

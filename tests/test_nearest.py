@@ -1,3 +1,4 @@
+import re
 import random
 
 import pytest
@@ -88,3 +89,19 @@ def test_distance_is_reported_in_miles(spark):
     p = spark.createDataFrame([(40.0, -74.0)], "lat double, lon double")
     s = spark.createDataFrame([(1, "s", 41.0, -74.0)], "site_id bigint, site_name string, lat double, lon double")
     assert nearest(p, s).select(F.round("distance_miles", 2)).first()[0] == 69.1
+
+
+def test_repeated_points_and_places_that_are_no_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    points = [(1.0, 1.0)] * 3 + [(nan, 1.0), (1.0, inf), (None, 1.0), (nan, 1.0)]
+    sites = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "b", 2.0, 2.0)], "site_id bigint, site_name string, lat double, lon double")
+    found = nearest(spark.createDataFrame(points, "lat double, lon double"), sites)
+    assert sorted((r.site_id for r in found.collect()), key=str) == [1, 1, 1, None, None, None, None]
+
+
+def test_steps_below_the_exploded_cells_use_one_number(spark):
+    rng = spark.range(3000).selectExpr("cast(rand(1) as double) lat", "cast(rand(2) as double) lon")
+    sites = spark.range(500).selectExpr("id site_id", "'x' site_name", "rand(3) lat", "rand(4) lon")
+    plan = nearest(rng, sites)._jdf.queryExecution().executedPlan().toString()
+    # The window of a level sorts and deals out by the place's number, not by its coordinates.
+    assert re.search(r"Window \[min\(upper#\d+\) windowspecdefinition\(_place#", plan)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from perexpo.operators import profiling
@@ -53,6 +54,54 @@ def test_csv_keeps_quotes_commas_and_leading_zeros(spark):
     assert sorted(tables.read_csv(spark, path, df.schema).collect()) == sorted(df.collect())
 
 
+def test_csv_loses_nothing(spark):
+    texts = [" a ", "", None, "x\ny", "x\r\ny", '"', '","', "\\", "a\\", "\\n", "ü\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, name string")
+    path = tables.write_csv(df, tables.scratch_path(spark, "csv"))
+    assert [r.name for r in tables.read_csv(spark, path, df.schema).orderBy("id").collect()] == texts
+    with pytest.raises(Exception, match="12x|MALFORMED|FAILFAST"):
+        bad = tables.write_csv(df.select(F.lit("12x").alias("id")), tables.scratch_path(spark, "bad"))
+        tables.read_csv(spark, bad, "id int").collect()
+    with pytest.raises(Exception, match="mark for NULL"):
+        tables.write_csv(df.select(F.lit(tables.NULL_MARK).alias("name")), tables.scratch_path(spark, "mark"))
+
+
+def test_ingest(spark):
+    raw = spark.createDataFrame([("7", "1,008.0", "x")], "`Site ID` string, Exposure string, other string")
+    schema = "site_id bigint, exposure bigint, lat double"
+    found = tables.ingest(raw, schema, {"site_id": "site id"}, optional=["lat"])
+    assert found.collect() == [(7, 1008, None)] and found.schema.simpleString() == "struct<site_id:bigint,exposure:bigint,lat:double>"
+    with pytest.raises(ValueError, match="lat"):
+        tables.ingest(raw, schema, {"site_id": "site id"})
+
+
+def test_unreadable(spark):
+    from perexpo.functions import cleaning
+
+    df = spark.createDataFrame([("5",), ("5.0",), ("x",), (None,)], "v string")
+    assert profiling.unreadable(df, "v", cleaning.clean_int("v")).collect() == [(4, 1)]
+
+
+def test_no_scratch_folder_is_left(tmp_path):
+    import glob
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from perexpo.sources import tables\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print(tables.materialize(s.range(3)).count())\n"
+        "print(tables.scratch_dir(s))\n"
+        "s.stop()\n"
+    )
+    env = os.environ | {"TMPDIR": str(tmp_path), "PYTHONPATH": os.getcwd()}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split()[0] == "3", done.stderr[-2000:]
+    assert glob.glob(f"{tmp_path}/perexpo-*") == []
+
+
 def test_raw_tables_are_text(spark):
     path = tables.scratch_path(spark, "raw")
     spark.createDataFrame([(1, 2.5)], "ID int, Value double").write.parquet(path)

@@ -8,10 +8,13 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from perexpo.plans import inputs
 from perexpo.plans import queries as Q
+from perexpo.plans.oracle import ORACLE_SQL
 
 SF_DIR = f"{TESTDATA}/sf0.001"
 SHARED = ("_candidates", "_crosswalk", "_metrics", "_written_metrics")
+ORIGINAL = {name: getattr(Q, name) for name in SHARED}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +35,21 @@ def shared_stages():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(Q.QUERIES) == set(ORACLE_SQL)
+    assert set(Q.QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", ["site_metrics", "rank_site_period", "crosswalk_report", "residuals"])
+def test_facts_are_read_once(spark, name, monkeypatch):
+    """Queries on sites and periods read incidents once and exposure once."""
+    reads = []
+    for fn in (inputs.incidents, inputs.exposure_raw):
+        monkeypatch.setattr(inputs, fn.__name__, lambda *a, fn=fn: reads.append(fn.__name__) or fn(*a))
+    for stage in SHARED:
+        monkeypatch.setattr(Q, stage, ORIGINAL[stage])
+    Q.QUERIES[name](spark, SF_DIR)
+    assert sorted(reads) == ["exposure_raw", "incidents"]
 
 
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))

@@ -116,3 +116,13 @@ def test_rate_ratio(spark):
 def test_recurring(spark):
     lists = [spark.createDataFrame([(i,) for i in ids], "site_id bigint") for ids in ([1, 2, 2], [2, 3], [2, 3])]
     assert sorted(rates.recurring(lists, 2).collect()) == [(2, 3), (3, 2)]
+
+
+def test_median_is_exact_at_any_size(spark):
+    df = spark.range(1, 60_002).selectExpr("(id * 7919) % 60001 as v")
+    assert rates.exact_quantile(df, "v", most=500) == 30_000
+    assert rates.exact_quantile(df.where("v < 4"), "v") == 1
+    assert rates.exact_quantile(df.where("v < 0"), "v") is None
+    heavy = df.selectExpr("case when v < 40000 then 5.0 else double(v) end as v")
+    assert rates.exact_quantile(heavy, "v", most=100) == 5.0
+    assert rates.exact_quantile(heavy.selectExpr("case when v > 5 then v end as v"), "v", most=100) == 50_000.0
