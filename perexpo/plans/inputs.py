@@ -54,11 +54,13 @@ def site_name(u: Column) -> Column:
 
 
 def incident_name(u: Column) -> Column:
-    """Spelling of the same places in the incident source; offices and unknowns included."""
+    """Spelling of the same places in the incident source; offices, unknowns and names that
+    several places share included."""
     n = u.cast("string")
     return (
         F.when(u % 50 == 49, None)
         .when(u % 25 == 24, F.concat(F.lit("DISTRICT "), n, F.lit(" OFFICE")))
+        .when(u % 10 == 3, F.concat(F.lit("PLAZA "), (u % 3).cast("string")))
         .when(u % 6 == 0, F.concat(n, F.lit(" ST.")))
         .when(u % 6 == 1, F.concat(n, F.lit(" AVE.")))
         .when(u % 12 == 2, F.concat(n, F.lit(" ST.-OAK PARK")))
@@ -75,7 +77,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, i = F.col("user_id"), F.col("event_id")
     return e.select(
         F.date_format("ts", "MM/dd/yyyy").alias("dt"),
-        F.date_format("ts", "HH:mm:ss").alias("tm"),
+        F.when(i % 97 != 0, F.date_format("ts", "HH:mm:ss")).alias("tm"),
         incident_name(u).alias("name"),
         (site_lat(u) + (i % 5) * (i % 5 + 1) * F.lit(5e-4)).alias("lat"),
         site_lon(u).alias("lon"),
@@ -84,9 +86,11 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exposure_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exposure facts as they arrive: 12-hour timestamps and numbers with separators."""
+    """Exposure facts as they arrive: 12-hour timestamps and numbers with separators, some as
+    decimals and some missing."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "purchase"))
-    u = F.col("user_id")
+    u, i = F.col("user_id"), F.col("event_id")
+    number = F.format_number(F.floor(F.col("value") * 100).cast("bigint"), 0)
     return e.select(
         F.date_format("ts", "MM/dd/yyyy hh:mm:ss a").alias("ts"),
         u.alias("site_id"),
@@ -94,7 +98,7 @@ def exposure_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("R"), (u % 5).cast("string")).alias("region"),
         site_lat(u).alias("lat"),
         site_lon(u).alias("lon"),
-        F.format_number(F.floor(F.col("value") * 100).cast("bigint"), 0).alias("exposure"),
+        F.when(i % 89 == 0, F.concat(number, F.lit(".0"))).when(i % 101 != 0, number).alias("exposure"),
     )
 
 

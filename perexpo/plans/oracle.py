@@ -31,6 +31,7 @@ def _site_name(u: str) -> str:
 def _incident_name(u: str) -> str:
     return f"""CASE WHEN {u} % 50 = 49 THEN NULL
         WHEN {u} % 25 = 24 THEN 'DISTRICT ' || {u} || ' OFFICE'
+        WHEN {u} % 10 = 3 THEN 'PLAZA ' || {u} % 3
         WHEN {u} % 6 = 0 THEN {u} || ' ST.'
         WHEN {u} % 6 = 1 THEN {u} || ' AVE.'
         WHEN {u} % 12 = 2 THEN {u} || ' ST.-OAK PARK'
@@ -75,7 +76,7 @@ _SITE_LABELS = ("'Under 50k'", "'50k-100k'", "'100k-150k'", "'150k-200k'", "'200
 _INSIDE_X = "(e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1"
 
 STAGES: dict[str, str] = {
-    "s_incidents": f"""SELECT strftime(ts, '%m/%d/%Y') AS dt, strftime(ts, '%H:%M:%S') AS tm,
+    "s_incidents": f"""SELECT strftime(ts, '%m/%d/%Y') AS dt, CASE WHEN event_id % 97 <> 0 THEN strftime(ts, '%H:%M:%S') END AS tm,
         {_incident_name('user_id')} AS name,
         {_lat('user_id')} + (event_id % 5) * (event_id % 5 + 1) * 5e-4 AS lat,
         {_lon('user_id')} AS lon, CAST(user_id % 12 AS INTEGER) AS district
@@ -83,7 +84,8 @@ STAGES: dict[str, str] = {
     "s_exposure_raw": f"""SELECT strftime(ts, '%m/%d/%Y %I:%M:%S %p') AS ts, user_id AS site_id,
         {_site_name('user_id')} AS site_name, 'R' || user_id % 5 AS region,
         {_lat('user_id')} AS lat, {_lon('user_id')} AS lon,
-        format('{{:,}}', CAST(floor(value * 100) AS BIGINT)) AS exposure
+        CASE WHEN event_id % 89 = 0 THEN format('{{:,}}', CAST(floor(value * 100) AS BIGINT)) || '.0'
+            WHEN event_id % 101 <> 0 THEN format('{{:,}}', CAST(floor(value * 100) AS BIGINT)) END AS exposure
         FROM events WHERE event_type IN ('view', 'purchase')""",
     "s_exposure": """SELECT * REPLACE (CAST(replace(exposure, ',', '') AS BIGINT) AS exposure),
         hour(strptime(ts, '%m/%d/%Y %I:%M:%S %p')) AS h FROM s_exposure_raw""",
@@ -289,9 +291,11 @@ FINAL: dict[str, str] = {
     "profile_missing_name": "SELECT count(*) AS missing FROM s_incidents WHERE name IS NULL",
     "profile_distinct": "SELECT count(DISTINCT name) AS distinct_values FROM s_incidents",
     "profile_distinct_parts": "SELECT count(DISTINCT l_partkey) AS distinct_values FROM lineitem",
-    "profile_types": """SELECT CASE WHEN exposure LIKE '%,%' THEN 'text' ELSE 'integer' END AS stored_type,
+    "profile_types": """SELECT CASE WHEN exposure IS NULL THEN 'null' WHEN exposure LIKE '%,%' THEN 'text'
+            WHEN exposure LIKE '%.%' THEN 'real' ELSE 'integer' END AS stored_type,
         count(*) AS row_count FROM s_exposure_raw GROUP BY 1""",
-    "profile_types_clean": "SELECT 'integer' AS stored_type, count(exposure) AS row_count FROM s_exposure",
+    "profile_types_clean": """SELECT CASE WHEN exposure IS NULL THEN 'null' ELSE 'integer' END AS stored_type,
+        count(*) AS row_count FROM s_exposure GROUP BY 1""",
     "profile_fd": """SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_l_suppkey,
         count(DISTINCT l_returnflag) AS n_l_returnflag FROM lineitem GROUP BY 1
         HAVING count(DISTINCT l_suppkey) > 1 OR count(DISTINCT l_returnflag) > 1""",
