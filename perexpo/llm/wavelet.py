@@ -33,7 +33,7 @@ from perexpo.llm.common import stored
 END_ID = 2
 #: A shard ends with the document that reaches this number of ids.
 SHARD_IDS = 1 << 22
-_WORDS_KEPT = 1 << 20
+_WORDS_KEPT, _STRETCHES_KEPT = 1 << 19, 1 << 18
 #: Bits between two entries of the stored rank directory.
 _STEP = 512
 
@@ -187,11 +187,10 @@ class Encoder:
 
     def _stretch(self, piece: str) -> bytes:
         """A space and what follows it up to the next."""
-        if piece.isascii():
-            if piece.isalpha():
-                return self._word("Ġ" + piece)
-            if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
-                return self._word("Ġ" + piece[:-1]) + self._word(piece[-1])
+        if piece.isalpha() and max(piece) < _BEYOND_LATIN:
+            return self._word(_in_alphabet(" " + piece))
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?" and max(piece) < _BEYOND_LATIN:
+            return self._word(_in_alphabet(" " + piece[:-1])) + self._word(piece[-1])
         return self._whole(" " + piece)
 
     def encode(self, text: str) -> bytes:
@@ -201,7 +200,7 @@ class Encoder:
         known = self.stretches
         missing = [p for p in rest if p not in known]
         if missing:
-            if len(known) + len(missing) > _WORDS_KEPT:
+            if len(known) + len(missing) > _STRETCHES_KEPT:
                 known.clear()
                 missing = rest
             for piece in missing:
@@ -210,6 +209,25 @@ class Encoder:
         return self._whole(first) + b"".join(map(known.__getitem__, rest))
 
 
+#: The first code point after the Latin letters, for which all Unicode versions agree on what is a letter.
+_BEYOND_LATIN = chr(0x250)
+
+
+def _alphabet() -> dict[int, int]:
+    """The byte-level model's signs: printable bytes stand for themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+
+
+_ALPHABET = _alphabet()
+
+
+def _in_alphabet(word: str) -> str:
+    """A word in the signs of the byte-level model, one for each byte."""
+    return word.encode().decode("latin-1").translate(_ALPHABET)
+
+
 def _meets_space(text: str) -> bool:
     """Whether a space is followed by white space or by nothing."""
     if text.endswith(" ") or "  " in text:
