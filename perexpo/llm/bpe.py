@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
-Text is split into words by the tokenizer's pattern. Documents are worked through in
-chunks: the different words of a chunk become one array of byte strings, and a fold of
+Text is split into words by the tokenizer's pattern. The most frequent words are merged
+once, all others chunk by chunk. Documents are worked through in chunks: the different words of a chunk become one array of byte strings, and a fold of
 Spark higher-order functions merges each of them. Its state is the word's list of pieces,
 at first its bytes; every step looks up the rank of each pair of neighbouring pieces in a
 literal rank map and joins the first pair of the lowest rank, until no pair has a rank. The
-ids then go back to the places of the words in the chunk's documents. Nothing is shuffled,
-so documents, however skewed, never meet, and a lost task is simply run again.
+ids then go back to the places of the words in the chunk's documents. Texts are not
+shuffled, so documents, however skewed, never meet, and a lost task is simply run again.
 
 The literal holds the ranks in buckets by the CRC-32 of the piece, because a lookup in one
 large literal map would scan all of it. It is as large as the vocabulary, whatever the data.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from perexpo.llm.common import with_columns
+from perexpo.llm.common import stored, with_columns
 
 Ranks = dict[bytes, int]
 #: A chunk ends after so many characters; a longer text ends one by itself.
-CHUNK_CHARS = 48 << 20
+CHUNK_CHARS = 32 << 20
+#: So many words at most are merged once for all chunks. This saves work only; any number gives the same ids.
+FREQUENT = 1 << 18
 _BUCKETS = 1 << 14
 
 
@@ -90,42 +93,111 @@ def merged(word: Column, rank: Column) -> Column:
 
 
 class _Splitter:
-    """Numbers of the words of texts.
+    """Numbers of the words of texts: first those of the words known before, then new ones.
 
     A place before a space that is followed by something else than white space always
     starts a word, so what lies between two such places is split on its own, and each
     different stretch only once. Texts with other white space after a space are split whole.
     """
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, known: dict[str, int]):
         self.find = regex.compile(pattern).findall
         self.wide = regex.compile(r" \s| $").search
+        self.known = known
         self.start()
 
     def start(self) -> None:
         self.words: dict[str, int] = {}
-        self.stretches: dict[str, list[int]] = {}
-
-    def numbers(self, text: str) -> list[int]:
-        number = self.words.setdefault
+        self.stretches: dict[str, bytes] = {}
+
+    def _numbers(self, words: list[str]) -> bytes:
+        out = []
+        for word in words:
+            number = self.known.get(word)
+            out.append(self.words.setdefault(word, len(self.known) + len(self.words)) if number is None else number)
+        return struct.pack(f"<{len(out)}i", *out)
+
+    def _stretch(self, piece: str) -> bytes:
+        """A space and what follows it up to the next."""
+        letters = piece[:-1] if piece[-1:] in _MARKS else piece
+        if letters.isalpha() and max(letters) < _BEYOND_LATIN:
+            return self._numbers([" " + letters, *piece[len(letters) :]])
+        return self._numbers(self.find(" " + piece))
+
+    def numbers(self, text: str) -> bytes:
+        """32-bit little-endian numbers of the words of a text."""
         if self.wide(text):
-            return [number(word, len(self.words)) for word in self.find(text)]
-        out: list[int] = []
-        stretches = self.stretches
+            return self._numbers(self.find(text))
         first, *rest = text.split(" ")
-        out += [number(word, len(self.words)) for word in self.find(first)]
+        known = self.stretches
         for piece in rest:
-            known = stretches.get(piece)
-            if known is None:
-                known = stretches[piece] = [number(word, len(self.words)) for word in self.find(" " + piece)]
-            out += known
-        return out
+            if piece not in known:
+                known[piece] = self._stretch(piece)
+        return self._numbers(self.find(first)) + b"".join(map(known.__getitem__, rest))
+
+
+#: A single one of these after letters and before a space is a word of its own.
+_MARKS = tuple(".,;:!?")
+#: The first code point after the Latin letters, for which all Unicode versions agree on what is a letter.
+_BEYOND_LATIN = chr(0x250)
+
+
+def _frequent(docs: DataFrame, pattern: str, text: str, most: int, chunk_chars: int) -> DataFrame:
+    """The at most ``most`` most frequent words: those above a level of frequency.
+
+    Levels are sixteenths of a power of two, so the driver reads a few hundred numbers.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = _Splitter(pattern, {})
+        parts: list[bytes] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            n = np.bincount(np.frombuffer(b"".join(parts), dtype="<i4"), minlength=len(split.words))
+            words = pa.array([w.encode("utf-8", "surrogatepass") for w in split.words], pa.binary())
+            split.start()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], ["word", "n"])
+
+        for batch in batches:
+            for value in batch[text]:
+                value = value.as_py() or ""
+                parts.append(split.numbers(value))
+                size += len(value)
+                if size >= chunk_chars:
+                    yield row()
+                    size = 0
+        if parts:
+            yield row()
+
+    counted = docs.select(F.col(f"`{text}`")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    level = F.floor(F.log2("n") * 16).cast("int")
+    counted = stored(counted.where("n > 1").withColumn("level", level), "words")
+    sizes = sorted((r["level"], r["count"]) for r in counted.groupBy("level").count().collect())
+    least, total = None, 0
+    for found, n in reversed(sizes):
+        total += n
+        if total > most:
+            break
+        least = found
+    return counted.where(F.col("level") >= F.lit(least)).select("word")
 
 
 def encode(
-    docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", name: str = "ids", chunk_chars: int = CHUNK_CHARS
+    docs: DataFrame,
+    ranks: Ranks,
+    pattern: str,
+    text: str = "text",
+    name: str = "ids",
+    chunk_chars: int = CHUNK_CHARS,
+    frequent: int = FREQUENT,
 ) -> DataFrame:
-    """All columns of ``docs`` and the token ids of the text, as an array of integers."""
+    """All columns of ``docs`` and the token ids of the text, as an array of integers.
+
+    The most frequent words of all texts, at most ``frequent``, are merged once beforehand and
+    go to every task with their ids.
+    """
     fields = docs.schema.fields
     chunk = StructType(
         [
@@ -134,21 +206,26 @@ def encode(
             StructField("words", ArrayType(BinaryType())),
         ]
     )
+    rank = rank_map(ranks)
+    before = _frequent(docs, pattern, text, frequent, chunk_chars).select("word", merged(F.col("word"), rank).alias("ids"))
+    before = before.repartition(F.xxhash64("word")).collect()
+    known = {bytes(r.word).decode("utf-8", "surrogatepass"): k for k, r in enumerate(before)}
+    known_ids = np.array([i for r in before for i in r.ids], dtype=np.int32)
+    known_sizes = np.array([len(r.ids) for r in before], dtype=np.int64)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _Splitter(pattern)
+        split = _Splitter(pattern, known)
         kept: list[pa.RecordBatch] = []
-        places: list[np.ndarray] = []
+        places: list[bytes] = []
         size = 0
 
         def chunk_row() -> pa.RecordBatch:
-            table = pa.Table.from_batches(kept)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
-                out.write_table(table)
-            lengths = np.array([len(p) for p in places], dtype=np.int32)
-            where = np.concatenate([[len(places)], lengths, *places]).astype("<i4").tobytes()
-            row = [sink.getvalue().to_pybytes()], [where], [[w.encode("utf-8", "surrogatepass") for w in split.words]]
+            with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                for part in kept:
+                    out.write_batch(part)
+            lengths = np.array([len(places), *[len(p) // 4 for p in places]], dtype="<i4").tobytes()
+            row = [sink.getvalue().to_pybytes()], [lengths + b"".join(places)], [[w.encode("utf-8", "surrogatepass") for w in split.words]]
             kept.clear()
             places.clear()
             split.start()
@@ -161,7 +238,7 @@ def encode(
             start = 0
             for at, value in enumerate(batch[text]):
                 value = value.as_py() or ""
-                places.append(np.array(split.numbers(value), dtype=np.int32))
+                places.append(split.numbers(value))
                 size += len(value)
                 if size >= chunk_chars:
                     kept.append(batch.slice(start, at + 1 - start))
@@ -179,10 +256,10 @@ def encode(
                 count = int(where[0])
                 lengths, places = where[1 : count + 1], where[count + 1 :]
                 values = ids.values
-                flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                per_word = np.diff(values.offsets.to_numpy())
-                first = values.offsets.to_numpy()[:-1] - values.offsets[0].as_py()
-                ends = np.cumsum(lengths)
+                flat = np.concatenate([known_ids, values.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+                per_word = np.concatenate([known_sizes, np.diff(values.offsets.to_numpy()).astype(np.int64)])
+                first = np.cumsum(per_word) - per_word
+                ends = np.cumsum(lengths, dtype=np.int64)
                 at = 0
                 for part in pa.ipc.open_stream(rows.as_buffer()):
                     for start in range(0, part.num_rows, 512):
@@ -199,23 +276,18 @@ def encode(
                         yield with_columns(own, (), **{name: array})
                         at += own.num_rows
 
-    rank = rank_map(ranks)
     chunks = docs.mapInArrow(gather, chunk)
     folded = chunks.select("rows", "places", F.transform("words", lambda word: merged(word, rank)).alias("ids"))
     return folded.mapInArrow(spread, StructType([*fields, StructField(name, ArrayType(IntegerType()))]))
 
 
 def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """All columns and the bytes that the ids stand for: their pieces, joined."""
+    """All columns and the bytes that the ids stand for: their pieces, joined as hexadecimal digits."""
     pieces = {rank: piece for piece, rank in ranks.items()}
+    return encoded.withColumn(name, joined(F.col(ids), [pieces[i].hex() for i in range(len(pieces))]))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces.__getitem__
-        for batch in batches:
-            column = batch[ids]
-            offsets = column.offsets.to_pylist()
-            flat = column.values.to_pylist()
-            values = [b"".join(map(piece, flat[i:j])) for i, j in zip(offsets, offsets[1:], strict=False)]
-            yield with_columns(batch, (), **{name: pa.array(values, pa.binary())})
 
-    return encoded.mapInArrow(join, StructType([*encoded.schema.fields, StructField(name, BinaryType())]))
+def joined(ids: Column, digits: list[str]) -> Column:
+    """Bytes from hexadecimal digits, given for each id from 0 on; an id beyond them is an error."""
+    table = F.from_json(F.lit(json.dumps(digits)), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))

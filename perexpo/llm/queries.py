@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,34 +28,16 @@ def register(fn: Query) -> Query:
     return fn
 
 
-def id_digests(encoded: DataFrame, ids: str = "ids", name: str = "ids_sha256") -> DataFrame:
-    """The column of ids replaced by their number and the SHA-256 of their 32-bit little-endian form."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch[ids]
-            offsets = column.offsets.to_numpy()
-            flat = column.values.to_numpy(zero_copy_only=False).astype("<u4")
-            spans = list(zip(offsets, offsets[1:], strict=False))
-            arrays = {n: batch[n] for n in batch.schema.names if n != ids}
-            arrays["n_tokens"] = pa.array(np.diff(offsets).astype(np.int64))
-            arrays[name] = pa.array([hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in spans], pa.string())
-            yield pa.RecordBatch.from_pydict(arrays)
-
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != ids]
-    return encoded.mapInArrow(digest, ", ".join([*kept, "n_tokens bigint", f"{name} string"]))
-
-
-def encoded_and_decoded(docs: DataFrame) -> DataFrame:
-    ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
-    return bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-
-
 @register
 def op1_byte_bpe(spark, d):
-    both = encoded_and_decoded(documents(spark, d).select("doc_id", "text"))
-    return id_digests(both.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))).select(
-        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
+    ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
+    encoded = bpe.encode(documents(spark, d).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    little_endian = [i.to_bytes(4, "little").hex() for i in range(len(ranks))]
+    return bpe.decode(encoded.select("doc_id", "ids"), ranks).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(bpe.joined(F.col("ids"), little_endian), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
