@@ -18,6 +18,7 @@ table writes no shard.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ from perexpo.llm.common import stored
 END_ID = 2
 #: A shard ends with the document that reaches this number of ids.
 SHARD_IDS = 1 << 22
-_WORDS_KEPT, _STRETCHES_KEPT = 1 << 19, 1 << 18
+_WORDS_KEPT, _STRETCHES_KEPT = 1 << 18, 1 << 17
 #: Bits between two entries of the stored rank directory.
 _STEP = 512
 
@@ -119,14 +120,15 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, from the last level up: each level's order is undone, then its bit added."""
-        now = np.zeros(self.size, dtype=np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.size, dtype=kind)
         for bit, level in enumerate(reversed(range(len(self.planes)))):
             is_one = np.unpackbits(self.planes[level].view(np.uint8), count=self.size, bitorder="little").astype(bool)
             before = np.empty_like(now)
             before[~is_one] = now[: self.zeros[level]]
-            before[is_one] = now[self.zeros[level] :] | np.uint32(1 << bit)
+            before[is_one] = now[self.zeros[level] :] | kind(1 << bit)
             now = before
-        return now
+        return now.astype(np.uint32)
 
     def columns(self) -> tuple[list[int], list[bytes], list[bytes]]:
         """zeros, planes and rank directories as they are stored."""
@@ -155,60 +157,78 @@ def _before(plane: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bitwise_count(plane), dtype=np.int64)])
 
 
+class _Kept(dict):
+    """A bounded cache: when it is full, what was not asked for since it was last full goes."""
+
+    def __init__(self, most: int, make):
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of texts by a public tokenizer, as 32-bit little-endian bytes.
+    """Ids of texts by a public tokenizer, as little-endian bytes of ``dtype``.
 
     Stretches between spaces always start a pre-token, so each different one is encoded
     once and kept, up to a bound. Texts in which a space meets other white space go to the
-    tokenizer whole.
+    tokenizer's own splitting whole, as do stretches of more than letters and single marks.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.words: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
         self.bits = max(self.tokenizer.get_vocab_size() - 1, 1).bit_length()
+        self.code = "H" if self.bits <= 16 else "I"
+        self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
+        self.words = _Kept(_WORDS_KEPT, self._word)
+        self.stretches = _Kept(_STRETCHES_KEPT, self._stretch)
 
     def _word(self, word: str) -> bytes:
         """One pre-token in the alphabet of the byte-level model."""
-        known = self.words.get(word)
-        if known is None:
-            known = np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
-            if len(self.words) >= _WORDS_KEPT:
-                self.words.clear()
-            self.words[word] = known
-        return known
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return b"".join([self._word(word) for word, _ in self.split(text)])
+        return b"".join([self.words[word] for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
 
     def _stretch(self, piece: str) -> bytes:
         """A space and what follows it up to the next."""
-        if piece.isalpha() and max(piece) < _BEYOND_LATIN:
-            return self._word(_in_alphabet(" " + piece))
-        if piece[:-1].isalpha() and piece[-1] in ".,;:!?" and max(piece) < _BEYOND_LATIN:
-            return self._word(_in_alphabet(" " + piece[:-1])) + self._word(piece[-1])
-        return self._whole(" " + piece)
+        out: list[bytes] = []
+        lead = "Ġ"
+        for part in piece.split("\n"):
+            letters = part[:-1] if part[-1:] in _MARKS else part
+            if not letters.isalpha():
+                return self._whole(" " + piece)
+            if letters.isascii():
+                word = letters
+            elif max(letters) < _BEYOND_LATIN:
+                word = letters.encode().decode("latin-1").translate(_ALPHABET)
+            else:
+                return self._whole(" " + piece)
+            if not lead:
+                out.append(self.words[_NEWLINE])
+            out.append(self.words[lead + word])
+            if len(part) > len(letters):
+                out.append(self.words[part[-1]])
+            lead = ""
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if _meets_space(text):
             return self._whole(text)
         first, *rest = text.split(" ")
-        known = self.stretches
-        missing = [p for p in rest if p not in known]
-        if missing:
-            if len(known) + len(missing) > _STRETCHES_KEPT:
-                known.clear()
-                missing = rest
-            for piece in missing:
-                if piece not in known:
-                    known[piece] = self._stretch(piece)
-        return self._whole(first) + b"".join(map(known.__getitem__, rest))
+        return self._whole(first) + b"".join(map(self.stretches.__getitem__, rest))
 
 
+#: A single one of these after letters and before a space or a new line is a word of its own.
+_MARKS = tuple(".,;:!?")
 #: The first code point after the Latin letters, for which all Unicode versions agree on what is a letter.
 _BEYOND_LATIN = chr(0x250)
 
@@ -221,11 +241,7 @@ def _alphabet() -> dict[int, int]:
 
 
 _ALPHABET = _alphabet()
-
-
-def _in_alphabet(word: str) -> str:
-    """A word in the signs of the byte-level model, one for each byte."""
-    return word.encode().decode("latin-1").translate(_ALPHABET)
+_NEWLINE = chr(_ALPHABET[ord("\n")])
 
 
 def _meets_space(text: str) -> bool:
@@ -263,20 +279,21 @@ def write_shards(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition)
         bits = max(encoder.bits, end_id.bit_length())
-        end = np.array([end_id], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype=encoder.dtype).tobytes()
+        width = encoder.dtype.itemsize
         part, shard = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         parts: list[bytes] = []
         size = 0
 
         def row() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), dtype="<u4")
+            ids = np.frombuffer(b"".join(parts), dtype=encoder.dtype)
             zeros, planes, ranks = WaveletMatrix.of(ids, bits).columns()
             values = {
                 "part": [part],
                 "shard": [shard],
                 "doc_ids": [list(names)],
-                "lengths": [[len(p) // 4 for p in parts]],
+                "lengths": [[len(p) // width for p in parts]],
                 "n_tokens": [len(ids)],
                 "zeros": [zeros],
                 "planes": [planes],
@@ -290,7 +307,7 @@ def write_shards(
             for name, value in zip(batch["doc_id"], batch["text"], strict=True):
                 names.append(name.as_py())
                 parts.append(encoder.encode(value.as_py() or "") + end)
-                size += len(parts[-1]) // 4
+                size += len(parts[-1]) // width
                 if size >= shard_ids:
                     yield row()
                     shard, size = shard + 1, 0
@@ -361,11 +378,11 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     here = slice(at, at + 1024)
                     first, last = starts[here][0], ends[here][-1]
                     offsets = np.append(starts[here], last) - first
-                    array = pa.ListArray.from_arrays(
+                    lists = pa.ListArray.from_arrays(
                         pa.array(offsets.astype(np.int32)), pa.array(ids[first:last].view(np.int32))
                     )
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["doc_ids"][here], pa.int64()), pa.array(row["base"] + starts[here]), array],
+                        [pa.array(row["doc_ids"][here], pa.int64()), pa.array(row["base"] + starts[here]), lists],
                         ["doc_id", "start", "ids"],
                     )
 
