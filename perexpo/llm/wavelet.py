@@ -33,7 +33,7 @@ from perexpo.llm.common import stored
 
 END_ID = 2
 #: A shard ends with the document that reaches this number of ids.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 20
 _WORDS_KEPT, _STRETCHES_KEPT = 1 << 18, 1 << 17
 #: Bits between two entries of the stored rank directory.
 _STEP = 512
