@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from perexpo.llm.common import stored, with_columns
 
 Ranks = dict[bytes, int]
 #: A chunk ends after so many characters; a longer text ends one by itself.
-CHUNK_CHARS = 32 << 20
+CHUNK_CHARS = 24 << 20
 #: So many words at most are merged once for all chunks. This saves work only; any number gives the same ids.
 FREQUENT = 1 << 18
 _BUCKETS = 1 << 14
@@ -207,11 +208,12 @@ def encode(
         ]
     )
     rank = rank_map(ranks)
-    before = _frequent(docs, pattern, text, frequent, chunk_chars).select("word", merged(F.col("word"), rank).alias("ids"))
-    before = before.repartition(F.xxhash64("word")).collect()
-    known = {bytes(r.word).decode("utf-8", "surrogatepass"): k for k, r in enumerate(before)}
-    known_ids = np.array([i for r in before for i in r.ids], dtype=np.int32)
-    known_sizes = np.array([len(r.ids) for r in before], dtype=np.int64)
+    # At most ``frequent`` words with their ids; dealt out again, as the merging is the work here.
+    words = _frequent(docs, pattern, text, frequent, chunk_chars).repartition(F.xxhash64("word"))
+    before = words.select("word", merged(F.col("word"), rank).alias("ids")).toArrow().combine_chunks()
+    known = {word.decode("utf-8", "surrogatepass"): k for k, word in enumerate(before["word"].to_pylist())}
+    known_sizes = pc.fill_null(pc.list_value_length(before["ids"]), 0).to_numpy().astype(np.int64)
+    known_ids = pc.list_flatten(before["ids"]).to_numpy().astype(np.int32)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _Splitter(pattern, known)
@@ -281,13 +283,26 @@ def encode(
     return folded.mapInArrow(spread, StructType([*fields, StructField(name, ArrayType(IntegerType()))]))
 
 
-def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """All columns and the bytes that the ids stand for: their pieces, joined as hexadecimal digits."""
+def pieces_of(ranks: Ranks) -> list[bytes]:
+    """The piece of every id from 0 on."""
     pieces = {rank: piece for piece, rank in ranks.items()}
-    return encoded.withColumn(name, joined(F.col(ids), [pieces[i].hex() for i in range(len(pieces))]))
+    return [pieces[i] for i in range(len(pieces))]
+
+
+def joined(column: pa.ListArray, pieces: list[bytes]) -> list[bytes]:
+    """The bytes that each list of ids stands for: their pieces, one after the other."""
+    offsets = column.offsets.to_pylist()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    piece = pieces.__getitem__
+    return [b"".join(map(piece, flat[i:j].tolist())) for i, j in zip(offsets, offsets[1:], strict=False)]
+
 
+def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """All columns and the bytes that the ids stand for."""
+    pieces = pieces_of(ranks)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield with_columns(batch, (), **{name: pa.array(joined(batch[ids], pieces), pa.binary())})
 
-def joined(ids: Column, digits: list[str]) -> Column:
-    """Bytes from hexadecimal digits, given for each id from 0 on; an id beyond them is an error."""
-    table = F.from_json(F.lit(json.dumps(digits)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), ""))
+    return encoded.mapInArrow(work, StructType([*encoded.schema.fields, StructField(name, BinaryType())]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,13 +32,27 @@ def register(fn: Query) -> Query:
 @register
 def op1_byte_bpe(spark, d):
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
+    pieces = bpe.pieces_of(ranks)
     encoded = bpe.encode(documents(spark, d).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    little_endian = [i.to_bytes(4, "little").hex() for i in range(len(ranks))]
-    return bpe.decode(encoded.select("doc_id", "ids"), ranks).select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(bpe.joined(F.col("ids"), little_endian), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids and decoded bytes of a batch as digests, in one step."""
+        for batch in batches:
+            offsets = batch["ids"].offsets.to_numpy()
+            flat = batch["ids"].values.to_numpy(zero_copy_only=False).astype("<u4")
+            own = [hashlib.sha256(flat[i:j].tobytes()).hexdigest() for i, j in zip(offsets, offsets[1:], strict=False)]
+            decoded = [hashlib.sha256(b).hexdigest() for b in bpe.joined(batch["ids"], pieces)]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch["doc_id"],
+                    "n_tokens": pa.array(np.diff(offsets).astype(np.int64)),
+                    "ids_sha256": pa.array(own, pa.string()),
+                    "decoded_sha256": pa.array(decoded, pa.string()),
+                }
+            )
+
+    return encoded.select("doc_id", "ids").mapInArrow(
+        digests, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
 
