@@ -36,7 +36,7 @@ from perexpo.llm.common import stored, with_columns
 
 Ranks = dict[bytes, int]
 #: A chunk ends after so many characters; a longer text ends one by itself.
-CHUNK_CHARS = 24 << 20
+CHUNK_CHARS = 8 << 20
 #: So many words at most are merged once for all chunks. This saves work only; any number gives the same ids.
 FREQUENT = 1 << 18
 _BUCKETS = 1 << 14
