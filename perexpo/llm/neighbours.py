@@ -38,8 +38,8 @@ from perexpo.llm.vectors import smallest_ids, usable
 TREES = 12
 LEAF = 64
 #: Leaves of a tree at most, and leaves over all trees that a query looks at. With these the
-#: recall was 0.97 to 0.98 on tables of 10,000 to 50,000 vectors of 64 dimensions without structure
-#: inside their classes, the hardest kind.
+#: recall was 0.97 on 10,000 vectors of 64 dimensions without structure inside their classes, the
+#: hardest kind.
 TREE_LEAVES = 64
 LEAVES = 80
 SAMPLE = 65_536
