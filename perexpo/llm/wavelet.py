@@ -12,12 +12,15 @@ follows from a running sum over shards, first within a task's range, then over r
 
 Defined cases: a null text is empty, so its document is the end id alone. A null doc_id
 comes first. Rows of the same doc_id stand side by side in order of their texts. An empty
-table writes no shard.
+table writes no shard. The literal of an added token in a text is that token's id, as the
+library has it by default.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -180,11 +183,21 @@ class Encoder:
     Stretches between spaces always start a pre-token, so each different one is encoded
     once and kept, up to a bound. Texts in which a space meets other white space go to the
     tokenizer's own splitting whole, as do stretches of more than letters and single marks.
+
+    The definition's added tokens are found before anything else, and what lies between two
+    of them is a text of its own, as in the library. Added tokens that take more than their
+    own characters, or not every place, are left to the library.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        read = json.loads(definition)
+        added = read.get("added_tokens") or []
+        plain = not read.get("normalizer") and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip"))
+        self.added = {t["content"]: t["id"] for t in added}
+        # Of those that start at one place the longest counts.
+        self.marked = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
+        self.whole_texts = not plain
         self.bits = max(self.tokenizer.get_vocab_size() - 1, 1).bit_length()
         self.code = "H" if self.bits <= 16 else "I"
         self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
@@ -221,6 +234,18 @@ class Encoder:
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
+        if self.whole_texts:
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if self.marked is None or not self.marked.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for found in self.marked.finditer(text):
+            out += [self._plain(text[at : found.start()]), array(self.code, [self.added[found[0]]]).tobytes()]
+            at = found.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
+        """A text without added tokens."""
         if _meets_space(text):
             return self._whole(text)
         first, *rest = text.split(" ")

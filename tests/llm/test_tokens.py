@@ -80,6 +80,30 @@ def test_shards_hold_all_ids_in_order(spark, documents, odd_texts, tmp_path):
     assert sorted(p for r in found for p in r.places) == [k for k, t in enumerate(everything) if t == everything[0]]
 
 
+def test_added_tokens_in_texts_are_found_as_by_the_library(spark, documents, tmp_path):
+    mark = "<|endoftext|>"
+    texts = [
+        f"hello {mark} world",
+        mark,
+        mark * 3,
+        f"a{mark}  b {mark}\n c",
+        f" {mark} ",
+        "<|endoftext| > <|ENDOFTEXT|>",
+        f"<|<|endoftext|>|>é{mark}日",
+        "no mark at all",
+        None,
+    ]
+    wavelet.write_shards(documents(texts), str(tmp_path / "s"), definition())
+    tokenizer = Tokenizer.from_str(definition())
+    rows = wavelet.read_documents(wavelet.read_shards(spark, str(tmp_path / "s"))).collect()
+    start = 0
+    for row, text in zip(sorted(rows, key=lambda r: r.start), texts, strict=True):
+        wanted = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (row.start, row.ids) == (start, wanted), repr(text)
+        start += len(wanted)
+    assert 50256 in rows[0].ids
+
+
 def test_shards_of_an_empty_table(spark, documents, tmp_path):
     wavelet.write_shards(documents([]), str(tmp_path / "s"), definition())
     assert wavelet.read_documents(wavelet.read_shards(spark, str(tmp_path / "s"))).collect() == []
