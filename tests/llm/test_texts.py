@@ -179,6 +179,34 @@ def test_allowed_strings_are_no_secrets(spark, values):
     assert values(lambda c: secrets.is_random(F.col(c)), texts) == [False, False, False, True]
 
 
+def test_random_strings_of_every_class_and_length_are_found(values):
+    rng = random.Random(4)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {
+        "lower and digits": lower + digits,
+        "upper and digits": upper + digits,
+        "base32": upper + "234567",
+        "base62": upper + lower + digits,
+        "base64": upper + lower + digits + "+/",
+    }
+    cases = [(k, n) for k in alphabets for n in (20, 32, 40)]
+    texts = ["".join(rng.choices(alphabets[k], k=n)) for k, n in cases for _ in range(200)]
+    found = np.array(values(lambda c: secrets.is_random(F.col(c)), texts)).reshape(len(cases), 200).mean(axis=1)
+    for case, rate in zip(cases, found, strict=True):
+        assert rate >= (0.95 if case[1] == 20 else 0.98), (case, rate)
+
+
+def test_clean_texts_have_no_random_strings(spark, documents):
+    texts = [
+        "see docs/2024/01/15/release-notes-of-the-year/index for more",
+        "id 123e4567-e89b-12d3-a456-426614174000 and 00000000000000000000 and 20240115123000999888",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZ zzzzzzzzzzzzzzzzzzzzzzzz1 ha1ha1ha1ha1ha1ha1ha1ha1 ----------------------",
+        "antidisestablishmentarianism and well-known-words-with-hyphens_and_underscores",
+        "page-12-of-200-in-part-3-of-the-book src/main/java/org/some/project/part1/util",
+    ]
+    assert [r.spans for r in secrets.scan(documents(texts)).collect()] == [[]] * len(texts)
+
+
 def test_redaction(documents):
     docs = secrets.scan(documents(["a password=abcdef0123456789abcdef01234567 b", "none", None, ""]))
     rows = docs.select("doc_id", secrets.redact(F.col("text"), F.col("spans")).alias("t")).orderBy("doc_id").collect()
