@@ -1,5 +1,7 @@
 """The pipeline's stages on small tables, and the whole against its operators."""
 
+import random
+
 import corpus_pipeline as pipeline
 import tiktoken
 from llm_fixtures import TESTDATA, documents, odd_texts, workers  # noqa: F401
@@ -59,6 +61,33 @@ def test_near_duplicates_keep_one_row_of_an_id(spark, documents):
     assert sorted((str(r.doc_id) for r in found)) == ["1", "2", "None", "None"]
 
 
+def test_near_copies_at_the_threshold_do_not_survive(spark, documents):
+    rng = random.Random(6)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+
+    def shingles(text):
+        found = text.split()
+        return {tuple(found[i : i + 5]) for i in range(len(found) - 4)}
+
+    texts, gone = [], set()
+    for n, changes in ((100, 1), (100, 2), (300, 3), (300, 5), (1000, 15), (300, 12), (300, 30)):
+        for _ in range(20):
+            own = words(n)
+            other = list(own)
+            for at in rng.sample(range(n), changes):
+                other[at] = words(1)[0]
+            texts += [" ".join(own), " ".join(other)]
+            one, two = map(shingles, texts[-2:])
+            if len(one & two) >= 0.8 * len(one | two):
+                gone.add(len(texts) - 1)
+    kept = {r.doc_id for r in pipeline.near_duplicates(spark, documents(texts), SF_DIR).collect()}
+    dropped = set(range(len(texts))) - kept
+    assert len(gone) >= 90 and dropped <= gone
+    assert len(dropped) >= 0.97 * len(gone)
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF_DIR).collect()
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
