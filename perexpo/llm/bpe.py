@@ -4,7 +4,10 @@ Text is split into words by the tokenizer's pattern. The most frequent words are
 once, all others chunk by chunk. Documents are worked through in chunks: the different words of a chunk become one array of byte strings, and a fold of
 Spark higher-order functions merges each of them. Its state is the word's list of pieces,
 at first its bytes; every step looks up the rank of each pair of neighbouring pieces in a
-literal rank map and joins the first pair of the lowest rank, until no pair has a rank. The
+literal rank map and joins the first pair of the lowest rank, until no pair has a rank; the
+steps left over then cost nothing. As a step looks at the whole word, the fold's work grows with the
+square of its length, so words of more than ``LONG`` bytes (unspaced scripts, lines of dashes, encoded
+data) are merged in the task with a heap, which gives the same ids. The
 ids then go back to the places of the words in the chunk's documents. Texts are not
 shuffled, so documents, however skewed, never meet, and a lost task is simply run again.
 
@@ -19,6 +22,7 @@ vocabulary does not hold is an error on decoding.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import struct
 import zlib
@@ -39,6 +43,8 @@ Ranks = dict[bytes, int]
 CHUNK_CHARS = 8 << 20
 #: So many words at most are merged once for all chunks. This saves work only; any number gives the same ids.
 FREQUENT = 1 << 18
+#: Words of more bytes are merged with a heap.
+LONG = 32
 _BUCKETS = 1 << 14
 
 
@@ -74,11 +80,16 @@ def merged(word: Column, rank: Column) -> Column:
     no_piece = F.lit(b"")
     single = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(word, i, F.lit(1)))
 
-    def step(pieces: Column, _: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
+        pieces = state["pieces"]
+
+        def state_of(pieces: Column, done: Column) -> Column:
+            return F.struct(pieces.alias("pieces"), done.alias("done"))
+
         def join_at(i: Column) -> Column:
             joined = F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))
             both = F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(joined), F.slice(pieces, i + 2, length))
-            return F.when(i < 1, pieces).otherwise(both)
+            return F.when(i < 1, state_of(pieces, F.lit(True))).otherwise(state_of(both, F.lit(False)))
 
         def join_best(pair_ranks: Column) -> Column:
             best = F.array_position(pair_ranks, F.array_min(pair_ranks))
@@ -88,9 +99,48 @@ def merged(word: Column, rank: Column) -> Column:
             after = F.get(pieces, i + 1)
             return F.when(after.isNotNull(), rank_of(F.concat(piece, F.coalesce(after, no_piece))))
 
-        return F.when(F.size(pieces) < 2, pieces).otherwise(named(F.transform(pieces, pair_rank), join_best))
+        finished = state["done"] | (F.size(pieces) < 2)
+        return F.when(finished, state).otherwise(named(F.transform(pieces, pair_rank), join_best))
+
+    start = F.struct(single.alias("pieces"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), length), start, step, lambda state: F.transform(state["pieces"], rank_of))
 
-    return F.aggregate(F.sequence(F.lit(1), length), single, step, lambda pieces: F.transform(pieces, rank_of))
+
+def merged_long(word: bytes, ranks: Ranks, most: int) -> list[int]:
+    """The ids of one word, as the fold gives them; no piece has more than ``most`` bytes.
+
+    Pairs wait in a heap by rank and place. One whose pieces have been joined to others since is passed over.
+    """
+    n = len(word)
+    end = list(range(1, n + 1))  # of the piece that starts at a place; 0 if none does
+    before = list(range(-1, n))  # where the piece before it starts
+    heap: list[tuple[int, int, int]] = []
+
+    def push(at: int) -> None:
+        middle = end[at]
+        if middle < n and end[middle] - at <= most:
+            rank = ranks.get(word[at : end[middle]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, at, end[middle]))
+
+    for at in range(n):
+        push(at)
+    while heap:
+        _, at, upto = heapq.heappop(heap)
+        middle = end[at]
+        if not middle or middle >= n or end[middle] != upto:
+            continue
+        end[at], end[middle] = upto, 0
+        if upto < n:
+            before[upto] = at
+        push(at)
+        if before[at] >= 0:
+            push(before[at])
+    ids, at = [], 0
+    while at < n:
+        ids.append(ranks[word[at : end[at]]])
+        at = end[at]
+    return ids
 
 
 class _Splitter:
@@ -144,7 +194,7 @@ _BEYOND_LATIN = chr(0x250)
 
 
 def _frequent(docs: DataFrame, pattern: str, text: str, most: int, chunk_chars: int) -> DataFrame:
-    """The at most ``most`` most frequent words: those above a level of frequency.
+    """The at most ``most`` most frequent words of at most ``LONG`` bytes: those above a level of frequency.
 
     Levels are sixteenths of a power of two, so the driver reads a few hundred numbers.
     """
@@ -159,7 +209,8 @@ def _frequent(docs: DataFrame, pattern: str, text: str, most: int, chunk_chars:
             words = pa.array([w.encode("utf-8", "surrogatepass") for w in split.words], pa.binary())
             split.start()
             parts.clear()
-            return pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], ["word", "n"])
+            counts = pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], ["word", "n"])
+            return counts.filter(pc.less_equal(pc.binary_length(words), LONG))
 
         for batch in batches:
             for value in batch[text]:
@@ -205,6 +256,7 @@ def encode(
             StructField("rows", BinaryType()),
             StructField("places", BinaryType()),
             StructField("words", ArrayType(BinaryType())),
+            StructField("long", BinaryType()),
         ]
     )
     rank = rank_map(ranks)
@@ -214,6 +266,7 @@ def encode(
     known = {word.decode("utf-8", "surrogatepass"): k for k, word in enumerate(before["word"].to_pylist())}
     known_sizes = pc.fill_null(pc.list_value_length(before["ids"]), 0).to_numpy().astype(np.int64)
     known_ids = pc.list_flatten(before["ids"]).to_numpy().astype(np.int32)
+    most = max(map(len, ranks), default=0)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _Splitter(pattern, known)
@@ -227,13 +280,25 @@ def encode(
                 for part in kept:
                     out.write_batch(part)
             lengths = np.array([len(places), *[len(p) // 4 for p in places]], dtype="<i4").tobytes()
-            row = [sink.getvalue().to_pybytes()], [lengths + b"".join(places)], [[w.encode("utf-8", "surrogatepass") for w in split.words]]
+            words = [w.encode("utf-8", "surrogatepass") for w in split.words]
+            # Long words are merged here; the fold gets a single byte in their place.
+            at = [k for k, w in enumerate(words) if len(w) > LONG]
+            ids = [np.array(merged_long(words[k], ranks, most), dtype="<i4") for k in at]
+            for k in at:
+                words[k] = b" "
+            long = np.concatenate([np.array([len(at), *at, *map(len, ids)], dtype="<i4"), *ids]).tobytes()
+            row = [sink.getvalue().to_pybytes()], [lengths + b"".join(places)], [words], [long]
             kept.clear()
             places.clear()
             split.start()
             return pa.RecordBatch.from_arrays(
-                [pa.array(row[0], pa.binary()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.list_(pa.binary()))],
-                ["rows", "places", "words"],
+                [
+                    pa.array(row[0], pa.binary()),
+                    pa.array(row[1], pa.binary()),
+                    pa.array(row[2], pa.list_(pa.binary())),
+                    pa.array(row[3], pa.binary()),
+                ],
+                ["rows", "places", "words", "long"],
             )
 
         for batch in batches:
@@ -253,7 +318,7 @@ def encode(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, where, ids in zip(batch["rows"], batch["places"], batch["ids"], strict=True):
+            for rows, where, ids, long in zip(*[batch[k] for k in ("rows", "places", "ids", "long")], strict=True):
                 where = np.frombuffer(where.as_buffer(), dtype="<i4")
                 count = int(where[0])
                 lengths, places = where[1 : count + 1], where[count + 1 :]
@@ -261,6 +326,12 @@ def encode(
                 flat = np.concatenate([known_ids, values.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
                 per_word = np.concatenate([known_sizes, np.diff(values.offsets.to_numpy()).astype(np.int64)])
                 first = np.cumsum(per_word) - per_word
+                long = np.frombuffer(long.as_buffer(), dtype="<i4")
+                m = int(long[0])
+                if m:
+                    at, sizes = long[1 : m + 1] + len(known_sizes), long[m + 1 : 2 * m + 1].astype(np.int64)
+                    first[at], per_word[at] = len(flat) + np.cumsum(sizes) - sizes, sizes
+                    flat = np.concatenate([flat, long[2 * m + 1 :]])
                 ends = np.cumsum(lengths, dtype=np.int64)
                 at = 0
                 for part in pa.ipc.open_stream(rows.as_buffer()):
@@ -279,7 +350,7 @@ def encode(
                         at += own.num_rows
 
     chunks = docs.mapInArrow(gather, chunk)
-    folded = chunks.select("rows", "places", F.transform("words", lambda word: merged(word, rank)).alias("ids"))
+    folded = chunks.select("rows", "places", "long", F.transform("words", lambda word: merged(word, rank)).alias("ids"))
     return folded.mapInArrow(spread, StructType([*fields, StructField(name, ArrayType(IntegerType()))]))
 
 

@@ -1,6 +1,7 @@
 """BPE and wavelet matrices against the public libraries."""
 
 import base64
+import random
 import zlib
 
 import numpy as np
@@ -40,6 +41,18 @@ def test_encode_as_the_library_does_and_decode(documents, odd_texts):
         assert rows[i].words == "own column"
 
 
+def test_long_words_end_and_are_merged_as_by_the_library(documents):
+    rng = random.Random(8)
+    signs = ["acgt", "-", "-=", "日本語文章", "abcdefghij", "0123456789", "é😀ñ"]
+    texts = [f"{s[0]} {''.join(rng.choices(s, k=n))} {s[0] * n} end" for s in signs for n in (10, 11, 31, 32, 33, 3000)]
+    texts += ["".join(rng.choices("acgt", k=100_000)), "-" * 100_000] * 2
+    rows = bpe.encode(documents(texts), bpe.read_ranks(RANKS), P.PATTERN, chunk_chars=50_000).collect()
+    plain = reference()
+    for row in rows:
+        assert row.ids == plain.encode_ordinary(texts[row.doc_id]), texts[row.doc_id][:50]
+    assert len(rows) == len(texts)
+
+
 def test_encode_empty_table(documents):
     assert bpe.encode(documents([]), bpe.read_ranks(RANKS), P.PATTERN).collect() == []
 
