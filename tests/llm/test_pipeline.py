@@ -88,6 +88,12 @@ def test_near_copies_at_the_threshold_do_not_survive(spark, documents):
     assert len(dropped) >= 0.97 * len(gone)
 
 
+def test_different_texts_of_one_id_stay(spark, documents):
+    docs = documents(["a b c d e f", "g h i j k l", "a b c d e f", "m n o p q r"], ids=[1, 1, 2, 3])
+    found = pipeline.near_duplicates(spark, docs, SF_DIR).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, "a b c d e f"), (1, "g h i j k l"), (3, "m n o p q r")]
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF_DIR).collect()
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
