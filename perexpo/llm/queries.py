@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perexpo.llm import bpe, embeddings, language, mixing, neighbours, quality, repeats, secrets, simhash, wavelet
+from perexpo.llm import bpe, embeddings, language, merkle, mixing, neighbours, quality, repeats, secrets, simhash, wavelet
 from perexpo.llm.common import documents, id_crc
 from perexpo.sources.tables import scratch_path
 
@@ -144,6 +144,23 @@ def op10_simhash(spark, d):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@register
+def op13_merkle(spark, d):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = merkle.document_leaves(documents(spark, d), tampered)
+    found = merkle.manifest(leaves, "source", ["doc_id"])
+    used = F.coalesce("other_leaf", "leaf")
+    checked = found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(used, F.col("path")).alias("folded_root"),
+    )
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 #: Documents are taken by running sums over the hash line, which the operator finds without sorting.
 ORACLE_SQL["op7_mixing"] = """
 WITH sized AS (
@@ -181,3 +198,70 @@ FROM sized s
 JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 LEFT JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
 """
+
+#: Both trees level by level; a leaf's proof by its place at every level, folded one step at a time.
+ORACLE_SQL["op13_merkle"] = """
+WITH RECURSIVE parts AS (
+  SELECT *, COALESCE(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-')
+         || COALESCE(strlen(source) || ':' || source, '-')
+         || COALESCE(strlen(lang) || ':' || lang, '-')
+         || COALESCE(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+         -- crc32 of the id's digits, bit by bit.
+         xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8],
+             lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END),
+           4294967295::BIGINT)) % 5 = 0 AS tampered
+  FROM documents
+), hashed AS (
+  SELECT doc_id, source, sha256(head || COALESCE(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(head || COALESCE(strlen(text) || ':'
+           || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+  FROM parts
+), leaves AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS row_id,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM hashed
+), nodes AS (
+  SELECT source, 0 AS level, place, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT source, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM nodes WHERE n > 1 GROUP BY source, level, n, place // 16
+), subroots AS (
+  SELECT source, level, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), crown AS (
+  SELECT 0 AS level, place, n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM crown WHERE n > 1 GROUP BY level, n, place // 16
+), steps AS (
+  SELECT source, level, place, COALESCE(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         COALESCE(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY source, level, place // 16 ORDER BY place)
+), crown_steps AS (
+  SELECT level, place, COALESCE(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         COALESCE(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM crown WHERE n > 1 WINDOW w AS (PARTITION BY level, place // 16 ORDER BY place)
+), proofs AS (
+  SELECT row_id, s.level AS k, s.l, s.r FROM leaves JOIN steps s
+    ON s.source IS NOT DISTINCT FROM leaves.source AND s.place = leaves.place // (16 ** s.level)::BIGINT
+  UNION ALL
+  SELECT row_id, t.level + c.level, c.l, c.r FROM leaves JOIN subroots t ON t.source IS NOT DISTINCT FROM leaves.source
+    JOIN crown_steps c ON c.place = t.place // (16 ** c.level)::BIGINT
+), folds AS (
+  SELECT row_id, 0 AS k, COALESCE(other, leaf) AS digest FROM leaves
+  UNION ALL
+  SELECT f.row_id, f.k + 1, sha256(p.l || f.digest || p.r) FROM folds f JOIN proofs p ON p.row_id = f.row_id AND p.k = f.k
+), proof_digests AS (
+  SELECT row_id, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM proofs GROUP BY row_id
+), ends AS (
+  SELECT row_id, max_by(digest, k) AS folded_root FROM folds GROUP BY row_id
+)
+SELECT doc_id, leaf, subroot, root, COALESCE(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves
+JOIN subroots t ON t.source IS NOT DISTINCT FROM leaves.source
+CROSS JOIN (SELECT digest AS root FROM crown WHERE n = 1)
+JOIN ends USING (row_id)
+LEFT JOIN proof_digests USING (row_id)
+"""
