@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perexpo.llm import bpe, embeddings, language, merkle, mixing, neighbours, quality, repeats, secrets, simhash, wavelet
+from perexpo.llm import bpe, embeddings, language, merkle, mixing, neighbours, quality, repeats, secrets, simhash, wavelet, whitening
 from perexpo.llm.common import documents, id_crc
 from perexpo.sources.tables import scratch_path
 
@@ -144,6 +144,24 @@ def op10_simhash(spark, d):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@register
+def op11_whitening(spark, d):
+    table = spark.read.parquet(f"{d}/embeddings.parquet")
+    model = whitening.fit(table)
+    rows = whitening.transform(table, model)
+    each = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "value"))
+    n, error, shares = (model.n, model.identity_error, model.eigenvalues / model.trace) if model else (0, 0.0, [])
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(n).cast("bigint").alias("n"),
+        "deviation",
+        F.col("value").alias("whitened"),
+        F.element_at(F.array(*[F.lit(float(x)) for x in shares]).cast("array<double>"), F.col("at") + 1).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 @register
 def op13_merkle(spark, d):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
