@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perexpo.llm import bpe, embeddings, language, merkle, mixing, neighbours, quality, repeats, secrets, simhash, wavelet, whitening
+from perexpo.llm import bpe, embeddings, language, merkle, mixing, neighbours, quality, repeats, secrets, simhash, toxicity, wavelet, whitening
 from perexpo.llm.common import documents, id_crc
 from perexpo.sources.tables import scratch_path
 
@@ -162,6 +162,15 @@ def op11_whitening(spark, d):
     )
 
 
+@register
+def op12_toxicity(spark, d):
+    docs = documents(spark, d)
+    held_out = id_crc("doc_id", 5) == 0
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet").where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @register
 def op13_merkle(spark, d):
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
