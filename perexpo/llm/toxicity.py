@@ -51,6 +51,8 @@ LEVEL = 0.05
 NEAR = 100
 SAMPLE = 20_000
 _BITS = 18
+#: Bits of the map that tells which ids may have a label.
+_HINT_BITS = 1 << 24
 #: Word scores are counted in steps, up to a farthest one.
 _STEP, _FARTHEST = 0.01, 30.0
 BUCKETS = 1 << _BITS
@@ -261,6 +263,30 @@ class Model:
         return 1 / (1 + math.exp(-min(max(x, -700.0), 700.0)))
 
 
+def _hinted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose id may be among ``ids``: all that are, and few others.
+
+    A bitmap of id hashes, of fixed size, goes to the tasks. It only spares texts the way to a
+    join; when it is full, all go.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(_HINT_BITS))
+    # Slots and the bits in them are numbered from 1.
+    slots = ids.select((place + 1).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("slot"))
+    bits = np.zeros(_HINT_BITS, dtype=bool)
+    for r in slots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map")).collect():
+        own = np.unpackbits(np.frombuffer(r["map"], dtype=np.uint8), bitorder="little").astype(bool)
+        bits[(r["slot"] - 1) * len(own) :][: len(own)] = own
+    packed = np.packbits(bits, bitorder="little")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["place"].to_numpy()
+            found = (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(found.astype(bool))).select(["id", "text"])
+
+    return texts.withColumn("place", place).mapInArrow(work, "id bigint, text binary")
+
+
 def _counted(rows: DataFrame) -> np.ndarray:
     """Numbers of documents that hold a word [half, label, length, bucket] of rows of (half, label, text)."""
     shape = (2, 2, len(LENGTHS), BUCKETS)
@@ -333,6 +359,7 @@ def fit(
         .agg(F.max(F.col(f"`{label}`")).cast("int").alias("label"))
     )
     texts = docs.select(own.alias("id"), F.col(f"`{text}`").cast("binary").alias("text")).where("id IS NOT NULL")
+    told = stored(told, "told")
 
     def liken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 256):
@@ -340,18 +367,19 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch["id"], keys], ["id", "likeness"])
 
     # Of near copies with one label one counts, and all of them go to one half.
-    alike = texts.mapInArrow(liken, "id bigint, likeness bigint").join(told, "id")
+    alike = _hinted(texts, told).mapInArrow(liken, "id bigint, likeness bigint").join(told, "id")
     known = stored(
         alike.groupBy("likeness", "label")
         .agg(F.min("id").alias("id"))
         .select("id", "label", F.pmod(F.xxhash64("likeness"), F.lit(2)).cast("int").alias("half")),
         "labelled",
     )
-    counts = _counted(texts.join(known, "id"))
+    # Labels grow with the corpus, so this join is a shuffle at every size; the hint keeps other texts out of it.
+    counts = _counted(_hinted(texts, known).join(known.hint("merge"), "id"))
     whole = Counts(counts[:, 1].sum(axis=0), counts.sum(axis=(0, 1)))
     # At most ``sample`` rows of three numbers.
     chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))
-    rows = stored(texts.join(chosen, "id"), "calibration")
+    rows = stored(_hinted(texts, chosen).join(chosen, "id"), "calibration")
     clean = rows.where("label = 0")
     halves = [Counts(counts[1 - h, 1], counts[1 - h].sum(axis=0)) for h in range(2)]
     law = Law(scale_of(*_score_counts(clean, halves)))
