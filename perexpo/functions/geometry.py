@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,7 +39,75 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     sin_lat = F.sin(F.radians(lat2 - lat1) / 2)
     sin_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = sin_lat * sin_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * sin_lon * sin_lon
-    return F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.sqrt(chord))
+    return _miles(chord)
+
+
+def _miles(chord: Column) -> Column:
+    """Miles of a squared half chord, which rounding can put above 1 at the antipode."""
+    half = F.sqrt(chord)
+    return F.lit(2 * EARTH_RADIUS_MILES) * F.when(chord.isNotNull(), F.asin(F.least(half, F.lit(1.0))))
+
+
+def bound_once(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of values that it uses several times, each worked out once."""
+    return F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body)[0]
+
+
+def great_circle_bounds(box: dict[str, Column], lat: Column, lon: Column) -> Column:
+    """Great-circle miles from a point to what lies in a box of latitudes and longitudes.
+
+    A struct of ``least``, of any point of the box, ``some``, which some point on the sides keeps if
+    every side has a point, and ``most``, of any. Longitudes count around the globe, so boxes and
+    points may lie on both sides of the date line. At one latitude, distance grows with the
+    difference of longitudes; at one difference it is a cosine of the latitude, least where
+    the great circle meets the meridian at a right angle.
+    """
+
+    def turned(x: Column) -> Column:
+        return F.pmod(x, F.lit(360.0))
+
+    def apart(x: Column) -> Column:
+        return F.radians(F.abs(turned(x - lon + 180) - 180))
+
+    width = box["lon_hi"] - box["lon_lo"]
+    sides = {
+        "own": F.radians(lat),
+        "low": F.radians(box["lat_lo"]),
+        "high": F.radians(box["lat_hi"]),
+        "first": apart(box["lon_lo"]),
+        "last": apart(box["lon_hi"]),
+        "over": turned(lon - box["lon_lo"]) <= width,
+        "opposite": turned(lon + 180 - box["lon_lo"]) <= width,
+    }
+
+    def with_turns(v: Column) -> Column:
+        turns = {n: v[n] for n in ("own", "low", "high", "first", "last")}
+        turns["near"] = F.when(v["over"], F.lit(0.0)).otherwise(F.least(v["first"], v["last"]))
+        turns["far"] = F.when(v["opposite"], F.lit(math.pi)).otherwise(F.greatest(v["first"], v["last"]))
+        return bound_once(turns, measured)
+
+    def measured(v: Column) -> Column:
+        def chord(at: Column, turn: Column) -> Column:
+            rise, swing = F.sin((at - v["own"]) / 2), F.sin(turn / 2)
+            return rise * rise + F.cos(v["own"]) * F.cos(at) * swing * swing
+
+        def held(at: Column) -> Column:
+            return F.greatest(v["low"], F.least(v["high"], at))
+
+        def foot(turn: Column) -> Column:
+            """Latitude of the meridian that is closest to the point."""
+            return F.atan2(F.sin(v["own"]), F.cos(v["own"]) * F.cos(turn))
+
+        def most(turn: Column) -> Column:
+            opposite = [chord(held(foot(turn) + sign * math.pi), turn) for sign in (-1, 1)]
+            return F.greatest(chord(v["low"], turn), chord(v["high"], turn), *opposite)
+
+        near, far = v["near"], v["far"]
+        least = F.least(chord(v["low"], near), chord(v["high"], near), chord(held(foot(near)), near))
+        some = F.least(chord(v["low"], far), chord(v["high"], far), most(v["first"]), most(v["last"]))
+        return F.struct(_miles(least).alias("least"), _miles(some).alias("some"), _miles(most(far)).alias("most"))
+
+    return bound_once(sides, with_turns)
 
 
 def ring_edges(rings: Column | str) -> Column:
@@ -62,16 +133,25 @@ def ring_edges(rings: Column | str) -> Column:
     return F.flatten(F.transform(as_col(rings), of_ring))
 
 
-def on_boundary(x: Column, y: Column, edges: Column) -> Column:
-    def touches(e: Column) -> Column:
-        cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-        return (
-            (cross == 0)
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
+def touches(x: Column, y: Column, e: Column | dict[str, Column]) -> Column:
+    """Whether a point lies on an edge."""
+    cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    return (
+        (cross == 0)
+        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    )
 
-    return F.exists(edges, touches)
+
+def crosses(x: Column, y: Column, e: Column | dict[str, Column]) -> Column:
+    """Whether an edge crosses the line from a point to the right."""
+    spans = (e["y1"] > y) != (e["y2"] > y)
+    at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+    return spans & (x < at)
+
+
+def on_boundary(x: Column, y: Column, edges: Column) -> Column:
+    return F.exists(edges, lambda e: touches(x, y, e))
 
 
 def inside(x: Column, y: Column, edges: Column) -> Column:
@@ -79,11 +159,5 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
 
     Points on the boundary are outside.
     """
-
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
-        return spans & (x < at)
-
-    crossings = F.size(F.filter(edges, crosses))
+    crossings = F.size(F.filter(edges, lambda e: crosses(x, y, e)))
     return (crossings % 2 == 1) & ~on_boundary(x, y, edges)

@@ -1,11 +1,11 @@
-"""Nearest site of every point, exact, without pairing all points with all sites.
+"""Nearest sites of every point, exact, without pairing all points with all sites.
 
 Sites are indexed by a pyramid of grid cells: each level halves a cell twice in each
 direction, so it has at most 16 children, and every cell knows the tight bounding box of
-its sites. A point walks down the pyramid, starting at the finest level that still
+its sites and how many it holds. A point walks down the pyramid, starting at the finest level that still
 has no more than 64 cells. At each level it keeps the child cells whose box is not farther
-away than a site it is sure of, and joins only those with the next level. What is left at the bottom are a few cells of a few sites
-each, and the smallest (distance, site id) wins. Boxes come from the sites, not from the
+away than sites it is sure of, and joins only those with the next level. What is left at the bottom are a few cells of a few sites
+each, and the smallest (distance, site id) win. Boxes come from the sites, not from the
 grid, so the grid affects speed only, never the result.
 
 Each step is an equi-join on a cell number against a table with one row per cell, so a
@@ -13,22 +13,29 @@ cell that attracts a third of the points is an ordinary skewed join key with a s
 match: adaptive execution splits it, and while the index is small the planner broadcasts
 it by its measured size. The depth follows the densest cell, so crowded areas are split
 further rather than scanned.
+
+A metric tells how far a site is and between which bounds the sites of a box are: ``PLANAR``
+compares degrees, ``HAVERSINE`` great circles, across the date line and around the poles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perexpo.functions.geometry import haversine_miles, planar_d2
+from perexpo.functions.geometry import bound_once, great_circle_bounds, haversine_miles, planar_d2
 from perexpo.sources.tables import materialize
 
 _BITS = 2
 _DEPTH = 15
 _SIDE = float(1 << (_BITS * _DEPTH))
 _MAX_ROOT = 64
+_BOX = ("lat_lo", "lat_hi", "lon_lo", "lon_hi")
+#: Miles by which bounds of great circles may be off: near the antipode the sine is flat.
+_SLACK = 1e-3
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -44,9 +51,9 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in [*order, *rest]])
 
 
-def _has_point(lat: Column, lon: Column) -> Column:
-    """Whether both coordinates are finite numbers; never NULL."""
-    finite = F.lit(True)
+def _has_point(lat: Column, lon: Column, globe: bool = False) -> Column:
+    """Whether both coordinates are finite numbers, on a globe with a latitude that exists; never NULL."""
+    finite = F.abs(lat) <= 90 if globe else F.lit(True)
     for c in (lat, lon):
         finite = finite & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     return F.coalesce(finite, F.lit(False))
@@ -64,51 +71,172 @@ def _cell(level: int) -> Column:
 
 
 def _boxes(grid: DataFrame, level: int, *keys: Column) -> DataFrame:
-    """Non-empty cells of a level, each with the tight bounding box of its sites."""
+    """Non-empty cells of a level, each with the tight bounding box and the number of its sites."""
     return grid.groupBy(*keys, _cell(level).alias("cell")).agg(
         F.min("site_lat").alias("lat_lo"),
         F.max("site_lat").alias("lat_hi"),
         F.min("site_lon").alias("lon_lo"),
         F.max("site_lon").alias("lon_hi"),
+        F.sum("n_sites").alias("n_sites"),
     )
 
 
-def _bounds(box: Column | None, lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Least and greatest possible distance from a place to the nearest site in a box.
+@dataclass(frozen=True)
+class Bounds:
+    """Of the sites in a box: the least distance of any, one that some site keeps, one that all keep."""
 
-    A cell is no closer than its box. Every side of the box touches a site, so the nearer
-    side plus the farther corner of it bounds the distance of some site from above.
-    """
+    lower: Column
+    some: Column
+    every: Column
+
+
+Box = dict[str, Column]
+Use = Callable[[Bounds], Column]
 
-    def side(name: str) -> Column:
-        return F.col(name) if box is None else box[name]
+
+def _planar_bounds(box: Box, lat: Column, lon: Column, use: Use) -> Column:
+    """A cell is no closer than its box. Every side of the box touches a site, so the nearer
+    side plus the farther corner of it bounds the distance of some site from above."""
 
     def gap(lo: str, hi: str, v: Column) -> Column:
-        away = F.greatest(side(lo) - v, v - side(hi), F.lit(0.0))
+        away = F.greatest(box[lo] - v, v - box[hi], F.lit(0.0))
         return away * away
 
     def ends(lo: str, hi: str, v: Column) -> tuple[Column, Column]:
-        a, b = (v - side(lo)) * (v - side(lo)), (v - side(hi)) * (v - side(hi))
+        a, b = (v - box[lo]) * (v - box[lo]), (v - box[hi]) * (v - box[hi])
         return F.least(a, b), F.greatest(a, b)
 
     (y_near, y_far), (x_near, x_far) = ends("lat_lo", "lat_hi", lat), ends("lon_lo", "lon_hi", lon)
     lower = gap("lat_lo", "lat_hi", lat) + gap("lon_lo", "lon_hi", lon)
-    return lower, F.least(y_near + x_far, y_far + x_near)
-
-
-def _narrow(cand: DataFrame, place: Sequence[str], lat: Column, lon: Column) -> DataFrame:
-    """Keep the candidate cells of each place that may hold its nearest site.
-
-    The best upper bound of all candidates of the place, of this and of earlier levels, is
-    what the others have to beat.
-    """
-    lower, upper = _bounds(None, lat, lon)
-    best = F.min("upper").over(Window.partitionBy("_place"))
+    return use(Bounds(lower, F.least(y_near + x_far, y_far + x_near), y_far + x_far))
+
+
+def _round_bounds(box: Box, lat: Column, lon: Column, use: Use) -> Column:
+    def given(b: Column) -> Column:
+        return use(Bounds(b["bounds"]["least"] - _SLACK, b["bounds"]["some"] + _SLACK, b["bounds"]["most"] + _SLACK))
+
+    return bound_once({"bounds": great_circle_bounds(box, lat, lon)}, given)
+
+
+def _round_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    return F.round(haversine_miles(lat1, lon1, lat2, lon2), 6)
+
+
+@dataclass(frozen=True)
+class Metric:
+    """What sites are ranked by, and its bounds for the sites of a box."""
+
+    distance: Callable[[Column, Column, Column, Column], Column]
+    bounds: Callable[[Box, Column, Column, Use], Column]
+
+
+#: Squared difference in degrees, and great-circle miles, in which distances that agree to six places tie.
+PLANAR = Metric(planar_d2, _planar_bounds)
+HAVERSINE = Metric(_round_distance, _round_bounds)
+METRICS = {"planar": PLANAR, "haversine": HAVERSINE}
+
+
+@dataclass(frozen=True)
+class _Search:
+    """One search: how many sites a point gets, by what, and how far they may be."""
+
+    metric: Metric
+    k: int
+    max_miles: float | None
+
+    def judged(self, box: Box, lat: Column, lon: Column) -> Column:
+        """Of a box: whether it is in reach, its least distance, one that is kept, and how many sites keep that."""
+
+        def of(bounds: Bounds, near: Bounds | None) -> Column:
+            upper, sure = (bounds.some, F.lit(1).cast("bigint")) if self.k == 1 else (bounds.every, box["n_sites"])
+            reach = F.lit(True)
+            if near is not None:
+                # Only sites that are surely within reach may rule out others.
+                reach = near.lower <= self.max_miles
+                sure = F.when(near.every <= self.max_miles, sure).otherwise(F.lit(0).cast("bigint"))
+            return F.struct(reach.alias("reach"), bounds.lower.alias("lower"), upper.alias("upper"), sure.alias("sure"))
+
+        def use(bounds: Bounds) -> Column:
+            if self.max_miles is None:
+                return of(bounds, None)
+            if self.metric is HAVERSINE:
+                return of(bounds, bounds)
+            return _round_bounds(box, lat, lon, lambda near: of(bounds, near))
+
+        return self.metric.bounds(box, lat, lon, use)
+
+    def at_root(self, places: DataFrame, cells: DataFrame, lat: Column, lon: Column) -> DataFrame:
+        """``places`` with ``bound`` and ``cell``, a row for each cell of the first level that may hold a wanted site.
+
+        Cells that cannot win go before a place becomes several rows.
+        """
+
+        def judged(c: Column) -> Column:
+            own = self.judged({name: c[name] for name in (*_BOX, "n_sites")}, lat, lon)
+            return F.struct(own.alias("own"), c["cell"].alias("cell"))
+
+        def count(state: Column, c: Column) -> Column:
+            taken = (state["n"] < self.k) & (c["own"]["sure"] > 0)
+            return F.struct(
+                (state["n"] + c["own"]["sure"]).alias("n"),
+                F.when(taken, c["own"]["upper"]).otherwise(state["bound"]).alias("bound"),
+            )
+
+        none = F.lit(float("inf"))
+        ranked = F.array_sort(F.transform("_judged", lambda c: F.struct(c["own"]["upper"].alias("upper"), c["own"].alias("own"))))
+        bound = F.aggregate(
+            ranked,
+            F.struct(F.lit(0).cast("bigint").alias("n"), none.alias("bound")),
+            count,
+            lambda s: F.when(s["n"] >= self.k, s["bound"]).otherwise(none),
+        )
+        kept = F.filter("_judged", lambda c: c["own"]["reach"] & (c["own"]["lower"] <= F.col("bound")))
+        return (
+            places.withColumn("_cells", cells.scalar())
+            .withColumn("_judged", F.transform("_cells", judged))
+            .withColumn("bound", bound)
+            .select(*places.columns, "bound", F.explode(F.transform(kept, lambda c: c["cell"])).alias("cell"))
+        )
+
+    def narrow(self, cand: DataFrame, place: Sequence[str], lat: Column, lon: Column) -> DataFrame:
+        """Keep the candidate cells of each place that may hold a wanted site.
+
+        What the others have to beat is the smallest distance that ``k`` sites of all
+        candidates of the place, of this and of earlier levels, surely keep.
+        """
+        box = {name: F.col(name) for name in (*_BOX, "n_sites")}
+        cand = cand.withColumn("_own", self.judged(box, lat, lon)).select(*place, "bound", "cell", "_own.*").where("reach")
+        if self.k == 1 and self.max_miles is None:
+            best = F.min("upper").over(Window.partitionBy("_place"))
+        elif self.k == 1:
+            best = F.min(F.when(F.col("sure") > 0, F.col("upper"))).over(Window.partitionBy("_place"))
+        else:
+            so_far = Window.partitionBy("_place").orderBy("upper").rowsBetween(Window.unboundedPreceding, 0)
+            cand = cand.withColumn("so_far", F.sum("sure").over(so_far))
+            best = F.min(F.when(F.col("so_far") >= self.k, F.col("upper"))).over(Window.partitionBy("_place"))
+        return (
+            cand.withColumn("bound", F.least("bound", F.coalesce(best, F.lit(float("inf")))))
+            .where(F.col("lower") <= F.col("bound"))
+            .select(*place, "bound", "cell")
+        )
+
+
+def _site_grid(sites: DataFrame, keep: Sequence[str], k: int, globe: bool) -> DataFrame:
+    """(site_lat, site_lon, at, n_sites, gx, gy): different places of sites, each with its first ``k`` by id."""
+    lat, lon = F.col("lat"), F.col("lon")
+    known = sites.where(_has_point(lat, lon, globe))
+    if k == 1:
+        places = known.groupBy(lat.alias("site_lat"), lon.alias("site_lon")).agg(F.min(F.struct("site_id", *keep)).alias("site"))
+        places = places.select("site_lat", "site_lon", F.array("site").alias("at"))
+    else:
+        single = known.groupBy(lat.alias("site_lat"), lon.alias("site_lon"), "site_id").agg(F.min(F.struct("site_id", *keep)).alias("site"))
+        turn = F.row_number().over(Window.partitionBy("site_lat", "site_lon").orderBy("site_id"))
+        first = single.withColumn("turn", turn).where(F.col("turn") <= k)
+        places = first.groupBy("site_lat", "site_lon").agg(F.collect_list("site").alias("at"))
     return (
-        cand.withColumn("upper", upper)
-        .withColumn("bound", F.least("bound", best))
-        .where(lower <= F.col("bound"))
-        .select(*place, "bound", "cell")
+        places.withColumn("n_sites", F.size("at").cast("bigint"))
+        .withColumn("gx", _step((F.col("site_lon") + 180) / 360))
+        .withColumn("gy", _step((F.col("site_lat") + 90) / 360))
     )
 
 
@@ -117,29 +245,32 @@ def nearest(
     sites: DataFrame,
     keep: Sequence[str] = ("site_name",),
     leaf_size: int = 16,
+    k: int = 1,
+    max_miles: float | None = None,
+    metric: str = "planar",
 ) -> DataFrame:
-    """Closest site for each point, ranked by planar difference, ties by ``site_id``.
+    """The ``k`` closest sites of each point, ties by ``site_id``.
 
     ``points`` has ``lat`` and ``lon``; ``sites`` has ``site_id``, ``lat``, ``lon`` and the
-    ``keep`` columns. All points come back, repeated rows as often as they occur; those
-    without coordinates get no site. Adds ``site_id``, the kept columns, ``site_lat``,
-    ``site_lon`` and ``distance_miles``.
+    ``keep`` columns. ``metric`` is what sites are ranked by: ``planar`` or ``haversine``. With
+    ``max_miles`` only sites within these great-circle miles count. All points come back,
+    repeated rows as often as they occur; one without coordinates (great circles also need a latitude within 90 degrees), or without a site in reach, gets one
+    row without a site. Adds ``site_id``, the kept columns, ``site_lat``, ``site_lon``,
+    ``distance_miles`` and, if ``k`` is above 1, ``site_rank`` from 1. Where there are fewer
+    sites than ``k``, fewer rows come back. Rows of one site id at one place count as one site.
 
     Different places walk down the index, each under a number, so many points at one place
     cost one walk, and the steps carry and compare one integer instead of the point's columns.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    search = _Search(METRICS[metric], k, max_miles)
     lat, lon = F.col("lat"), F.col("lon")
+    globe = metric == "haversine" or max_miles is not None
+    placed = _has_point(lat, lon, globe)
     point_cols = points.columns
-    # The site list is usually distilled from a large fact table: write it once. Of sites
-    # at the same place only the smallest id can win.
-    grid = materialize(
-        sites.where(_has_point(lat, lon))
-        .groupBy(lat.alias("site_lat"), lon.alias("site_lon"))
-        .agg(F.min(F.struct("site_id", *keep)).alias("site"))
-        .withColumn("gx", _step((F.col("site_lon") + 180) / 360))
-        .withColumn("gy", _step((F.col("site_lat") + 90) / 360)),
-        "sites",
-    )
+    # The site list is usually distilled from a large fact table: write it once.
+    grid = materialize(_site_grid(sites, keep, k, globe), "sites")
     # Cells and densest cell per level: sixteen rows, whatever the number of sites.
     occupancy = {
         r["level"]: r
@@ -154,42 +285,43 @@ def nearest(
     depth = min((i for i, r in occupancy.items() if i >= top and r["densest"] <= leaf_size), default=_DEPTH if occupancy else top)
 
     places = materialize(
-        points.where(_has_point(lat, lon))
+        points.where(placed)
         .select("lat", "lon")
         .distinct()
         .withColumn("_place", F.monotonically_increasing_id()),
         "places",
     )
     place = ["_place", "lat", "lon"]
-    box = ("cell", "lat_lo", "lat_hi", "lon_lo", "lon_hi")
-    root = _boxes(grid, top).agg(F.collect_list(F.struct(*box)).alias("cells"))
-    # Cells that cannot win go before a place becomes several rows.
-    cells = F.col("_cells")
-    best = F.array_min(F.transform(cells, lambda c: _bounds(c, lat, lon)[1]))
-    cand = (
-        places.withColumn("_cells", root.scalar())
-        .withColumn("bound", best)
-        .withColumn("_cells", F.filter(cells, lambda c: _bounds(c, lat, lon)[0] <= F.col("bound")))
-        .select(*place, "bound", F.explode(F.transform("_cells", lambda c: c["cell"])).alias("cell"))
-    )
+    root = _boxes(grid, top).agg(F.collect_list(F.struct("cell", *_BOX, "n_sites")).alias("cells"))
+    cand = search.at_root(places.select(*place), root, lat, lon)
     for level in range(top + 1, depth + 1):
         below = _boxes(grid, level, _cell(level - 1).alias("parent"))
-        cand = _narrow(cand.withColumnRenamed("cell", "parent").join(below, "parent"), place, lat, lon)
-
-    leaf = grid.select(_cell(depth).alias("cell"), "site", "site_lat", "site_lon")
-    d2 = planar_d2(lat, lon, F.col("site_lat"), F.col("site_lon"))
-    hit = F.struct(d2.alias("d2"), "site", "site_lat", "site_lon")
-    found = cand.join(leaf, "cell").groupBy("_place").agg(F.min(hit).alias("hit"))
-    # Back to the points by their place; a place that a third of them share is a skewed key with one match.
+        cand = search.narrow(cand.withColumnRenamed("cell", "parent").join(below, "parent"), place, lat, lon)
+
+    leaf = grid.select(_cell(depth).alias("cell"), "at", "site_lat", "site_lon")
+    near = cand.join(leaf, "cell").withColumn("far", search.metric.distance(lat, lon, F.col("site_lat"), F.col("site_lon")))
+    if max_miles is not None:
+        near = near.where(haversine_miles(lat, lon, F.col("site_lat"), F.col("site_lon")) <= max_miles)
+    if k == 1:
+        # The first site of a place has its smallest id.
+        hit = F.struct("far", F.col("at")[0].alias("site"), "site_lat", "site_lon")
+        found = near.groupBy("_place").agg(F.min(hit).alias("hit")).withColumn("site_rank", F.lit(1))
+    else:
+        single = near.select("_place", "far", "site_lat", "site_lon", F.explode("at").alias("site"))
+        turn = F.row_number().over(Window.partitionBy("_place").orderBy("far", "site.site_id", "site_lat", "site_lon"))
+        found = single.withColumn("site_rank", turn).where(F.col("site_rank") <= k)
+        found = found.select("_place", "site_rank", F.struct("site", "site_lat", "site_lon").alias("hit"))
+    # Back to the points by their place; a place that a third of them share is a skewed key with few matches.
     where = places.join(found, "_place", "left").select(
-        F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "hit"
+        F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "hit", "site_rank"
     )
-    located = points.where(_has_point(lat, lon)).join(where, (lat == F.col("_lat")) & (lon == F.col("_lon")), "left")
-    every = located.drop("_lat", "_lon").unionByName(points.where(~_has_point(lat, lon)), allowMissingColumns=True)
+    located = points.where(placed).join(where, (lat == F.col("_lat")) & (lon == F.col("_lon")), "left")
+    every = located.drop("_lat", "_lon").unionByName(points.where(~placed), allowMissingColumns=True)
     return every.select(
         *point_cols,
         *[F.col(f"hit.site.{c}").alias(c) for c in ("site_id", *keep)],
         F.col("hit.site_lat").alias("site_lat"),
         F.col("hit.site_lon").alias("site_lon"),
         haversine_miles(lat, lon, F.col("hit.site_lat"), F.col("hit.site_lon")).alias("distance_miles"),
+        *(["site_rank"] if k > 1 else []),
     )

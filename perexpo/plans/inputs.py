@@ -114,6 +114,33 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def globe(spark: SparkSession, sf_dir: str, name: str, key: str, lat_step: int, lon_step: int) -> DataFrame:
+    """Places all over the globe for the rows of a table, on both sides of the date line and at the poles."""
+    u = F.col(key)
+    return table(spark, sf_dir, name).select(
+        key,
+        (((u * lat_step) % 18001 - 9000) / F.lit(1e2)).alias("lat"),
+        (((u * lon_step) % 36001 - 18000) / F.lit(1e2)).alias("lon"),
+    )
+
+
+def globe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point per customer; every eighth lies at the date line, every eighth at a pole."""
+    c = globe(spark, sf_dir, "customer", "c_custkey", 7919, 104729)
+    k = F.col("c_custkey")
+    return c.withColumns(
+        {
+            "lon": F.when(k % 8 == 3, F.when(k % 16 == 3, F.lit(179.99)).otherwise(F.lit(-179.99))).otherwise(F.col("lon")),
+            "lat": F.when(k % 8 == 5, F.when(k % 16 == 5, F.lit(89.5)).otherwise(F.lit(-90.0))).otherwise(F.col("lat")),
+        }
+    )
+
+
+def globe_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = globe(spark, sf_dir, "supplier", "s_suppkey", 5167, 30011)
+    return s.select(F.col("s_suppkey").alias("site_id"), site_name(F.col("s_suppkey")).alias("site_name"), "lat", "lon")
+
+
 def zone_id(k: Column) -> Column:
     return F.lpad(k.cast("string"), 5, "0")
 

@@ -50,6 +50,13 @@ def _period(h: str) -> str:
         WHEN {h} >= 17 AND {h} < 22 THEN 'Evening' WHEN {h} IS NOT NULL THEN 'Late Night' END"""
 
 
+def _miles(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return (
+        f"2 * 3959e0 * asin(least(1e0, sqrt(power(sin(radians({lat2} - {lat1}) / 2), 2) "
+        f"+ cos(radians({lat1})) * cos(radians({lat2})) * power(sin(radians({lon2} - {lon1}) / 2), 2))))"
+    )
+
+
 def _bins(c: str, edges: tuple, labels: tuple, op: str, missing: str = "NULL") -> str:
     arms = " ".join(f"WHEN {c} {op} {e} THEN {lab}" for e, lab in zip(edges, labels))
     return f"CASE WHEN {c} IS NULL THEN {missing} {arms} ELSE {labels[-1]} END"
@@ -93,6 +100,12 @@ STAGES: dict[str, str] = {
         CAST(sum(exposure) AS BIGINT) AS exposure FROM s_exposure GROUP BY ALL""",
     "s_sites": f"""SELECT s_suppkey AS site_id, {_site_name('s_suppkey')} AS site_name,
         {_lat('s_suppkey')} AS lat, {_lon('s_suppkey')} AS lon FROM supplier""",
+    "s_globe_pairs": f"""SELECT *, {_miles('plat', 'plon', 'lat', 'lon')} AS miles FROM (SELECT c_custkey,
+            CASE c_custkey % 16 WHEN 5 THEN 89.5e0 WHEN 13 THEN -90e0 ELSE ((c_custkey * 7919) % 18001 - 9000) / 1e2 END AS plat,
+            CASE c_custkey % 16 WHEN 3 THEN 179.99e0 WHEN 11 THEN -179.99e0
+                ELSE ((c_custkey * 104729) % 36001 - 18000) / 1e2 END AS plon FROM customer) p
+        CROSS JOIN (SELECT s_suppkey AS site_id, ((s_suppkey * 5167) % 18001 - 9000) / 1e2 AS lat,
+            ((s_suppkey * 30011) % 36001 - 18000) / 1e2 AS lon FROM supplier) s""",
     "s_corner": """SELECT k, lpad(CAST(k AS VARCHAR), 5, '0') AS zone_id, ring, n, pos,
             -74.05e0 - 3.7e-5 + k % 5 * 6e-2 + dx AS x, 40.5e0 - 3.7e-5 + floor(k / 5) * 8e-2 + dy AS y
         FROM (SELECT n_nationkey AS k FROM nation) z JOIN (VALUES
@@ -351,6 +364,22 @@ FINAL: dict[str, str] = {
         CASE WHEN exposure >= 100000 THEN 'Include' ELSE 'Low Ridership' END AS threshold FROM s_totals""",
     "coord_clusters": "SELECT * FROM s_clusters",
     "nearest_site": f"SELECT {_CAND_ROUNDED} FROM s_cand",
+    "nearest_sites_in_reach": """SELECT c.name, c.lat_e5, c.lon_e5, CAST(n.site_rank AS INTEGER) AS site_rank, n.site_id, n.site_name,
+            round(n.miles, 6) AS distance_miles
+        FROM s_clusters c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY name, lat_e5, lon_e5
+                ORDER BY (plat - lat) * (plat - lat) + (plon - lon) * (plon - lon), site_id) AS site_rank
+            FROM (SELECT name, lat_e5, lon_e5, lat_e5 / 1e5 AS plat, lon_e5 / 1e5 AS plon FROM s_clusters) p
+            CROSS JOIN s_dim CROSS JOIN LATERAL (SELECT """ + _miles("plat", "plon", "lat", "lon") + """ AS miles) m
+            WHERE miles <= 0.5) n
+        ON n.name IS NOT DISTINCT FROM c.name AND n.lat_e5 = c.lat_e5 AND n.lon_e5 = c.lon_e5 AND n.site_rank <= 5""",
+    "nearest_by_great_circle": """SELECT c_custkey, arg_min(site_id, (round(miles, 6), site_id)) AS site_id,
+            round(arg_min(miles, (round(miles, 6), site_id)), 6) AS distance_miles,
+            arg_min(site_id, ((plat - lat) * (plat - lat) + (plon - lon) * (plon - lon), site_id)) AS planar_site_id
+        FROM s_globe_pairs GROUP BY c_custkey""",
+    "nearest_sites_by_great_circle": """SELECT c.c_custkey, CAST(n.site_rank AS INTEGER) AS site_rank, n.site_id,
+            round(n.miles, 6) AS distance_miles
+        FROM customer c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(miles, 6), site_id) AS site_rank
+            FROM s_globe_pairs WHERE miles <= 1000) n ON n.c_custkey = c.c_custkey AND n.site_rank <= 3""",
     "distance_histogram": _HISTOGRAM.format(
         label=_bins("distance_miles", _DIST_EDGES, _DIST_LONG, "<="),
         ordinal=_bins("distance_miles", _DIST_EDGES, _ORDINALS, "<="),

@@ -532,6 +532,33 @@ def nearest_site(spark, d):
     return rounded(_nearest(spark, d), "distance_miles")
 
 
+@register
+def nearest_sites_in_reach(spark, d):
+    """Up to five sites of every cluster, none of them farther than half a mile."""
+    clusters = matching.coord_clusters(inputs.incidents(spark, d))
+    points = clusters.select(
+        *matching.CLUSTER_KEY, geometry.unscaled("lat_e5").alias("lat"), geometry.unscaled("lon_e5").alias("lon")
+    )
+    found = nearest(points, matching.site_dim(inputs.exposure_raw(spark, d)), k=5, max_miles=0.5)
+    return rounded(found.select(*matching.CLUSTER_KEY, "site_rank", "site_id", "site_name", "distance_miles"), "distance_miles")
+
+
+@register
+def nearest_by_great_circle(spark, d):
+    """Nearest site around the globe, and the one that differences in degrees would choose."""
+    points, sites = inputs.globe_points(spark, d), inputs.globe_sites(spark, d)
+    planar = nearest(points, sites).select("c_custkey", F.col("site_id").alias("planar_site_id"))
+    found = nearest(points, sites, metric="haversine").join(planar, "c_custkey")
+    return rounded(found.select("c_custkey", "site_id", "distance_miles", "planar_site_id"), "distance_miles")
+
+
+@register
+def nearest_sites_by_great_circle(spark, d):
+    """Up to three sites within 1,000 miles of every point of the globe."""
+    found = nearest(inputs.globe_points(spark, d), inputs.globe_sites(spark, d), k=3, max_miles=1000.0, metric="haversine")
+    return rounded(found.select("c_custkey", "site_rank", "site_id", "distance_miles"), "distance_miles")
+
+
 @register
 def distance_histogram(spark, d):
     return matching.distance_histogram(_nearest(spark, d))
