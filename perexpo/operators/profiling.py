@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from perexpo.functions.cleaning import stored_type
 from perexpo.functions.daytime import parse_timestamp
+from perexpo.sources.tables import save
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -74,14 +76,22 @@ def dependency_counts(df: DataFrame, key: str, deps: Sequence[str]) -> DataFrame
 
 
 def fd_violations(df: DataFrame, key: str, deps: Sequence[str]) -> DataFrame:
-    """Keys with more than one value in some dependent column; empty means key -> deps."""
-    # One aggregate that combines map-side finds the few keys; only their rows are counted out.
-    differs = F.lit(False)
-    for d in deps:
-        differs = differs | (F.min(d) != F.max(d))
-    found = df.groupBy(key).agg(differs.alias("_differs")).where("_differs").select(F.col(key).alias("_key"))
-    rows = df.select(key, *deps).join(found, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return dependency_counts(rows, key, deps)
+    """Keys with more than one value in some dependent column; empty means key -> deps.
+
+    The facts are read once: every row gives a (key, column, value) for each dependent
+    column, repeats collapse before the shuffle, and the values of a key are counted by column.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(d: str) -> Column:
+        """Equal exactly if the values are; the two zeros of a double are one value."""
+        c = F.col(f"`{d}`")
+        return (c + F.lit(0.0).cast(kinds[d]) if isinstance(kinds[d], (FloatType, DoubleType)) else c).cast("string")
+
+    values = F.posexplode(F.array(*[text(d) for d in deps])).alias("_at", "_value")
+    found = df.select(F.col(f"`{key}`").alias(key), values).where("_value IS NOT NULL").distinct()
+    counts = found.groupBy(key).agg(*[F.count_if(F.col("_at") == i).alias(f"n_{d}") for i, d in enumerate(deps)])
+    return counts.where(F.greatest(*[F.col(f"n_{d}") for d in deps], F.lit(0)) > 1)
 
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,6 +160,53 @@ def observed(df: DataFrame, name: str, measure: str) -> tuple[DataFrame, Observa
     )
 
 
+def row_checksum(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
+    """Aggregate over whole rows that neither order nor splitting changes, but any changed value does.
+
+    Hashes add up as decimals, so repeated rows count as often as they occur and nothing overflows.
+    """
+    cols = df.columns if cols is None else cols
+    return F.coalesce(F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in cols]).cast("decimal(20,0)")), F.lit(0)).cast("string")
+
+
+def observed_write(df: DataFrame, path: str, measure: str, name: str) -> tuple[DataFrame, dict]:
+    """Write ``df`` and gather rows, sum of the measure and checksum of the rows on the way.
+
+    Returns the table as read back and the totals; nothing is read a second time for them.
+    """
+    seen = Observation(name)
+    totals = [
+        F.count("*").alias("rows"),
+        F.sum(measure).cast("bigint").alias("measure"),
+        row_checksum(df).alias("checksum"),
+    ]
+    stored = save(df.observe(seen, *totals), path)
+    return stored, seen.get
+
+
+def compare_totals(spark: SparkSession, before: dict, after: dict, stage: str) -> DataFrame:
+    """One row: the totals of two observed stages and whether rows, measure and contents agree.
+
+    Contents can differ although rows and measure agree, for instance after two values
+    were swapped.
+    """
+    row = (
+        stage,
+        before["rows"],
+        after["rows"],
+        before["measure"],
+        after["measure"],
+        before["rows"] == after["rows"],
+        before["measure"] == after["measure"],
+        before["checksum"] == after["checksum"],
+    )
+    return spark.createDataFrame(
+        [row],
+        "stage string, rows_before bigint, rows_after bigint, measure_before bigint, measure_after bigint, "
+        "rows_equal boolean, measure_equal boolean, contents_equal boolean",
+    )
+
+
 def summary(df: DataFrame, by: str | Column, measure: str, alias: str | None = None) -> DataFrame:
     """Groups with their number of rows and the sum of the measure, largest first."""
     key = F.col(by) if isinstance(by, str) else by

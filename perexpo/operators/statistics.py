@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from perexpo.operators.rates import top_k
 from perexpo.sources.tables import materialize
 
+
+def _corr(x: Column, y: Column) -> Column:
+    """Linear correlation over the rows where both are known; NULL where a column does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Linear correlation over the rows where both are known."""
-    return df.agg(F.corr(x, y).alias("pearson"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
+    return df.agg(_corr(F.col(x), F.col(y)).alias("pearson"), F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1)).alias("n"))
 
 
 def _ranked(counts: DataFrame) -> DataFrame:
@@ -75,6 +83,71 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return sums.select(F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("spearman"), "n")
 
 
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(x, y, pearson, spearman, n) for every two of the columns, each over the rows where both are known.
+
+    Rows become different combinations with their numbers. The values of all columns are then
+    ranked together, in one pass over (column, value): a value counts once for every partner column, by
+    the rows in which that partner is known, because those are the rows its rank is among. One
+    join brings all ranks back to the combinations and one aggregate makes all pairs. What
+    is broadcast or read by the driver is nothing but the numbers of rows, one for each two columns.
+    """
+    p, names = len(cols), list(cols)
+    each = range(p)
+    doubles = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)]
+    grouped = df.select(*doubles).groupBy(*[f"c{i}" for i in each]).agg(F.count("*").alias("n"))
+    combos = materialize(grouped.withColumn("combo", F.monotonically_increasing_id()), "combinations")
+    known = [F.col(f"c{i}").isNotNull() for i in each]
+    melted = combos.select(
+        "combo", "n", *[k.alias(f"k{i}") for i, k in enumerate(known)], F.posexplode(F.array(*[f"c{i}" for i in each])).alias("c", "v")
+    ).where(F.col("v").isNotNull())
+    counts = melted.groupBy("c", "v").agg(*[F.sum(F.when(F.col(f"k{j}"), F.col("n")).otherwise(0)).alias(f"n{j}") for j in each])
+    ranks = _partner_ranks(counts, p)
+    back = melted.select("combo", "n", "c", "v").join(ranks, ["c", "v"]).groupBy("combo").agg(
+        F.first("n").alias("n"), *[F.max(F.when(F.col("c") == i, F.col("ranks"))).alias(f"r{i}") for i in each]
+    )
+    pairs = [(i, j) for i in each for j in range(i + 1, p)]
+    w = F.col("n").cast("double")
+    sizes = combos.agg(F.array(*[F.coalesce(F.sum(F.when(known[i] & known[j], F.col("n"))), F.lit(0)) for i, j in pairs])).scalar()
+    sums = []
+    for at, (i, j) in enumerate(pairs):
+        middle = (F.col("sizes")[at] + 1) / 2
+        a, b = F.get(f"r{i}", F.lit(j)) - middle, F.get(f"r{j}", F.lit(i)) - middle
+        both = F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
+        moments = [F.sum(F.when(both, w * x * y)) for x, y in ((a, b), (a, a), (b, b))]
+        sums.append(F.try_divide(moments[0], F.sqrt(moments[1]) * F.sqrt(moments[2])))
+    spearman_of = back.withColumn("sizes", sizes).agg(F.array(*sums).alias("s")).select("s").scalar()
+    linear = df.select(*doubles).agg(
+        F.array(*[F.struct(_corr(F.col(f"c{i}"), F.col(f"c{j}")).alias("r"), F.count_if(known[i] & known[j]).alias("n")) for i, j in pairs]).alias("l")
+    )
+    labels = F.array(*[F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y")) for i, j in pairs])
+    rows = linear.select(F.posexplode("l").alias("at", "l"), spearman_of.alias("s"), labels.alias("labels"))
+    return rows.select(
+        F.col("labels")[F.col("at")]["x"].alias("x"),
+        F.col("labels")[F.col("at")]["y"].alias("y"),
+        F.col("l.r").alias("pearson"),
+        F.get("s", F.col("at")).alias("spearman"),
+        F.col("l.n").alias("n"),
+    )
+
+
+def _partner_ranks(counts: DataFrame, p: int) -> DataFrame:
+    """(c, v, ranks) from (c, v, n0, n1, ...): for each partner the average rank of v in column c.
+
+    Columns and values are dealt out by range together; a running sum in each part and the
+    totals of the parts before it give the ranks of all columns at once.
+    """
+    parts = materialize(counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()), "column-ranges")
+    totals = parts.groupBy("c", "part").agg(*[F.sum(f"n{j}").alias(f"t{j}") for j in range(p)])
+    # A column has one row here for each part that it touches.
+    earlier = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("c", "part", *[F.coalesce(F.sum(f"t{j}").over(earlier), F.lit(0)).alias(f"s{j}") for j in range(p)])
+    inside = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = parts.select("c", "part", "v", *[f"n{j}" for j in range(p)], *[F.sum(f"n{j}").over(inside).alias(f"b{j}") for j in range(p)])
+    rank = [F.col(f"s{j}") + F.coalesce(f"b{j}", F.lit(0)) + (F.col(f"n{j}") + 1) / 2 for j in range(p)]
+    return ranked.join(starts, ["c", "part"]).select("c", "v", F.array(*rank).alias("ranks"))
+
+
 def log10(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.withColumn(out, F.log10(F.col(col)))
 

@@ -163,6 +163,49 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(zone_id(k).alias("zone_id"), rings.alias("rings"))
 
 
+def band_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of ragged bands with a hole, one row of 64 customers each; the last band may be shorter.
+
+    Every customer gives its piece of the upper and the lower border, and of the hole's; the
+    first and the last of a band, and of a hole, close it.
+    """
+    u = F.col("c_custkey")
+    z, i = F.floor(u / 64).cast("bigint"), u % 64
+    last = F.when(i == 63, F.lit(True)).otherwise(u == F.col("last"))
+    x0 = F.lit(-74.05) - F.lit(3.7e-5) + z % 6 * F.lit(5e-2)
+    y0 = F.lit(40.5) - F.lit(3.7e-5) + F.floor(z / 6) % 5 * F.lit(8e-2)
+
+    def x(k: Column) -> Column:
+        return x0 + k / F.lit(1280.0)
+
+    def upper(k: Column) -> Column:
+        return y0 + F.lit(6e-2) + (z * 31 + k * 7919) % 100 / F.lit(1e4)
+
+    def lower(k: Column) -> Column:
+        return y0 + (z * 17 + k * 104729) % 100 / F.lit(1e4)
+
+    def edge(when: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        return F.when(when, F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+
+    always, hole = F.lit(True), (i >= 16) & (i < 48)
+    low, high = y0 + F.lit(2e-2), y0 + F.lit(4e-2)
+    pieces = F.array(
+        edge(always, x(i), upper(i), x(i + 1), upper(i + 1)),
+        edge(always, x(i), lower(i), x(i + 1), lower(i + 1)),
+        edge(i == 0, x(i), lower(i), x(i), upper(i)),
+        edge(last, x(i + 1), lower(i + 1), x(i + 1), upper(i + 1)),
+        edge(hole, x(i), low, x(i + 1), low),
+        edge(hole, x(i), high, x(i + 1), high),
+        edge(i == 16, x(i), low, x(i), high),
+        edge(hole & (last | (i == 47)), x(i + 1), low, x(i + 1), high),
+    )
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    ended = customers.withColumn("last", customers.agg(F.max("c_custkey")).scalar())
+    return ended.select(zone_id(z).alias("zone_id"), F.explode(F.filter(pieces, lambda e: e.isNotNull())).alias("e")).select(
+        "zone_id", "e.*"
+    )
+
+
 def zone_attributes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone attribute as text: separators, open-ended and suppressed values, a header row."""
     k = F.col("c_nationkey")

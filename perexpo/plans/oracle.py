@@ -100,6 +100,25 @@ STAGES: dict[str, str] = {
         CAST(sum(exposure) AS BIGINT) AS exposure FROM s_exposure GROUP BY ALL""",
     "s_sites": f"""SELECT s_suppkey AS site_id, {_site_name('s_suppkey')} AS site_name,
         {_lat('s_suppkey')} AS lat, {_lon('s_suppkey')} AS lon FROM supplier""",
+    "s_known_lines": """SELECT l_quantity, l_extendedprice, CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END AS l_discount,
+        CASE WHEN l_linenumber <> 3 THEN l_tax END AS l_tax, l_linenumber FROM lineitem""",
+    "s_band": """SELECT lpad(CAST(z AS VARCHAR), 5, '0') AS zone_id, e.* FROM (SELECT c_custkey // 64 AS z, c_custkey % 64 AS i,
+            c_custkey % 64 = 63 OR c_custkey = max(c_custkey) OVER () AS last,
+            -74.05e0 - 3.7e-5 + c_custkey // 64 % 6 * 5e-2 AS x0, 40.5e0 - 3.7e-5 + c_custkey // 64 // 6 % 5 * 8e-2 AS y0 FROM customer) c
+        CROSS JOIN LATERAL (SELECT x0 + i / 1280e0 AS xa, x0 + (i + 1) / 1280e0 AS xb,
+            y0 + 6e-2 + (z * 31 + i * 7919) % 100 / 1e4 AS ua, y0 + 6e-2 + (z * 31 + (i + 1) * 7919) % 100 / 1e4 AS ub,
+            y0 + (z * 17 + i * 104729) % 100 / 1e4 AS da, y0 + (z * 17 + (i + 1) * 104729) % 100 / 1e4 AS db,
+            y0 + 2e-2 AS low, y0 + 4e-2 AS high, i >= 16 AND i < 48 AS hole) v
+        CROSS JOIN LATERAL (SELECT xa AS x1, ua AS y1, xb AS x2, ub AS y2
+            UNION ALL SELECT xa, da, xb, db
+            UNION ALL SELECT xa, da, xa, ua WHERE i = 0
+            UNION ALL SELECT xb, db, xb, ub WHERE last
+            UNION ALL SELECT xa, low, xb, low WHERE hole
+            UNION ALL SELECT xa, high, xb, high WHERE hole
+            UNION ALL SELECT xa, low, xa, high WHERE i = 16
+            UNION ALL SELECT xb, low, xb, high WHERE hole AND (last OR i = 47)) e""",
+    "s_in_band": f"""SELECT p.site_id, e.zone_id FROM s_sites p CROSS JOIN s_band e GROUP BY ALL
+        HAVING count(*) FILTER ((e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lon < {_INSIDE_X}) % 2 = 1""",
     "s_globe_pairs": f"""SELECT *, {_miles('plat', 'plon', 'lat', 'lon')} AS miles FROM (SELECT c_custkey,
             CASE c_custkey % 16 WHEN 5 THEN 89.5e0 WHEN 13 THEN -90e0 ELSE ((c_custkey * 7919) % 18001 - 9000) / 1e2 END AS plat,
             CASE c_custkey % 16 WHEN 3 THEN 179.99e0 WHEN 11 THEN -179.99e0
@@ -283,6 +302,23 @@ _LINE_COLS = [
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
 
+_UNION = "\nUNION ALL\n"
+_TEXTS = "CAST(0 AS BIGINT) AS integer_values, CAST(0 AS BIGINT) AS real_values, count({c}) AS text_values"
+_NO_TEXTS = "CAST(NULL AS BIGINT) AS integer_values, CAST(NULL AS BIGINT) AS real_values, CAST(NULL AS BIGINT) AS text_values"
+
+
+def _correlations(cols: tuple[str, ...], source: str) -> str:
+    """Both correlations of every two columns, over the rows where both are known."""
+    rank = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0"
+    return _UNION.join(
+        f"""SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n
+        FROM (SELECT {x}, {y}, {rank.format(c=x)} AS rx, {rank.format(c=y)} AS ry FROM {source}
+            WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"""
+        for i, x in enumerate(cols)
+        for y in cols[i + 1 :]
+    )
+
+
 FINAL: dict[str, str] = {
     "csv_roundtrip": "SELECT * FROM s_sites",
     "raw_source": """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
@@ -309,6 +345,43 @@ FINAL: dict[str, str] = {
         count(*) AS row_count FROM s_exposure_raw GROUP BY 1""",
     "profile_types_clean": """SELECT CASE WHEN exposure IS NULL THEN 'null' ELSE 'integer' END AS stored_type,
         count(*) AS row_count FROM s_exposure GROUP BY 1""",
+    "profile_table": _UNION.join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS nulls,
+            {f'CAST(min({c}) AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS min_number,
+            {f'CAST(max({c}) AS DOUBLE)' if number else 'CAST(NULL AS DOUBLE)'} AS max_number,
+            {'CAST(NULL AS VARCHAR)' if number else f'min({text})'} AS min_text,
+            {'CAST(NULL AS VARCHAR)' if number else f'max({text})'} AS max_text,
+            count(DISTINCT {c}) AS exact_distinct, TRUE AS estimate_close FROM lineitem"""
+        for c, number, text in (
+            ("l_orderkey", True, ""),
+            ("l_linenumber", True, ""),
+            ("l_quantity", True, ""),
+            ("l_discount", True, ""),
+            ("l_returnflag", False, "l_returnflag"),
+            ("l_linestatus", False, "l_linestatus"),
+            ("l_shipdate", False, "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f')"),
+        )
+    ),
+    "profile_batches": _UNION.join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) FILTER ({c} IS NULL) AS nulls,
+            {types}, {f'count(DISTINCT {c})' if counted else 'CAST(NULL AS BIGINT)'} AS counted,
+            {'TRUE' if counted else 'CAST(NULL AS BOOLEAN)'} AS estimate_close FROM s_exposure_raw"""
+        for c, counted, types in (
+            ("ts", False, _TEXTS.format(c="ts")),
+            ("site_id", True, _NO_TEXTS),
+            ("site_name", False, _TEXTS.format(c="site_name")),
+            ("region", False, _TEXTS.format(c="region")),
+            ("lat", False, _NO_TEXTS),
+            ("lon", False, _NO_TEXTS),
+            (
+                "exposure",
+                True,
+                """count(*) FILTER (exposure NOT LIKE '%,%' AND exposure NOT LIKE '%.%') AS integer_values,
+                count(*) FILTER (exposure NOT LIKE '%,%' AND exposure LIKE '%.%') AS real_values,
+                count(*) FILTER (exposure LIKE '%,%') AS text_values""",
+            ),
+        )
+    ),
     "profile_fd": """SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_l_suppkey,
         count(DISTINCT l_returnflag) AS n_l_returnflag FROM lineitem GROUP BY 1
         HAVING count(DISTINCT l_suppkey) > 1 OR count(DISTINCT l_returnflag) > 1""",
@@ -393,6 +466,10 @@ FINAL: dict[str, str] = {
         source="s_other WHERE incidents < 4",
     ),
     "pip_join": "SELECT * FROM s_site_zone",
+    "pip_edges": "SELECT p.site_id, z.zone_id FROM s_sites p LEFT JOIN s_in_band z USING (site_id)",
+    "polygon_texts": "SELECT * FROM s_edge CROSS JOIN (VALUES ('wkt'), ('geojson')) f(format)",
+    "polygon_problems": """SELECT CASE n_nationkey % 6 WHEN 0 THEN 'OK' WHEN 1 THEN 'MISSING' WHEN 2 THEN 'TYPE'
+            WHEN 3 THEN 'UNREADABLE' WHEN 4 THEN 'NUMBER' ELSE 'RING' END AS problem, count(*) AS geometries FROM nation GROUP BY ALL""",
     "pip_unmatched": "SELECT count(*) AS missing FROM s_site_zone WHERE zone_id IS NULL",
     "site_dimension": "SELECT * FROM s_dim",
     "pick_one": "SELECT site_id, min(site_name) AS site_name FROM s_dim GROUP BY site_id",
@@ -443,6 +520,17 @@ FINAL: dict[str, str] = {
         round(avg(rate), 6) AS avg_rate, min(attr) AS min_attr FROM s_attr_set GROUP BY 1""",
     "period_metrics": "SELECT * FROM s_periods",
     "site_period_metrics": "SELECT * FROM s_site_period",
+    "incremental_site_periods": "SELECT * FROM s_site_period",
+    "incremental_periods": "SELECT * FROM s_periods",
+    "replayed_batches": """SELECT 'line-' || l_linenumber AS batch_id, count(*) AS row_count, sum(l_quantity) AS quantity FROM lineitem
+        WHERE l_linenumber <= 2 OR (l_linenumber = 3 AND l_quantity > 25) GROUP BY 1""",
+    "replaced_partitions": """SELECT l_returnflag, count(*) AS row_count,
+        sum(l_quantity * CASE l_returnflag WHEN 'A' THEN 2 ELSE 1 END) AS quantity FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1""",
+    "reconcile_contents": """SELECT stage, 2 * count(*) AS rows_before, 2 * count(*) AS rows_after,
+            CAST(sum(round(l_quantity) + round(l_discount * 100)) AS BIGINT) AS measure_before,
+            CAST(sum(round(l_quantity) + round(l_discount * 100)) AS BIGINT) AS measure_after,
+            TRUE AS rows_equal, TRUE AS measure_equal, stage = 'copied' AS contents_equal
+        FROM lineitem CROSS JOIN (VALUES ('copied'), ('swapped')) s(stage) GROUP BY stage""",
     "rank_site_period": """SELECT * FROM s_site_period WHERE exposure >= 30000
         ORDER BY rate DESC, site_id, period LIMIT 15""",
     "serving_site": "SELECT * FROM s_published",
@@ -467,6 +555,7 @@ FINAL: dict[str, str] = {
     "spearman_rate": _spearman("exposure", "rate", "s_rate_set"),
     "spearman_attr": _spearman("attr", "rate", "s_attr_set"),
     "spearman_lineitem": _spearman("l_quantity", "l_extendedprice", "lineitem"),
+    "correlation_matrix": _correlations(("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"), "s_known_lines"),
     "log_exposure": """SELECT site_id, round(log10(exposure), 6) AS log_exposure FROM s_totals WHERE exposure > 0""",
     "ols_exposure": _ols("log_exposure", "rate", "s_log", 6),
     "ols_attr": _ols("attr", "rate", "s_attr_set", 10),

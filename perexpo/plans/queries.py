@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perexpo.functions import bins, cleaning, daytime, geometry, names
-from perexpo.operators import matching, profiling, rates, statistics, views, zones
+from perexpo.operators import incremental, matching, profiling, rates, statistics, table_profile, views, zones
 from perexpo.operators.nearest import best_per_key, nearest
 from perexpo.plans import analysis, inputs
-from perexpo.sources import tables
+from perexpo.sources import polygons, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -236,6 +236,63 @@ def append_batches(spark, d):
     )
 
 
+@register
+def replayed_batches(spark, d):
+    """Batches of lines under an id each; one is sent again, one again with fewer rows."""
+    path = tables.scratch_path(spark, "line-batches")
+    lines = inputs.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    for number in (1, 2, 3, 2):
+        tables.append_batch(lines.where(F.col("l_linenumber") == number), path, f"line-{number}")
+    tables.append_batch(lines.where((F.col("l_linenumber") == 3) & (F.col("l_quantity") > 25)), path, "line-3")
+    both = tables.read_batches(spark, path, lines.schema)
+    return both.groupBy("batch_id").agg(F.count("*").alias("row_count"), F.sum("l_quantity").alias("quantity"))
+
+
+@register
+def replaced_partitions(spark, d):
+    """A table by status, of which one partition is replaced and one is read."""
+    path = tables.scratch_path(spark, "by-status")
+    lines = inputs.table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    tables.save_partitioned(lines, path, ["l_returnflag"])
+    doubled = lines.where(F.col("l_returnflag") == "A").withColumn("l_quantity", F.col("l_quantity") * 2)
+    for _ in range(2):
+        tables.replace_partitions(doubled, path, ["l_returnflag"])
+    found = tables.read_partitioned(spark, path, lines.schema).where(F.col("l_returnflag").isin("A", "N"))
+    return found.groupBy("l_returnflag").agg(F.count("*").alias("row_count"), F.sum("l_quantity").alias("quantity"))
+
+
+def _days(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """The facts in three batches by day of the month."""
+    facts = inputs.incidents(spark, d), inputs.exposure_raw(spark, d).withColumn("exposure", cleaning.clean_int("exposure"))
+    day = [F.substring(c, 4, 2).cast("int") % 3 for c in ("dt", "ts")]
+    return [tuple(f.where(k == i) for f, k in zip(facts, day, strict=True)) for i in range(3)]
+
+
+def _grown_state(spark: SparkSession, d: str) -> tuple[str, DataFrame, DataFrame]:
+    """State folder, crosswalk and served table after three batches, the last of which changed after it was published."""
+    path = tables.scratch_path(spark, "state")
+    crosswalk, attrs = tables.materialize(_crosswalk(spark, d), "crosswalk"), tables.materialize(_site_attr(spark, d), "site-attributes")
+    first, second, third = _days(spark, d)
+    incremental.add_batch(*first, path, "day-0")
+    incremental.publish_site_periods(spark, path, f"{path}/served", crosswalk, attrs)
+    half = [f.where(F.col(c).substr(5, 1) < "5") for f, c in zip(third, ("dt", "ts"), strict=True)]
+    for batch, name in ((second, "day-1"), (half, "day-2"), (third, "day-2"), (third, "day-2")):
+        touched = incremental.replace_batch(*batch, path, name, crosswalk)
+        served = incremental.publish_site_periods(spark, path, f"{path}/served", crosswalk, attrs, touched)
+    return path, crosswalk, served
+
+
+@register
+def incremental_site_periods(spark, d):
+    """Rates by site and period from stored rollups of batches, equal to those of all facts."""
+    return _grown_state(spark, d)[2]
+
+
+@register
+def incremental_periods(spark, d):
+    return incremental.publish_periods(spark, _grown_state(spark, d)[0])
+
+
 @register
 def decision_table(spark, d):
     path = tables.scratch_path(spark, "decisions-csv")
@@ -311,6 +368,44 @@ def profile_types_clean(spark, d):
     return profiling.type_profile(inputs.exposure(spark, d), "exposure")
 
 
+LINE_COLUMNS = ("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@register
+def profile_table(spark, d):
+    """Every column of a table in one aggregate; the sketches are held against exact counts."""
+    lines = inputs.table(spark, d, "lineitem").select(*LINE_COLUMNS)
+    found = table_profile.report(table_profile.profile_table(lines, exact=LINE_COLUMNS))
+    off = F.abs(F.col("distinct_estimate") - F.col("exact_distinct")) / F.col("exact_distinct")
+    numeric = F.col("column_type").isin("double", "bigint", "int")
+    return found.select(
+        "column_name",
+        "row_count",
+        "nulls",
+        F.when(numeric, F.col("min_value").cast("double")).alias("min_number"),
+        F.when(numeric, F.col("max_value").cast("double")).alias("max_number"),
+        F.when(~numeric, F.col("min_value")).alias("min_text"),
+        F.when(~numeric, F.col("max_value")).alias("max_text"),
+        "exact_distinct",
+        (off <= 0.06).alias("estimate_close"),
+    )
+
+
+@register
+def profile_batches(spark, d):
+    """Profiles of batches, stored one by one and united without another look at the rows."""
+    facts = inputs.exposure_raw(spark, d).withColumn("batch", F.col("site_id") % 7)
+    path = tables.scratch_path(spark, "profiles")
+    stored = tables.save(table_profile.profile_table(facts, batch=["batch"]), path)
+    merged = table_profile.report(table_profile.merge_profiles(stored))
+    whole = table_profile.report(table_profile.profile_table(facts, exact=["site_id", "exposure"]))
+    exact = whole.where(F.col("exact_distinct").isNotNull()).select("column_name", F.col("exact_distinct").alias("counted"))
+    close = F.abs(F.col("distinct_estimate") - F.col("counted")) <= 0.06 * F.col("counted")
+    return merged.join(exact, "column_name", "left").select(
+        "column_name", "row_count", "nulls", "integer_values", "real_values", "text_values", "counted", close.alias("estimate_close")
+    )
+
+
 @register
 def profile_fd(spark, d):
     return profiling.fd_violations(inputs.table(spark, d, "lineitem"), "l_orderkey", ["l_suppkey", "l_returnflag"])
@@ -357,6 +452,25 @@ def reconcile_site_period(spark, d):
     )
 
 
+@register
+def reconcile_contents(spark, d):
+    """Totals and contents of stages, gathered while they are written; two swapped values are seen."""
+    lines = inputs.table(spark, d, "lineitem")
+    slots = F.array(
+        F.struct(F.lit(1).alias("slot"), F.round("l_quantity").cast("bigint").alias("value")),
+        F.struct(F.lit(2).alias("slot"), F.round(F.col("l_discount") * 100).cast("bigint").alias("value")),
+    )
+    rows = lines.select("l_orderkey", "l_linenumber", F.explode(slots).alias("s")).select("l_orderkey", "l_linenumber", "s.*")
+    path = tables.scratch_path(spark, "reconciled")
+    stage, before = profiling.observed_write(rows, path, "value", "before")
+    turned = F.when(F.col("l_orderkey") % 10 == 7, 3 - F.col("slot")).otherwise(F.col("slot"))
+    _, copied = profiling.observed_write(stage, path + "-copy", "value", "copied")
+    _, swapped = profiling.observed_write(stage.withColumn("slot", turned), path + "-swap", "value", "swapped")
+    return profiling.compare_totals(spark, before, copied, "copied").unionByName(
+        profiling.compare_totals(spark, before, swapped, "swapped")
+    )
+
+
 @register
 def batch_summary(spark, d):
     return profiling.summary(_reviews(_candidates(spark, d)), "reason", "incidents")
@@ -580,6 +694,39 @@ def pip_unmatched(spark, d):
     return profiling.missing(zones.pip_join(inputs.sites(spark, d), inputs.zones(spark, d)), "zone_id")
 
 
+@register
+def pip_edges(spark, d):
+    """Zones given as a table of edges, with holes, never put together."""
+    return zones.pip_edges(inputs.sites(spark, d), inputs.band_edges(spark, d)).select("site_id", "zone_id")
+
+
+@register
+def polygon_texts(spark, d):
+    """Zones written as well-known text and as GeoJSON, and the edges of what is read back."""
+    shapes, path = inputs.zones(spark, d), tables.scratch_path(spark, "features")
+    shapes.select(polygons.geojson(F.col("zone_id"), F.col("rings"))).write.text(path)
+    texts = tables.save(shapes.select("zone_id", polygons.wkt(F.col("rings")).alias("wkt")), path + "-wkt")
+    read = {"geojson": polygons.read_geojson(spark, path), "wkt": polygons.from_wkt(texts)}
+    edges = [zones.zone_edges(polygons.usable(z)).withColumn("format", F.lit(name)) for name, z in read.items()]
+    return edges[0].unionByName(edges[1])
+
+
+@register
+def polygon_problems(spark, d):
+    """Geometries that cannot be used, counted by what is wrong with them."""
+    k = F.col("n_nationkey")
+    text = (
+        F.when(k % 6 == 0, "POLYGON ((0 0, 4 0, 4 4, 0 0))")
+        .when(k % 6 == 1, "MULTIPOLYGON EMPTY")
+        .when(k % 6 == 2, "POINT (1 2)")
+        .when(k % 6 == 3, "POLYGON ((0 0, 4 0, 4 4, 0 0)")
+        .when(k % 6 == 4, "POLYGON ((0 0, 4 x, 4 4, 0 0))")
+        .otherwise("POLYGON ((0 0, 4 0, 0 0))")
+    )
+    rows = inputs.table(spark, d, "nation").select(inputs.zone_id(k).alias("zone_id"), text.alias("wkt"))
+    return polygons.problem_counts(polygons.from_wkt(rows))
+
+
 # ---- aggregates and keys -----------------------------------------------------------
 
 
@@ -877,6 +1024,20 @@ def spearman_lineitem(spark, d):
     return rounded(statistics.spearman(lines, "l_quantity", "l_extendedprice"), "spearman")
 
 
+@register
+def correlation_matrix(spark, d):
+    """All pairs of five columns, two of which are not always known."""
+    lines = inputs.table(spark, d, "lineitem")
+    known = lines.withColumns(
+        {
+            "l_discount": F.when(F.col("l_orderkey") % 5 != 0, F.col("l_discount")),
+            "l_tax": F.when(F.col("l_linenumber") != 3, F.col("l_tax")),
+        }
+    )
+    found = statistics.correlation_matrix(known, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])
+    return rounded(found, "pearson", "spearman")
+
+
 @register
 def log_exposure(spark, d):
     totals = rates.exposure_totals(inputs.exposure(spark, d)).where(F.col("exposure") > 0)

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegralType, StringType, StructType
 
@@ -62,25 +64,51 @@ _CSV = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | StructType, null: str = NULL_MARK) -> DataFrame:
+#: Lies in a folder of CSV files none of whose values holds a line end.
+_SINGLE_LINE = "_single_line"
+_LINE_END = r"[\n\r]"
+
+
+def _in_folder(spark: SparkSession, path: str, name: str) -> tuple:
+    """A file below a path, and the file system that holds it."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path, name)
+    return file, file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _multi_line(spark: SparkSession, path: str, multi_line: bool | None) -> bool:
+    if multi_line is not None:
+        return multi_line
+    file, files = _in_folder(spark, path, _SINGLE_LINE)
+    return not files.exists(file)
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: str | StructType, null: str = NULL_MARK, multi_line: bool | None = None
+) -> DataFrame:
     """CSV with a header row and a declared schema; a header or a value that does not fit is an error.
 
-    Values may hold line ends, so a file is read by one task.
+    Where values may hold line ends, a file is read by one task. Files without are split among
+    tasks: those that ``write_csv`` found to have none, and all others on request (``multi_line=False``);
+    a line that ends inside a value is an error then, because it has too few values.
     """
     return (
         spark.read.schema(_struct(schema))
         .options(**_CSV | {"nullValue": null})
         .option("enforceSchema", False)
-        .option("multiLine", True)
+        .option("multiLine", _multi_line(spark, path, multi_line))
         .option("mode", "FAILFAST")
         .csv(path)
     )
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Any table as text, with lower-case column names; types are decided by the caller."""
+def read_raw(spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool | None = None) -> DataFrame:
+    """Any table as text, with lower-case column names; types are decided by the caller.
+
+    ``multi_line`` is for CSV, as in ``read_csv``.
+    """
     if fmt == "csv":
-        df = spark.read.options(**_CSV).option("multiLine", True).csv(path)
+        several = _multi_line(spark, path, multi_line)
+        df = spark.read.options(**_CSV).option("multiLine", several).option("mode", "PERMISSIVE" if several else "FAILFAST").csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     return df.select([F.col(f"`{c}`").cast("string").alias(c.lower()) for c in df.columns])
@@ -128,7 +156,13 @@ def write_csv(df: DataFrame, path: str) -> str:
     for name, mark in zip([f.name for f in df.schema.fields if f.dataType == StringType()], marks, strict=True):
         refused = F.raise_error(F.lit(f"a value of {name} is the mark for NULL")).cast("string")
         df = df.withColumn(name, F.when(mark, refused).otherwise(F.col(f"`{name}`")))
-    df.write.mode("overwrite").options(**_CSV).option("quoteAll", True).csv(path)
+    ends = [F.col(f"`{f.name}`").rlike(_LINE_END) for f in df.schema.fields if f.dataType == StringType()]
+    seen = Observation("csv line ends")
+    broken = F.count_if(functools.reduce(Column.__or__, [F.coalesce(e, F.lit(False)) for e in ends], F.lit(False)))
+    df.observe(seen, broken.alias("broken")).write.mode("overwrite").options(**_CSV).option("quoteAll", True).csv(path)
+    if not seen.get.get("broken"):
+        file, files = _in_folder(df.sparkSession, path, _SINGLE_LINE)
+        files.create(file, True).close()
     return path
 
 
@@ -139,9 +173,56 @@ def save(df: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Add rows; a repeated call adds them again. ``append_batch`` does not."""
     df.write.mode("append").format(fmt).save(path)
 
 
+def save_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> DataFrame:
+    """Replace the table at ``path``, one folder for each value of ``by``, and return it as read back."""
+    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    return read_partitioned(df.sparkSession, path, df.schema)
+
+
+def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace those partitions of the table at ``path`` of which ``df`` has rows; the others stay.
+
+    ``df`` may not read from ``path``. A repeated call changes nothing more.
+    """
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def read_partitioned(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Table with partition folders; a filter on a partition column reads only the folders it needs."""
+    return spark.read.schema(_struct(schema)).parquet(path)
+
+
+def drop_partition(spark: SparkSession, path: str, folder: str) -> None:
+    """Remove the rows of one partition, named by its folder (``column=value``)."""
+    file, files = _in_folder(spark, path, folder)
+    files.delete(file, True)
+
+
+_BATCH_ID = re.compile(r"[A-Za-z0-9_.-]+")
+
+
+def append_batch(df: DataFrame, path: str, batch_id: str, column: str = "batch_id") -> None:
+    """Add the rows of a batch, or replace them if the batch is there already.
+
+    A batch has a folder of its own, so a retry after a failure, or a corrected batch with
+    fewer rows or none, never leaves rows of the first attempt behind or doubles any.
+    """
+    if not _BATCH_ID.fullmatch(batch_id):
+        raise ValueError("a batch id is made of letters, digits, '_', '.' and '-'")
+    df.drop(column).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{column}={batch_id}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: str | StructType, column: str = "batch_id") -> DataFrame:
+    """All batches of a table with the id of their batch, or no rows if there is none yet."""
+    full = StructType([f for f in _struct(schema).fields if f.name != column]).add(column, StringType())
+    file, files = _in_folder(spark, path, ".")
+    return spark.read.schema(full).parquet(path) if files.exists(file) else empty(spark, full)
+
+
 def publish_view(df: DataFrame, name: str) -> DataFrame:
     """Session-scoped name for a result that SQL should see."""
     df.createOrReplaceTempView(name)
