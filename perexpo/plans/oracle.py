@@ -556,6 +556,12 @@ FINAL: dict[str, str] = {
     "spearman_attr": _spearman("attr", "rate", "s_attr_set"),
     "spearman_lineitem": _spearman("l_quantity", "l_extendedprice", "lineitem"),
     "correlation_matrix": _correlations(("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"), "s_known_lines"),
+    "exact_quartiles": _UNION.join(
+        f"""SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS prob, round(quantile_cont({c}, {p}), 6) AS value, count({c}) AS n
+        FROM s_known_lines"""
+        for c in ("l_quantity", "l_extendedprice", "l_discount")
+        for p in (0.25, 0.5, 0.75)
+    ),
     "log_exposure": """SELECT site_id, round(log10(exposure), 6) AS log_exposure FROM s_totals WHERE exposure > 0""",
     "ols_exposure": _ols("log_exposure", "rate", "s_log", 6),
     "ols_attr": _ols("attr", "rate", "s_attr_set", 10),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perexpo.functions import bins, cleaning, daytime, geometry, names
-from perexpo.operators import incremental, matching, profiling, rates, statistics, table_profile, views, zones
+from perexpo.operators import incremental, matching, profiling, quantiles, rates, statistics, table_profile, views, zones
 from perexpo.operators.nearest import best_per_key, nearest
 from perexpo.plans import analysis, inputs
 from perexpo.sources import polygons, tables
@@ -1038,6 +1038,14 @@ def correlation_matrix(spark, d):
     return rounded(found, "pearson", "spearman")
 
 
+@register
+def exact_quartiles(spark, d):
+    """Quartiles of three columns, one of which is not always known, in the same reads."""
+    lines = inputs.table(spark, d, "lineitem").withColumn("l_discount", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_discount")))
+    found = quantiles.exact_quantiles(lines, ["l_quantity", "l_extendedprice", "l_discount"], [0.25, 0.5, 0.75])
+    return rounded(found, "value")
+
+
 @register
 def log_exposure(spark, d):
     totals = rates.exposure_totals(inputs.exposure(spark, d)).where(F.col("exposure") > 0)
