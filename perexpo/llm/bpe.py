@@ -36,16 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from perexpo.llm.common import stored, with_columns
+from perexpo.llm.common import batches_of, give_back, stored, with_columns
 
 Ranks = dict[bytes, int]
 #: A chunk ends after so many characters; a longer text ends one by itself.
-CHUNK_CHARS = 8 << 20
+CHUNK_CHARS = 4 << 20
 #: So many words at most are merged once for all chunks. This saves work only; any number gives the same ids.
 FREQUENT = 1 << 18
 #: Words of more bytes are merged with a heap.
 LONG = 32
 _BUCKETS = 1 << 14
+_ROWS = 1024
 
 
 def read_ranks(path: str) -> Ranks:
@@ -212,7 +213,7 @@ def _frequent(docs: DataFrame, pattern: str, text: str, most: int, chunk_chars:
             counts = pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], ["word", "n"])
             return counts.filter(pc.less_equal(pc.binary_length(words), LONG))
 
-        for batch in batches:
+        for batch in batches_of(batches, _ROWS):
             for value in batch[text]:
                 value = value.as_py() or ""
                 parts.append(split.numbers(value))
@@ -222,6 +223,7 @@ def _frequent(docs: DataFrame, pattern: str, text: str, most: int, chunk_chars:
                     size = 0
         if parts:
             yield row()
+        give_back()
 
     counted = docs.select(F.col(f"`{text}`")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     level = F.floor(F.log2("n") * 16).cast("int")
@@ -301,7 +303,7 @@ def encode(
                 ["rows", "places", "words", "long"],
             )
 
-        for batch in batches:
+        for batch in batches_of(batches, _ROWS):
             start = 0
             for at, value in enumerate(batch[text]):
                 value = value.as_py() or ""
@@ -315,6 +317,7 @@ def encode(
                 kept.append(batch.slice(start))
         if kept:
             yield chunk_row()
+        give_back()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,6 +351,7 @@ def encode(
                         array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))
                         yield with_columns(own, (), **{name: array})
                         at += own.num_rows
+        give_back()
 
     chunks = docs.mapInArrow(gather, chunk)
     folded = chunks.select("rows", "places", "long", F.transform("words", lambda word: merged(word, rank)).alias("ids"))

@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from perexpo.llm.common import batches_of, with_columns
+from perexpo.llm.common import batches_of, give_back, with_columns
 
 UNKNOWN = "und"
 TOP = 300
-#: More label values than this are no languages; profiles go to every executor.
-MAX_LANGUAGES = 5_000
 _BLOCK = 1 << 18
 
 
@@ -75,7 +73,8 @@ class Profiles:
     rank: np.ndarray
     top: int
 
-    def nearest(self, text: str | None) -> tuple[str, float]:
+    def nearest(self, text: str | None, known_only: bool = False) -> tuple[str, float]:
+        """Language and score; with ``known_only`` a text none of whose n-grams is in a profile has no language."""
         if not text or not self.languages:
             return UNKNOWN, 0.0
         grams, n = _counts(text)
@@ -85,6 +84,8 @@ class Profiles:
         at = np.searchsorted(self.grams, own)
         at[at == len(self.grams)] = 0
         ranks = np.where(self.grams[at] == own, self.rank[:, at], self.top)
+        if known_only and (ranks == self.top).all():
+            return UNKNOWN, 0.0
         away = np.where(ranks == self.top, self.top, np.abs(ranks - np.arange(len(own))))
         distance = away.sum(axis=1) / (self.top * len(own))
         best = int(distance.argmin())
@@ -99,7 +100,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", top: int = TOP
 
     Tasks count their own rows; what is shuffled is one row per task, language and gram, so
     a language that holds most rows is no heavier than another. The driver receives at most
-    ``top`` rows per language.
+    ``top`` rows per different label, and the profiles go to every task: labels are languages, whose
+    number does not grow with the corpus.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +119,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", top: int = TOP
                 for codes in _codes(value):
                     waiting.setdefault(lang, []).append(codes)
                     size[lang] = size.get(lang, 0) + len(codes)
-                    if size[lang] > 8 * _BLOCK:
+                    if size[lang] > 4 * _BLOCK:
                         settle(lang)
         for lang in list(waiting):
             settle(lang)
+        give_back()
         for lang, [(grams, n)] in found.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["label", "gram", "n"]
@@ -137,12 +140,9 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", top: int = TOP
         counted.withColumn("rank", F.row_number().over(ordered) - 1)
         .where(F.col("rank") < top)
         .select("label", "gram", "rank")
-        .limit(MAX_LANGUAGES * top + 1)
         .collect()
     )
     languages = sorted({r.label for r in rows})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} different labels")
     grams = np.array(sorted({r.gram for r in rows}), dtype=np.int64)
     rank = np.full((len(languages), len(grams)), top, dtype=np.int32)
     if rows:
@@ -153,20 +153,28 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", top: int = TOP
 
 
 def predict(
-    docs: DataFrame, profiles: Profiles, text: str = "text", name: str = "lang_pred", score: str = "score"
+    docs: DataFrame,
+    profiles: Profiles,
+    text: str = "text",
+    name: str = "lang_pred",
+    score: str = "score",
+    known_only: bool = False,
 ) -> DataFrame:
     """All columns of ``docs``, the predicted language and a score from 0 to 1.
 
+    Columns of ``docs`` with these two names are replaced. With ``known_only`` a text in a script that no profile holds is
+    ``und``; otherwise it is as far from all languages and goes to the first by name.
+
     The score is the share of the runner-up in the two smallest distances: 0.5 for a tie,
     near 1 for a clear winner.
     """
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1024):
-            found = [profiles.nearest(value) for value in batch[text].to_pylist()]
+            found = [profiles.nearest(value, known_only) for value in batch[text].to_pylist()]
             yield with_columns(
                 batch,
-                (),
+                (name, score),
                 **{
                     name: pa.array([f[0] for f in found], pa.string()),
                     score: pa.array([f[1] for f in found], pa.float64()),
@@ -174,4 +182,5 @@ def predict(
             )
 
     more = [StructField(name, StringType()), StructField(score, DoubleType())]
-    return docs.mapInArrow(decide, StructType([*docs.schema.fields, *more]))
+    fields = [f for f in docs.schema.fields if f.name not in (name, score)]
+    return docs.mapInArrow(decide, StructType([*fields, *more]))

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perexpo.llm.common import SPACE, batches_of, stored
+from perexpo.llm.common import batches_of, give_back, stored, with_columns
 from perexpo.llm.graph import components
 
 WORDS = 3
@@ -59,16 +59,23 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; fp is a signed BIGINT with the bits of the fingerprint."""
+def fingerprints(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, keep: str | None = None
+) -> DataFrame:
+    """(doc_id, fp) of every row; fp is a signed BIGINT with the bits of the fingerprint.
+
+    With ``keep`` also the column of this name, a BIGINT, as ``kept``.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 1024):
             found = np.array([fingerprint(t, words) for t in batch["text"].to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield with_columns(batch, ["text"], fp=pa.array(found.view(np.int64)))
+        give_back()
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(work, "doc_id bigint, fp bigint")
+    own = [F.col(f"`{keep}`").alias("kept")] if keep else []
+    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), *own, F.col(f"`{text}`").cast("binary").alias("text"))
+    return rows.mapInArrow(work, "doc_id bigint, kept bigint, fp bigint" if keep else "doc_id bigint, fp bigint")
 
 
 class BKTree:
@@ -185,10 +192,20 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, tree: int = TREE
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    radius: int = RADIUS,
+    tree: int = TREE,
+    words: int = WORDS,
+    keep: str | None = None,
 ) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id of its group."""
-    prints = stored(fingerprints(docs, text, doc_id), "fingerprints")
+    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id of its group.
+
+    With ``keep``, a BIGINT column that tells rows of one doc_id apart, also ``kept``, its value, and ``component``,
+    a number of the group that no other group has.
+    """
+    prints = stored(fingerprints(docs, text, doc_id, words, keep), "fingerprints")
     codes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "codes")
     found = components(links(codes, radius, tree))
     grouped = codes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -196,88 +213,6 @@ def near_duplicates(
     )
     named = stored(grouped, "groups")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
-
-
-# ---- near copies by the similarity of their shingles --------------------------------
-
-SIMILAR_WORDS = 5
-#: Texts are near copies if they share at least 4 of 5 of their different shingles.
-SIMILARITY = (4, 5)
-#: Bands of so many minima each: of pairs at the threshold 99.8 % agree in a band.
-MIN_BANDS, MIN_ROWS = 16, 5
-#: Every text is compared with so many of each of its bands.
-LEADERS = 3
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def plain_text(text: Column) -> Column:
-    """The words of a text in lower case (A-Z), one space apart; a null text is empty."""
-    lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.btrim(F.regexp_replace(lower, f"[{SPACE}]+", " "), F.lit(" "))
-
-
-def shingles(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
-    """XXH64 of the different word shingles of a plain text, in order."""
-    found = text.split(b" ")
-    width = min(words, len(found))
-    digest = functools.partial(xxhash.xxh64_intdigest, seed=_SEED)
-    hashes = {digest(b" ".join(found[i : i + width])) for i in range(len(found) - width + 1)}
-    return np.sort(np.fromiter(hashes, dtype=np.uint64, count=len(hashes)))
-
-
-def _bands(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """One number per band, of the minima of its functions over the shingles."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at : at + 4096, None] * factors).min(axis=0))
-    rows = least.reshape(MIN_BANDS, MIN_ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in rows], dtype=np.uint64).view(np.int64)
-
-
-def near_copies(texts: DataFrame, words: int = SIMILAR_WORDS, leaders: int = LEADERS) -> DataFrame:
-    """(key, component) of the different texts that have near copies; ``texts`` has (key, plain).
-
-    Equal texts have one key. Candidates agree in a band of minima of their shingles'
-    hashes, which 64 bits of a fingerprint could not tell at this similarity; the shingles of
-    those, and of no others, are then compared exactly. Each text of a band is compared with a
-    few members drawn for that band, so work grows with the members and not with their pairs;
-    what two members of a large band are not compared for directly, the others link.
-    """
-    factors = np.random.default_rng(_SEED).integers(0, 1 << 64, MIN_BANDS * MIN_ROWS, dtype=np.uint64) | np.uint64(1)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 512):
-            found = [shingles(t, words) for t in batch["plain"].to_pylist()]
-            bands = np.concatenate([_bands(h, factors) for h in found]) if found else np.array([], np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands), MIN_BANDS).cast(pa.list_(pa.int64()))
-            n = pa.array([len(h) for h in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["key"], n, lists], ["key", "n", "bands"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 128):
-            found = [shingles(t, words).view(np.int64) for t in batch["plain"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(found, pa.list_(pa.int64()))], ["key", "own"])
-
-    signed = texts.mapInArrow(sign, "key bigint, n bigint, bands array<bigint>").dropDuplicates(["key"])
-    signed = stored(signed, "bands").select("key", "n", F.posexplode("bands").alias("at", "band"))
-    drawn = [
-        F.min(F.struct(F.xxhash64("key", "band", F.lit(k)), F.col("key").alias("other"), F.col("n").alias("m")))
-        for k in range(leaders)
-    ]
-    led = signed.groupBy("at", "band").agg(F.count("*").alias("members"), *[d.alias(f"d{k}") for k, d in enumerate(drawn)])
-    led = led.where("members > 1").select("at", "band", F.array_distinct(F.array(*[f"d{k}" for k in range(leaders)])).alias("drawn"))
-    part, whole = SIMILARITY
-    met = signed.join(led, ["at", "band"]).select("key", "n", F.explode("drawn").alias("d"))
-    # Sets whose sizes differ more cannot be similar enough.
-    met = met.where((F.col("key") != F.col("d.other")) & (F.least("n", "d.m") * whole >= F.greatest("n", "d.m") * part))
-    pairs = stored(met.select(F.least("key", "d.other").alias("a"), F.greatest("key", "d.other").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    known = texts.join(asked, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(sets, "key bigint, own array<bigint>")
-    known = stored(known, "shingles")
-    both = pairs.join(known.select(F.col("key").alias("a"), F.col("own").alias("one")), "a")
-    both = both.join(known.select(F.col("key").alias("b"), F.col("own").alias("two")), "b")
-    common = F.size(F.array_intersect("one", "two"))
-    alike = common * whole >= (F.size("one") + F.size("two") - common) * part
-    return components(both.where(alike).select("a", "b")).select(F.col("node").alias("key"), "component")
+    more = ["kept", "component"] if keep else []
+    labels = named.join(smallest, "component").select("fp", "component_id", "component")
+    return prints.join(labels, "fp").select("doc_id", "fp", "component_id", *more)
