@@ -12,44 +12,50 @@ from perexpo.llm.queries import RANK_FILE
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told go. A missing label becomes the predicted one."""
-    found = language.predict(docs, language.fit(docs), name="_predicted", score="_score")
-    kept = found.where(F.col("_predicted") != language.UNKNOWN)
-    return kept.withColumn("lang", F.coalesce("lang", "_predicted")).select(*docs.columns)
+    """Documents in which no language can be told go. A missing label becomes the predicted one.
+
+    None can be told in a null text, one without letters, and one none of whose n-grams any profile
+    holds, as in a script that no labelled document is written in. Without labelled documents all go.
+    """
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    found = language.predict(row, language.fit(docs), known_only=True).where(F.col("lang_pred") != language.UNKNOWN)
+    values = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    values["lang"] = F.coalesce(values["lang"], "lang_pred")
+    return found.select(*[v.alias(c) for c, v in values.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, once.
 
-    Near-duplicates share 0.8 of their five-word shingles; the contract of op10 binds that query only.
-    Of several rows of the smallest id the one with the smallest checksum stays. Documents
-    without an id stay.
+    Groups are those of op10's contract: fingerprints of three-word shingles that at most three bits
+    set apart. Of several rows of the smallest id the one with the smallest checksum stays, and different
+    texts under one id are kept apart. Documents without an id stay; null and empty texts are one group.
     """
-    named = docs.where(F.col("doc_id").isNotNull()).withColumn("_plain", simhash.plain_text(F.col("text")))
-    named = named.withColumn("_key", F.xxhash64("_plain")).withColumn("_row", F.xxhash64(*docs.columns))
-    texts = named.select(F.col("_key").alias("key"), F.col("_plain").cast("binary").alias("plain"))
-    groups = simhash.near_copies(texts).withColumnRenamed("key", "_key")
-    rows = named.select("doc_id", "_key", "_row").join(groups, "_key", "left")
-    first = rows.groupBy(F.coalesce("component", "_key")).agg(F.min(F.struct("doc_id", "_row")).alias("kept"))
-    kept = first.select("kept.*")
-    single = named.join(kept, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
-    return single.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    nested = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.where(F.col("doc_id").isNotNull()).select(nested, "doc_id", "text", F.xxhash64(*docs.columns).alias("checksum"))
+    groups = simhash.near_duplicates(named, keep="checksum", words=simhash.WORDS, radius=simhash.RADIUS)
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", F.col("kept").alias("checksum"))).alias("first"))
+    kept = named.join(first.select("first.*"), ["doc_id", "checksum"], "left_semi").dropDuplicates(["doc_id", "checksum"])
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
-    found = secrets.scan(docs, base="_base", spans="_spans")
-    cleaned = found.withColumn("text", secrets.redact(F.col("text"), F.col("_spans")))
-    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Secrets are replaced by a mark and n_chars is counted anew; every document stays. A null text stays null."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    found = secrets.scan(row)
+    values = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    values["text"] = secrets.redact(F.col("text"), F.col("spans"))
+    cleaned = found.select(*[v.alias(c) for c, v in values.items()])
+    return cleaned.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it; what it does not take goes. An empty text counts nothing."""
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
+    """Token ids of every document, and whether they decode to its text; a null text has no ids."""
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
