@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from perexpo.llm.common import batches_of, matrix_of, runs, stored
 from perexpo.llm.vectors import smallest_ids, usable
@@ -149,7 +150,8 @@ def _assigned(vectors: DataFrame, forest: Forest, leaves: int | None) -> DataFra
             )
 
     known = vectors.where(F.size("vector") == forest.size).select("node", "vector")
-    assigned = known.mapInArrow(work, "node bigint, vector array<float>, leaves array<bigint>")
+    kind = known.schema["vector"].dataType.simpleString()
+    assigned = known.mapInArrow(work, f"node bigint, vector {kind}, leaves array<bigint>")
     return assigned.select("node", "vector", F.explode("leaves").alias("leaf"))
 
 
@@ -170,7 +172,10 @@ def search(
 
     ``is_query`` is a condition on the columns ``vec_id``. Nearest first by inner product, ties to the smaller id.
     """
-    rows = table.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    # Single precision stays what it is; any other number is taken in double precision.
+    single = isinstance(table.schema[vector].dataType.elementType, FloatType)
+    own = "array<float>" if single else "array<double>"
+    rows = table.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast(own).alias("vector"))
     rows = rows.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
     grouped = smallest_ids(rows, ["vector"], k + 1).withColumn("node", F.get("ids", F.lit(0)))
     asked = rows.where(is_query).groupBy("vector").agg(F.lit(True).alias("asked"))
@@ -242,7 +247,7 @@ def search(
 
 
 def _best(queries: np.ndarray, nodes: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
-    """The ``k`` best of each row of scores and all that tie with the last of them in order of node."""
+    """The ``k`` best of each row of scores; of those that tie the smaller nodes."""
     order = np.argsort(nodes, kind="stable")
     nodes, scores = nodes[order], scores[:, order]
     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]

@@ -101,3 +101,12 @@ def test_recall(spark):
         scores[q] = -np.inf
         hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -scores))[:20]]))
     assert hits / (20 * len(got)) >= 0.9
+
+
+def test_vectors_in_double_precision(spark):
+    """Inner products that single precision cannot tell apart, and sizes that it cannot hold."""
+    rows = [(0, [1.0, 0.0])] + [(i, [1 + 1e-9 * i, 0.0]) for i in range(1, 6)] + [(7, [1e300, 1.0]), (8, [1e-300, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = neighbours.search(table, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [7, 5, 4, 3, 2, 1, 8]
+    assert [r.score for r in found] == [1e300, *[1 + 1e-9 * i for i in (5, 4, 3, 2, 1)], 1e-300]
