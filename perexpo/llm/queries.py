@@ -188,6 +188,72 @@ def op13_merkle(spark, d):
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+#: crc32 of the digits of doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8],
+             lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END),
+           4294967295::BIGINT))"""
+
+#: Grams are numbers of up to three code points of 21 bits; what is no letter counts as a space.
+ORACLE_SQL["op8_language"] = f"""
+WITH docs AS (
+  SELECT *, row_number() OVER () AS r, COALESCE({_CRC} % 4 = 2, FALSE) AS held_out FROM documents
+), chars AS (
+  SELECT r, unnest(c) AS ch, generate_subscripts(c, 1) AS i
+  FROM (SELECT r, string_split(' ' || lower(text) || '  ', '') AS c FROM docs WHERE text IS NOT NULL)
+), points AS (
+  SELECT r, i, regexp_matches(ch, '\\p{{L}}') AS letter, CASE WHEN letter THEN unicode(ch) ELSE 32 END::BIGINT AS p FROM chars
+), runs AS (
+  SELECT r, letter, p, lead(letter) OVER w AS letter2, lead(p) OVER w AS p2, lead(p, 2) OVER w AS p3
+  FROM points WINDOW w AS (PARTITION BY r ORDER BY i)
+), grams AS (
+  SELECT r, g, count(*) AS n FROM (
+    SELECT r, p AS g FROM runs WHERE p3 IS NOT NULL AND letter
+    UNION ALL SELECT r, p * 2097152 + p2 FROM runs WHERE p3 IS NOT NULL AND (letter OR letter2)
+    UNION ALL SELECT r, (p * 2097152 + p2) * 2097152 + p3 FROM runs WHERE p3 IS NOT NULL AND letter2
+  ) GROUP BY r, g
+), profiles AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS rank
+  FROM grams JOIN docs USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY rank < 300
+), own AS (
+  SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, g) - 1 AS place FROM grams QUALIFY place < 300
+), away AS (
+  SELECT r, l.lang, sum(COALESCE(abs(p.rank - o.place), 300))::DOUBLE / (300 * count(*)) AS far
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.g = o.g
+  GROUP BY r, l.lang
+), ranked AS (
+  SELECT r, lang, far, row_number() OVER w AS k, COALESCE(lead(far) OVER w, 1e0) AS second
+  FROM away WINDOW w AS (PARTITION BY r ORDER BY far, lang)
+)
+SELECT doc_id, held_out, COALESCE(b.lang, 'und') AS lang_pred,
+       CASE WHEN b.lang IS NULL THEN 0e0 WHEN far + second > 0 THEN second / (far + second) ELSE 0.5e0 END AS score
+FROM docs LEFT JOIN (SELECT * FROM ranked WHERE k = 1) b USING (r)
+"""
+
+#: All pairs of one label, and what can be reached over their links.
+ORACLE_SQL["op6_embeddings"] = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a
+  JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT a AS node, b AS other FROM links
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other
+), lowest AS (
+  SELECT node, min(other) AS other FROM reach GROUP BY node
+), counts AS (
+  SELECT a AS node, count(DISTINCT b) AS n FROM links GROUP BY a
+)
+SELECT vec_id, COALESCE(n, 0)::BIGINT AS n_links, least(vec_id, COALESCE(other, vec_id)) AS component_id,
+       vec_id <= COALESCE(other, vec_id) AS kept
+FROM embeddings LEFT JOIN counts c ON c.node = vec_id LEFT JOIN lowest o ON o.node = vec_id
+"""
+
 #: Documents are taken by running sums over the hash line, which the operator finds without sorting.
 ORACLE_SQL["op7_mixing"] = """
 WITH sized AS (
@@ -227,17 +293,14 @@ LEFT JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
 """
 
 #: Both trees level by level; a leaf's proof by its place at every level, folded one step at a time.
-ORACLE_SQL["op13_merkle"] = """
+ORACLE_SQL["op13_merkle"] = f"""
 WITH RECURSIVE parts AS (
   SELECT *, COALESCE(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-')
          || COALESCE(strlen(source) || ':' || source, '-')
          || COALESCE(strlen(lang) || ':' || lang, '-')
          || COALESCE(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
          -- crc32 of the id's digits, bit by bit.
-         xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
-           lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8],
-             lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END),
-           4294967295::BIGINT)) % 5 = 0 AS tampered
+         {_CRC} % 5 = 0 AS tampered
   FROM documents
 ), hashed AS (
   SELECT doc_id, source, sha256(head || COALESCE(strlen(text) || ':' || text, '-')) AS leaf,
