@@ -40,7 +40,7 @@ from perexpo.llm.common import batches_of, give_back, stored, with_columns
 
 Ranks = dict[bytes, int]
 #: A chunk ends after so many characters; a longer text ends one by itself.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 #: So many words at most are merged once for all chunks. This saves work only; any number gives the same ids.
 FREQUENT = 1 << 18
 #: Words of more bytes are merged with a heap.
@@ -220,6 +220,7 @@ def _frequent(docs: DataFrame, pattern: str, text: str, most: int, chunk_chars:
                 size += len(value)
                 if size >= chunk_chars:
                     yield row()
+                    give_back(cycles=False)
                     size = 0
         if parts:
             yield row()
@@ -312,6 +313,7 @@ def encode(
                 if size >= chunk_chars:
                     kept.append(batch.slice(start, at + 1 - start))
                     yield chunk_row()
+                    give_back(cycles=False)
                     start, size = at + 1, 0
             if start < batch.num_rows:
                 kept.append(batch.slice(start))
@@ -351,6 +353,7 @@ def encode(
                         array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))
                         yield with_columns(own, (), **{name: array})
                         at += own.num_rows
+                give_back(cycles=False)
         give_back()
 
     chunks = docs.mapInArrow(gather, chunk)

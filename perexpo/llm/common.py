@@ -31,13 +31,14 @@ def id_crc(column: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def give_back() -> None:
-    """Return memory that a Python worker no longer needs to the machine.
+def give_back(cycles: bool = True) -> None:
+    """Return memory that a Python worker no longer needs to the machine, also of ``cycles`` of objects.
 
     Workers are used again by later tasks; without this, what one task held for a moment stays with
     the worker. Where the C library has no such call, nothing happens.
     """
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
