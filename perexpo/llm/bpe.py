@@ -42,7 +42,7 @@ Ranks = dict[bytes, int]
 #: A chunk ends after so many characters; a longer text ends one by itself.
 CHUNK_CHARS = 2 << 20
 #: So many words at most are merged once for all chunks. This saves work only; any number gives the same ids.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Words of more bytes are merged with a heap.
 LONG = 32
 _BUCKETS = 1 << 14
@@ -270,6 +270,8 @@ def encode(
     known_sizes = pc.fill_null(pc.list_value_length(before["ids"]), 0).to_numpy().astype(np.int64)
     known_ids = pc.list_flatten(before["ids"]).to_numpy().astype(np.int32)
     most = max(map(len, ranks), default=0)
+    del before
+    give_back()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _Splitter(pattern, known)
