@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perexpo.functions.cleaning import as_col
 
 EARTH_RADIUS_MILES = 3959.0
+#: Named values: columns, or one column with them as fields.
+Columns = dict[str, Column] | Column
 
 
 def scaled(c: Column | str, digits: int = 5) -> Column:
@@ -53,15 +55,8 @@ def bound_once(values: dict[str, Column], body: Callable[[Column], Column]) -> C
     return F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body)[0]
 
 
-def great_circle_bounds(box: dict[str, Column], lat: Column, lon: Column) -> Column:
-    """Great-circle miles from a point to what lies in a box of latitudes and longitudes.
-
-    A struct of ``least``, of any point of the box, ``some``, which some point on the sides keeps if
-    every side has a point, and ``most``, of any. Longitudes count around the globe, so boxes and
-    points may lie on both sides of the date line. At one latitude, distance grows with the
-    difference of longitudes; at one difference it is a cosine of the latitude, least where
-    the great circle meets the meridian at a right angle.
-    """
+def _sides(box: dict[str, Column], lat: Column, lon: Column) -> dict[str, Column]:
+    """The point and the box in radians, longitudes as turns from the point's meridian."""
 
     def turned(x: Column) -> Column:
         return F.pmod(x, F.lit(360.0))
@@ -70,7 +65,7 @@ def great_circle_bounds(box: dict[str, Column], lat: Column, lon: Column) -> Col
         return F.radians(F.abs(turned(x - lon + 180) - 180))
 
     width = box["lon_hi"] - box["lon_lo"]
-    sides = {
+    return {
         "own": F.radians(lat),
         "low": F.radians(box["lat_lo"]),
         "high": F.radians(box["lat_hi"]),
@@ -80,34 +75,91 @@ def great_circle_bounds(box: dict[str, Column], lat: Column, lon: Column) -> Col
         "opposite": turned(lon + 180 - box["lon_lo"]) <= width,
     }
 
-    def with_turns(v: Column) -> Column:
-        turns = {n: v[n] for n in ("own", "low", "high", "first", "last")}
-        turns["near"] = F.when(v["over"], F.lit(0.0)).otherwise(F.least(v["first"], v["last"]))
-        turns["far"] = F.when(v["opposite"], F.lit(math.pi)).otherwise(F.greatest(v["first"], v["last"]))
-        return bound_once(turns, measured)
 
-    def measured(v: Column) -> Column:
-        def chord(at: Column, turn: Column) -> Column:
-            rise, swing = F.sin((at - v["own"]) / 2), F.sin(turn / 2)
-            return rise * rise + F.cos(v["own"]) * F.cos(at) * swing * swing
+def _turns(v: Columns) -> dict[str, Column]:
+    return {
+        "near": F.when(v["over"], F.lit(0.0)).otherwise(F.least(v["first"], v["last"])),
+        "far": F.when(v["opposite"], F.lit(math.pi)).otherwise(F.greatest(v["first"], v["last"])),
+    }
+
+
+_TURNS = ("near", "far", "first", "last")
+
+
+def _feet(v: Columns) -> dict[str, Column]:
+    """Latitude of each meridian that is closest to the point, and what chords to it have in common."""
+    feet = {f"foot_{t}": F.atan2(F.sin(v["own"]), F.cos(v["own"]) * F.cos(v[t])) for t in _TURNS}
+    swings = {f"swing_{t}": F.cos(v["own"]) * F.sin(v[t] / 2) * F.sin(v[t] / 2) for t in _TURNS}
+    return feet | swings
+
+
+def _places(v: Columns) -> dict[str, Column]:
+    """Latitudes at which the distance of a meridian can be least or most."""
+
+    def held(at: Column) -> Column:
+        return F.greatest(v["low"], F.least(v["high"], at))
+
+    most = {f"{t}_{way}": held(v[f"foot_{t}"] + sign * math.pi) for t in _TURNS[1:] for way, sign in (("down", -1), ("up", 1))}
+    return most | {"near_foot": held(v["foot_near"])}
+
 
-        def held(at: Column) -> Column:
-            return F.greatest(v["low"], F.least(v["high"], at))
+def _measured(v: Columns) -> dict[str, Column]:
+    def chord(at: Column, turn: str) -> Column:
+        rise = F.sin((at - v["own"]) / 2)
+        return rise * rise + F.cos(at) * v[f"swing_{turn}"]
 
-        def foot(turn: Column) -> Column:
-            """Latitude of the meridian that is closest to the point."""
-            return F.atan2(F.sin(v["own"]), F.cos(v["own"]) * F.cos(turn))
+    def most(turn: str) -> Column:
+        return F.greatest(*[chord(v[at], turn) for at in ("low", "high", f"{turn}_down", f"{turn}_up")])
 
-        def most(turn: Column) -> Column:
-            opposite = [chord(held(foot(turn) + sign * math.pi), turn) for sign in (-1, 1)]
-            return F.greatest(chord(v["low"], turn), chord(v["high"], turn), *opposite)
+    least = F.least(*[chord(v[at], "near") for at in ("low", "high", "near_foot")])
+    some = F.least(chord(v["low"], "far"), chord(v["high"], "far"), most("first"), most("last"))
+    return {"least": _miles(least), "some": _miles(some), "most": _miles(most("far"))}
 
-        near, far = v["near"], v["far"]
-        least = F.least(chord(v["low"], near), chord(v["high"], near), chord(held(foot(near)), near))
-        some = F.least(chord(v["low"], far), chord(v["high"], far), most(v["first"]), most(v["last"]))
-        return F.struct(_miles(least).alias("least"), _miles(some).alias("some"), _miles(most(far)).alias("most"))
 
-    return bound_once(sides, with_turns)
+def rough_miles(box: dict[str, Column], lat: Column, lon: Column) -> Column:
+    """A cheap lower bound of the great-circle miles to a box: to its latitudes, and to its closest meridian."""
+    v = _sides(box, lat, lon)
+    turn, own = _turns(v)["near"], v["own"]
+    gap = F.greatest(v["low"] - own, own - v["high"], F.lit(0.0))
+    # Of half a great circle that is a quarter turn away, the pole is closest.
+    aside = F.when(turn < math.pi / 2, F.asin(F.cos(own) * F.sin(turn))).otherwise(math.pi / 2 - F.abs(own))
+    return F.lit(EARTH_RADIUS_MILES) * F.greatest(gap, aside)
+
+
+_STEPS = (_turns, _feet, _places, _measured)
+_ENDS = ("least", "some", "most")
+
+
+def great_circle_bounds(box: dict[str, Column], lat: Column, lon: Column) -> Column:
+    """Great-circle miles from a point to what lies in a box of latitudes and longitudes.
+
+    A struct of ``least``, of any point of the box, ``some``, which some point on the sides keeps if
+    every side has a point, and ``most``, of any. Longitudes count around the globe, so boxes and
+    points may lie on both sides of the date line. At one latitude, distance grows with the
+    difference of longitudes; at one difference it is a cosine of the latitude, least where
+    the great circle meets the meridian at a right angle.
+    """
+
+    def after(values: dict[str, Column], steps: Sequence[Callable[[Columns], dict[str, Column]]]) -> Column:
+        if not steps:
+            return F.struct(*[values[n].alias(n) for n in _ENDS])
+        return bound_once(values, lambda v: after({n: v[n] for n in values} | steps[0](v), steps[1:]))
+
+    return after(_sides(box, lat, lon), _STEPS)
+
+
+def with_great_circle_bounds(df: DataFrame, box: dict[str, Column], lat: Column, lon: Column) -> DataFrame:
+    """``df`` with ``least``, ``some`` and ``most`` of ``great_circle_bounds`` as columns.
+
+    Each step is a projection of its own, which Spark compiles; a lambda is interpreted.
+    """
+    given, values = df.columns, _sides(box, lat, lon)
+    known: dict[str, Column] = {}
+    for step in (*_STEPS, None):
+        df = df.withColumns({f"_gc_{n}": c for n, c in values.items()})
+        known |= {n: F.col(f"_gc_{n}") for n in values}
+        values = step(known) if step else {}
+    return df.select(*given, *[known[n].alias(n) for n in _ENDS])
 
 
 def ring_edges(rings: Column | str) -> Column:

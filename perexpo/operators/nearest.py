@@ -26,13 +26,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from perexpo.functions.geometry import bound_once, great_circle_bounds, haversine_miles, planar_d2
+from perexpo.functions.geometry import haversine_miles, planar_d2, rough_miles, with_great_circle_bounds
 from perexpo.sources.tables import materialize
 
 _BITS = 2
 _DEPTH = 15
 _SIDE = float(1 << (_BITS * _DEPTH))
 _MAX_ROOT = 64
+#: So many places at most go down the index in one task.
+_PART_PLACES = 1 << 13
 _BOX = ("lat_lo", "lat_hi", "lon_lo", "lon_hi")
 #: Miles by which bounds of great circles may be off: near the antipode the sine is flat.
 _SLACK = 1e-3
@@ -70,9 +72,13 @@ def _cell(level: int) -> Column:
     return F.shiftright("gx", shift) * F.lit(1 << (_BITS * _DEPTH + 1)) + F.shiftright("gy", shift)
 
 
-def _boxes(grid: DataFrame, level: int, *keys: Column) -> DataFrame:
-    """Non-empty cells of a level, each with the tight bounding box and the number of its sites."""
-    return grid.groupBy(*keys, _cell(level).alias("cell")).agg(
+def _gridded(df: DataFrame, lat: Column, lon: Column) -> DataFrame:
+    return df.withColumn("gx", _step((lon + 180) / 360)).withColumn("gy", _step((lat + 90) / 360))
+
+
+def _boxes(grid: DataFrame, *keys: Column | str) -> DataFrame:
+    """Non-empty cells, each with the tight bounding box and the number of its sites."""
+    return grid.groupBy(*keys).agg(
         F.min("site_lat").alias("lat_lo"),
         F.max("site_lat").alias("lat_hi"),
         F.min("site_lon").alias("lon_lo"),
@@ -81,41 +87,30 @@ def _boxes(grid: DataFrame, level: int, *keys: Column) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Bounds:
-    """Of the sites in a box: the least distance of any, one that some site keeps, one that all keep."""
-
-    lower: Column
-    some: Column
-    every: Column
-
-
-Box = dict[str, Column]
-Use = Callable[[Bounds], Column]
+_BOUNDS = ("lower", "some", "every")
 
 
-def _planar_bounds(box: Box, lat: Column, lon: Column, use: Use) -> Column:
+def _planar_bounds(cand: DataFrame, lat: Column, lon: Column) -> DataFrame:
     """A cell is no closer than its box. Every side of the box touches a site, so the nearer
     side plus the farther corner of it bounds the distance of some site from above."""
 
     def gap(lo: str, hi: str, v: Column) -> Column:
-        away = F.greatest(box[lo] - v, v - box[hi], F.lit(0.0))
+        away = F.greatest(F.col(lo) - v, v - F.col(hi), F.lit(0.0))
         return away * away
 
     def ends(lo: str, hi: str, v: Column) -> tuple[Column, Column]:
-        a, b = (v - box[lo]) * (v - box[lo]), (v - box[hi]) * (v - box[hi])
+        a, b = (v - F.col(lo)) * (v - F.col(lo)), (v - F.col(hi)) * (v - F.col(hi))
         return F.least(a, b), F.greatest(a, b)
 
     (y_near, y_far), (x_near, x_far) = ends("lat_lo", "lat_hi", lat), ends("lon_lo", "lon_hi", lon)
     lower = gap("lat_lo", "lat_hi", lat) + gap("lon_lo", "lon_hi", lon)
-    return use(Bounds(lower, F.least(y_near + x_far, y_far + x_near), y_far + x_far))
+    return cand.withColumns({"lower": lower, "some": F.least(y_near + x_far, y_far + x_near), "every": y_far + x_far})
 
 
-def _round_bounds(box: Box, lat: Column, lon: Column, use: Use) -> Column:
-    def given(b: Column) -> Column:
-        return use(Bounds(b["bounds"]["least"] - _SLACK, b["bounds"]["some"] + _SLACK, b["bounds"]["most"] + _SLACK))
-
-    return bound_once({"bounds": great_circle_bounds(box, lat, lon)}, given)
+def _round_bounds(cand: DataFrame, lat: Column, lon: Column) -> DataFrame:
+    found = with_great_circle_bounds(cand, {name: F.col(name) for name in _BOX}, lat, lon)
+    slack = ((F.col("least") - _SLACK), (F.col("some") + _SLACK), (F.col("most") + _SLACK))
+    return found.select(*cand.columns, *[c.alias(n) for n, c in zip(_BOUNDS, slack, strict=True)])
 
 
 def _round_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -124,10 +119,13 @@ def _round_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 @dataclass(frozen=True)
 class Metric:
-    """What sites are ranked by, and its bounds for the sites of a box."""
+    """What sites are ranked by, and its bounds for the sites of a box, as columns beside those of the box.
+
+    They are the least distance of any site (``lower``), one that some site keeps and one that every site keeps.
+    """
 
     distance: Callable[[Column, Column, Column, Column], Column]
-    bounds: Callable[[Box, Column, Column, Use], Column]
+    bounds: Callable[[DataFrame, Column, Column], DataFrame]
 
 
 #: Squared difference in degrees, and great-circle miles, in which distances that agree to six places tie.
@@ -144,68 +142,62 @@ class _Search:
     k: int
     max_miles: float | None
 
-    def judged(self, box: Box, lat: Column, lon: Column) -> Column:
-        """Of a box: whether it is in reach, its least distance, one that is kept, and how many sites keep that."""
-
-        def of(bounds: Bounds, near: Bounds | None) -> Column:
-            upper, sure = (bounds.some, F.lit(1).cast("bigint")) if self.k == 1 else (bounds.every, box["n_sites"])
-            reach = F.lit(True)
-            if near is not None:
-                # Only sites that are surely within reach may rule out others.
-                reach = near.lower <= self.max_miles
-                sure = F.when(near.every <= self.max_miles, sure).otherwise(F.lit(0).cast("bigint"))
-            return F.struct(reach.alias("reach"), bounds.lower.alias("lower"), upper.alias("upper"), sure.alias("sure"))
-
-        def use(bounds: Bounds) -> Column:
-            if self.max_miles is None:
-                return of(bounds, None)
+    def judged(self, cand: DataFrame, lat: Column, lon: Column) -> DataFrame:
+        """Of each box: whether it is in reach, its least distance, one that is kept, and how many sites keep that."""
+        given = [c for c in cand.columns if c not in (*_BOX, "n_sites")]
+        found = self.metric.bounds(cand, lat, lon)
+        upper, sure = (F.col("some"), F.lit(1).cast("bigint")) if self.k == 1 else (F.col("every"), F.col("n_sites"))
+        reach = F.lit(True)
+        if self.max_miles is not None:
+            # Only sites that are surely within reach may rule out others.
             if self.metric is HAVERSINE:
-                return of(bounds, bounds)
-            return _round_bounds(box, lat, lon, lambda near: of(bounds, near))
-
-        return self.metric.bounds(box, lat, lon, use)
-
-    def at_root(self, places: DataFrame, cells: DataFrame, lat: Column, lon: Column) -> DataFrame:
-        """``places`` with ``bound`` and ``cell``, a row for each cell of the first level that may hold a wanted site.
-
-        Cells that cannot win go before a place becomes several rows.
+                near = {n: F.col(n) for n in ("lower", "every")}
+            else:
+                found = found.withColumnsRenamed({n: f"_{n}" for n in _BOUNDS})
+                found = HAVERSINE.bounds(found, lat, lon).withColumnsRenamed({n: f"near_{n}" for n in _BOUNDS})
+                found = found.withColumnsRenamed({f"_{n}": n for n in _BOUNDS})
+                near = {n: F.col(f"near_{n}") for n in ("lower", "every")}
+            reach = near["lower"] <= self.max_miles
+            sure = F.when(near["every"] <= self.max_miles, sure).otherwise(F.lit(0).cast("bigint"))
+        return found.select(*given, reach.alias("reach"), "lower", upper.alias("upper"), sure.alias("sure"))
+
+    def seeded(self, start: DataFrame, grid: DataFrame, levels: Sequence[int], lat: Column, lon: Column) -> DataFrame:
+        """``start`` with ``bound``: what ``k`` sites of one of the cells that a place itself lies in surely keep.
+
+        So a place goes down with a bound as small as the sites around it are dense, instead of finding one on its way.
         """
 
-        def judged(c: Column) -> Column:
-            own = self.judged({name: c[name] for name in (*_BOX, "n_sites")}, lat, lon)
-            return F.struct(own.alias("own"), c["cell"].alias("cell"))
-
-        def count(state: Column, c: Column) -> Column:
-            taken = (state["n"] < self.k) & (c["own"]["sure"] > 0)
-            return F.struct(
-                (state["n"] + c["own"]["sure"]).alias("n"),
-                F.when(taken, c["own"]["upper"]).otherwise(state["bound"]).alias("bound"),
-            )
-
-        none = F.lit(float("inf"))
-        ranked = F.array_sort(F.transform("_judged", lambda c: F.struct(c["own"]["upper"].alias("upper"), c["own"].alias("own"))))
-        bound = F.aggregate(
-            ranked,
-            F.struct(F.lit(0).cast("bigint").alias("n"), none.alias("bound")),
-            count,
-            lambda s: F.when(s["n"] >= self.k, s["bound"]).otherwise(none),
-        )
-        kept = F.filter("_judged", lambda c: c["own"]["reach"] & (c["own"]["lower"] <= F.col("bound")))
+        def in_cells(df: DataFrame, *kept: str) -> DataFrame:
+            cells = F.array(*[F.struct(F.lit(level).alias("level"), _cell(level).alias("cell")) for level in levels])
+            return df.select(*kept, F.explode(cells).alias("_at")).select(*kept, "_at.*")
+
+        index = _boxes(in_cells(grid, "site_lat", "site_lon", "n_sites"), "level", "cell").where(F.col("n_sites") >= self.k)
+        own = in_cells(_gridded(start, lat, lon), *start.columns).join(index, ["level", "cell"], "left")
+        sure = F.when(F.col("reach") & (F.col("sure") >= self.k), F.col("upper"))
+        rest = [c for c in start.columns if c != "_place"]
         return (
-            places.withColumn("_cells", cells.scalar())
-            .withColumn("_judged", F.transform("_cells", judged))
-            .withColumn("bound", bound)
-            .select(*places.columns, "bound", F.explode(F.transform(kept, lambda c: c["cell"])).alias("cell"))
+            self.judged(own, lat, lon)
+            .groupBy("_place")
+            .agg(*[F.first(c).alias(c) for c in rest], F.coalesce(F.min(sure), F.lit(float("inf"))).alias("bound"))
+            .select(*start.columns, "bound")
         )
 
+    def roughly(self, cand: DataFrame, lat: Column, lon: Column) -> DataFrame:
+        """Without cells that a cheap bound rules out already."""
+        limits = [F.lit(self.max_miles)] if self.max_miles is not None else []
+        limits += [F.col("bound")] if self.metric is HAVERSINE else []
+        if not limits:
+            return cand
+        most = F.least(*limits) if len(limits) > 1 else limits[0]
+        return cand.where(rough_miles({name: F.col(name) for name in _BOX}, lat, lon) - _SLACK <= most)
+
     def narrow(self, cand: DataFrame, place: Sequence[str], lat: Column, lon: Column) -> DataFrame:
         """Keep the candidate cells of each place that may hold a wanted site.
 
         What the others have to beat is the smallest distance that ``k`` sites of all
         candidates of the place, of this and of earlier levels, surely keep.
         """
-        box = {name: F.col(name) for name in (*_BOX, "n_sites")}
-        cand = cand.withColumn("_own", self.judged(box, lat, lon)).select(*place, "bound", "cell", "_own.*").where("reach")
+        cand = self.judged(self.roughly(cand, lat, lon).select(*place, "bound", "cell", *_BOX, "n_sites"), lat, lon).where("reach")
         if self.k == 1 and self.max_miles is None:
             best = F.min("upper").over(Window.partitionBy("_place"))
         elif self.k == 1:
@@ -233,11 +225,7 @@ def _site_grid(sites: DataFrame, keep: Sequence[str], k: int, globe: bool) -> Da
         turn = F.row_number().over(Window.partitionBy("site_lat", "site_lon").orderBy("site_id"))
         first = single.withColumn("turn", turn).where(F.col("turn") <= k)
         places = first.groupBy("site_lat", "site_lon").agg(F.collect_list("site").alias("at"))
-    return (
-        places.withColumn("n_sites", F.size("at").cast("bigint"))
-        .withColumn("gx", _step((F.col("site_lon") + 180) / 360))
-        .withColumn("gy", _step((F.col("site_lat") + 90) / 360))
-    )
+    return _gridded(places.withColumn("n_sites", F.size("at").cast("bigint")), F.col("site_lat"), F.col("site_lon"))
 
 
 def nearest(
@@ -292,10 +280,15 @@ def nearest(
         "places",
     )
     place = ["_place", "lat", "lon"]
-    root = _boxes(grid, top).agg(F.collect_list(F.struct("cell", *_BOX, "n_sites")).alias("cells"))
-    cand = search.at_root(places.select(*place), root, lat, lon)
+    root = _boxes(grid, _cell(top).alias("cell")).agg(F.collect_list(F.struct("cell", *_BOX, "n_sites")).alias("cells"))
+    # A place becomes many rows, so few places are work for many tasks. They stay in their part while the index is broadcast.
+    settled = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(settled, -(-places.count() // _PART_PLACES))
+    start = search.seeded(places.select(*place).repartition(parts, "_place"), grid, range(top, depth + 1), lat, lon)
+    first = start.withColumn("_cells", root.scalar()).select(*start.columns, F.explode("_cells").alias("_cell"))
+    cand = search.narrow(first.select(*start.columns, "_cell.*"), place, lat, lon)
     for level in range(top + 1, depth + 1):
-        below = _boxes(grid, level, _cell(level - 1).alias("parent"))
+        below = _boxes(grid, _cell(level - 1).alias("parent"), _cell(level).alias("cell"))
         cand = search.narrow(cand.withColumnRenamed("cell", "parent").join(below, "parent"), place, lat, lon)
 
     leaf = grid.select(_cell(depth).alias("cell"), "at", "site_lat", "site_lon")

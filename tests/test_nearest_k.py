@@ -151,3 +151,13 @@ def test_bounds_hold_for_every_point_of_a_box(spark):
         assert min(r.wa0, r.wa1, r.wb0, r.wb1) <= r.some + 1e-4
         # The bounds are tight: the net comes near them.
         assert r.lo - r.least < 200 and r.most - r.hi < 200
+
+
+@pytest.mark.parametrize("k, max_miles", [(1, None), (3, 1000.0)])
+def test_great_circles_are_bounded_by_compiled_code_in_many_tasks(spark, tmp_path, k, max_miles):
+    """A lambda for every cell of a place is interpreted, and few places in one file were work for one task."""
+    p = spark.createDataFrame(globe(random.Random(5), 40), "pid int, lat double, lon double")
+    s = spark.createDataFrame([(i, f"s{i}", y, x) for i, y, x in globe(random.Random(6), 60)], "site_id bigint, site_name string, lat double, lon double")
+    plan = nearest(p, s, k=k, max_miles=max_miles, metric="haversine")._jdf.queryExecution().optimizedPlan().toString()
+    assert "atan2" in plan.lower() and "lambda" not in plan.lower()
+    assert "RepartitionByExpression [_place" in plan
