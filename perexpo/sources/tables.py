@@ -178,8 +178,11 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def save_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> DataFrame:
-    """Replace the table at ``path``, one folder for each value of ``by``, and return it as read back."""
-    df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Replace the table at ``path``, one folder for each value of ``by``, and return it as read back.
+
+    Rows of a value meet in few files, but a value with many rows is dealt to as many tasks as its size asks for.
+    """
+    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
     return read_partitioned(df.sparkSession, path, df.schema)
 
 
@@ -188,7 +191,7 @@ def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
     ``df`` may not read from ``path``. A repeated call changes nothing more.
     """
-    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def read_partitioned(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

@@ -161,3 +161,23 @@ def test_dependencies_are_checked_in_one_read(spark):
     lines = inputs.table(spark, f"{TESTDATA}/sf0.001", "lineitem")
     one = profiling.fd_violations(lines, "l_orderkey", ["l_suppkey", "l_returnflag"])
     assert plan(one).count("FileScan") == 1
+
+
+def test_a_value_with_many_rows_is_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "skewed")
+    rows = spark.range(0, 400_000, 1, 8).select("id", F.when(F.col("id") < 10, "rare").otherwise("often").alias("k"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "256KB")
+    try:
+        tables.save_partitioned(rows, path, ["k"])
+        assert len(list((tmp_path / "skewed" / "k=often").glob("*.parquet"))) > 1
+        tables.replace_partitions(rows.where("k = 'often'"), path, ["k"])
+    finally:
+        spark.conf.set(size, before)
+    assert len(list((tmp_path / "skewed" / "k=often").glob("*.parquet"))) > 1
+    found = tables.read_partitioned(spark, path, rows.schema)
+    assert {r.k: (r["n"], r["ids"]) for r in found.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("ids")).collect()} == {
+        "rare": (10, 45),
+        "often": (399_990, sum(range(10, 400_000))),
+    }
