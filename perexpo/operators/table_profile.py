@@ -13,6 +13,7 @@ arrays, maps and structs have rows and missing values only.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,17 +47,21 @@ def _kind(kind: DataType) -> str:
     return OTHER
 
 
-def _measures(name: str, kind: DataType, exact: bool, bits: int) -> Column:
-    """All numbers of one column as one struct of aggregates."""
+def _value(name: str, kind: DataType) -> Column:
+    """What is measured of a column: its values in the type of their bounds."""
     c, shape = F.col(f"`{name}`"), _kind(kind)
     if shape == WHOLE:
-        value = c.cast("int").cast("bigint") if isinstance(kind, BooleanType) else c.cast("bigint")
-    elif shape == NUMBER:
-        value = c.cast("double")
-    elif isinstance(kind, (TimestampType, TimestampNTZType)):
-        value = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    else:
-        value = c.cast("string")
+        return c.cast("int").cast("bigint") if isinstance(kind, BooleanType) else c.cast("bigint")
+    if shape == NUMBER:
+        return c.cast("double")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return c.cast("string") if shape == TEXT else c
+
+
+def _measures(name: str, kind: DataType, at: int, bits: int) -> Column:
+    """All numbers of one column as one struct of aggregates, from its value and stored type ``at`` its place."""
+    shape, value, stored = _kind(kind), F.col(f"v{at}"), F.col(f"t{at}")
 
     def bound(pick, own: str, as_type: str) -> Column:
         return pick(value) if shape == own else F.lit(None).cast(as_type)
@@ -66,21 +71,34 @@ def _measures(name: str, kind: DataType, exact: bool, bits: int) -> Column:
         F.lit(name).alias("column_name"),
         F.lit(kind.simpleString()).alias("column_type"),
         F.count("*").alias("row_count"),
-        F.count_if(c.isNull()).alias("nulls"),
+        F.count_if(F.col(f"n{at}")).alias("nulls"),
         *[
             bound(pick, own, as_type).alias(f"{end}_{own}")
             for own, as_type in ((WHOLE, "bigint"), (NUMBER, "double"), (TEXT, "string"))
             for end, pick in (("min", F.min), ("max", F.max))
         ],
         *[
-            (F.count_if(stored_type(name) == t) if isinstance(kind, StringType) else F.lit(None).cast("bigint")).alias(f"{t}_values")
+            (F.count_if(stored == t) if isinstance(kind, StringType) else F.lit(None).cast("bigint")).alias(f"{t}_values")
             for t in _TYPES
         ],
         (F.hll_sketch_agg(value if shape != NUMBER else value.cast("string"), bits) if sketched else F.lit(None).cast("binary")).alias("sketch"),
-        (F.count_distinct(c) if exact else F.lit(None).cast("bigint")).alias("exact_distinct"),
     )
 
 
+def _counted_out(df: DataFrame, exact: Sequence[str], batch: Sequence[str]) -> DataFrame:
+    """(batch, column_name, exact_distinct) of some columns, each by an aggregate of its own.
+
+    Together they would make a row for every value of every column of a row, and sort them.
+    """
+    found = []
+    for name in exact:
+        values = df.select(*batch, F.col(f"`{name}`").alias("_v")).groupBy(*batch, "_v").agg(F.lit(1).alias("_one"))
+        counted = F.count("_v").alias("_distinct")
+        one = values.groupBy(*batch).agg(counted) if batch else values.agg(counted)
+        found.append(one.select(*batch, F.lit(name).alias("_name"), "_distinct"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def profile_table(
     df: DataFrame,
     cols: Sequence[str] | None = None,
@@ -90,18 +108,36 @@ def profile_table(
 ) -> DataFrame:
     """One row per column, from one aggregate over ``df``; with ``batch`` one per batch and column.
 
-    ``exact`` names columns whose distinct values are counted out too, which sends every such
-    value through the shuffle. An empty table has rows of zeros, or none with ``batch``.
+    ``exact`` names columns whose distinct values are counted out too, each by a read of that column and
+    a shuffle of its different values. An empty table has rows of zeros, or none with ``batch``.
     """
     cols = [c for c in df.columns if c not in batch] if cols is None else cols
     unknown = set(exact) - set(cols)
     if unknown:
         raise ValueError(f"not among the columns: {sorted(unknown)}")
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    one = [_measures(c, kinds[c], c in exact, bits).alias(f"p{i}") for i, c in enumerate(cols)]
-    wide = df.groupBy(*batch).agg(*one) if batch else df.agg(*one)
+    # Worked out once a row, although several aggregates take them.
+    values = [
+        c
+        for i, name in enumerate(cols)
+        for c in (
+            _value(name, kinds[name]).alias(f"v{i}"),
+            F.col(f"`{name}`").isNull().alias(f"n{i}"),
+            *([stored_type(name).alias(f"t{i}")] if isinstance(kinds[name], StringType) else []),
+        )
+    ]
+    keys = [f"_batch_{i}" for i in range(len(batch))]
+    ready = df.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(batch, keys, strict=True)], *values)
+    one = [_measures(name, kinds[name], i, bits).alias(f"p{i}") for i, name in enumerate(cols)]
+    wide = ready.groupBy(*keys).agg(*one) if batch else ready.agg(*one)
     rows = F.explode(F.array(*[f"p{i}" for i in range(len(cols))])).alias("p")
-    return wide.select(*batch, rows).select(*batch, "p.*")
+    found = wide.select(*[F.col(k).alias(b) for b, k in zip(batch, keys, strict=True)], rows).select(*batch, "p.*")
+    if not exact:
+        return found.withColumn("exact_distinct", F.lit(None).cast("bigint"))
+    counted = _counted_out(df, list(dict.fromkeys(exact)), batch).withColumnsRenamed({b: k for b, k in zip(batch, keys, strict=True)})
+    same = [F.col("column_name") == F.col("_name"), *[F.col(f"`{b}`").eqNullSafe(F.col(k)) for b, k in zip(batch, keys, strict=True)]]
+    joined = found.join(counted, functools.reduce(Column.__and__, same), "left")
+    return joined.select(*found.columns, F.col("_distinct").alias("exact_distinct"))
 
 
 def merge_profiles(profiles: DataFrame) -> DataFrame:

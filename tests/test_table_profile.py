@@ -95,3 +95,13 @@ def test_ranks_of_all_columns_take_one_range_exchange(spark):
     found = plan(statistics.correlation_matrix(df, df.columns))
     # Ranges are written before; what is left is the join of ranks, its aggregates and the one-row subqueries.
     assert found.count("SortMergeJoin") + found.count("BroadcastHashJoin") <= 4
+
+
+def test_exact_counts_do_not_multiply_the_rows(spark):
+    """Different values of several columns in one aggregate make a row for each of them, and sort all."""
+    df = spark.createDataFrame([(1, "a", 0), (1, None, 0), (2, "b", 1), (2, "b", None)], "i int, t string, batch int")
+    found = table_profile.profile_table(df, exact=["i", "t"])
+    assert "Expand" not in plan(found)
+    assert {r.column_name: r.exact_distinct for r in found.collect()} == {"i": 2, "t": 2, "batch": None}
+    parts = table_profile.profile_table(df, exact=["t"], batch=["batch"]).where("column_name = 't'").collect()
+    assert {(r.batch, r.row_count, r.exact_distinct) for r in parts} == {(0, 2, 1), (1, 1, 1), (None, 1, 1)}
