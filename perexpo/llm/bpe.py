@@ -1,19 +1,12 @@
 """Byte-level BPE encoding and decoding.
 
-Text is split into words by the tokenizer's pattern. The most frequent words are merged
-once, all others chunk by chunk. Documents are worked through in chunks: the different words of a chunk become one array of byte strings, and a fold of
-Spark higher-order functions merges each of them. Its state is the word's list of pieces,
-at first its bytes; every step looks up the rank of each pair of neighbouring pieces in a
-literal rank map and joins the first pair of the lowest rank, until no pair has a rank; the
-steps left over then cost nothing. As a step looks at the whole word, the fold's work grows with the
-square of its length, so words of more than ``LONG`` bytes (unspaced scripts, lines of dashes, encoded
-data) are merged in the task with a heap, which gives the same ids. The
-ids then go back to the places of the words in the chunk's documents. Texts are not
+Text is split into words by the tokenizer's pattern, and each word starts as its bytes: the pair of
+neighbouring pieces of the lowest rank is joined, the first one if there are several, until no pair has a
+rank. Pairs wait in a heap, so a word of any length takes little more than time in proportion to it.
+A word that is a piece itself is that piece, as in the library. Documents are worked through batch by
+batch where they are, each different word of a task once while a bounded cache holds it. Texts are not
 shuffled, so documents, however skewed, never meet, and a lost task is simply run again.
 
-The literal holds the ranks in buckets by the CRC-32 of the piece, because a lookup in one
-large literal map would scan all of it. It is as large as the vocabulary, whatever the data.
-
 Defined cases: a null text is an empty one and has no ids. Repeated rows are encoded each.
 Special tokens are ordinary text. An id that the
 vocabulary does not hold is an error on decoding.
@@ -23,29 +16,22 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from perexpo.llm.common import batches_of, give_back, stored, with_columns
+from perexpo.llm.common import batches_of, give_back, with_columns
 
 Ranks = dict[bytes, int]
-#: A chunk ends after so many characters; a longer text ends one by itself.
+#: A batch of documents ends after so many characters; a longer text ends one by itself.
 CHUNK_CHARS = 2 << 20
-#: So many words at most are merged once for all chunks. This saves work only; any number gives the same ids.
-FREQUENT = 1 << 17
-#: Words of more bytes are merged with a heap.
-LONG = 32
-_BUCKETS = 1 << 14
+#: So many different words, and as many stretches between spaces, at most are held with their ids.
+KEPT = 1 << 17
 _ROWS = 1024
 
 
@@ -55,63 +41,14 @@ def read_ranks(path: str) -> Ranks:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def rank_map(ranks: Ranks) -> Column:
-    """The ranks as a literal: an array of buckets, each with its pieces and their ranks."""
-    buckets = [{"pieces": [], "ranks": []} for _ in range(_BUCKETS)]
-    for piece, rank in ranks.items():
-        bucket = buckets[zlib.crc32(piece) % _BUCKETS]
-        bucket["pieces"].append(base64.b64encode(piece).decode())
-        bucket["ranks"].append(rank)
-    # A constant expression, which the optimizer replaces by its value.
-    return F.from_json(F.lit(json.dumps(buckets)), "array<struct<pieces:array<binary>,ranks:array<int>>>")
-
-
-def merged(word: Column, rank: Column) -> Column:
-    """The ids of one word, given as bytes; ``rank`` is the literal of ``rank_map``."""
-
-    def rank_of(piece: Column) -> Column:
-        bucket = F.get(rank, (F.crc32(piece) % _BUCKETS).cast("int"))
-        return F.get(bucket["ranks"], (F.array_position(bucket["pieces"], piece) - 1).cast("int"))
-
-    def named(value: Column, use) -> Column:
-        """A value that is used several times and worked out once."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
-    length = F.octet_length(word)
-    no_piece = F.lit(b"")
-    single = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(word, i, F.lit(1)))
-
-    def step(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-
-        def state_of(pieces: Column, done: Column) -> Column:
-            return F.struct(pieces.alias("pieces"), done.alias("done"))
-
-        def join_at(i: Column) -> Column:
-            joined = F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))
-            both = F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(joined), F.slice(pieces, i + 2, length))
-            return F.when(i < 1, state_of(pieces, F.lit(True))).otherwise(state_of(both, F.lit(False)))
-
-        def join_best(pair_ranks: Column) -> Column:
-            best = F.array_position(pair_ranks, F.array_min(pair_ranks))
-            return named(F.coalesce(best, F.lit(0)).cast("int"), join_at)
-
-        def pair_rank(piece: Column, i: Column) -> Column:
-            after = F.get(pieces, i + 1)
-            return F.when(after.isNotNull(), rank_of(F.concat(piece, F.coalesce(after, no_piece))))
-
-        finished = state["done"] | (F.size(pieces) < 2)
-        return F.when(finished, state).otherwise(named(F.transform(pieces, pair_rank), join_best))
-
-    start = F.struct(single.alias("pieces"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), length), start, step, lambda state: F.transform(state["pieces"], rank_of))
-
-
-def merged_long(word: bytes, ranks: Ranks, most: int) -> list[int]:
-    """The ids of one word, as the fold gives them; no piece has more than ``most`` bytes.
+def merged(word: bytes, ranks: Ranks, most: int) -> list[int]:
+    """The ids of one word; no piece has more than ``most`` bytes.
 
     Pairs wait in a heap by rank and place. One whose pieces have been joined to others since is passed over.
     """
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
     n = len(word)
     end = list(range(1, n + 1))  # of the piece that starts at a place; 0 if none does
     before = list(range(-1, n))  # where the piece before it starts
@@ -144,48 +81,57 @@ def merged_long(word: bytes, ranks: Ranks, most: int) -> list[int]:
     return ids
 
 
-class _Splitter:
-    """Numbers of the words of texts: first those of the words known before, then new ones.
+class _Encoder:
+    """Ids of texts as little-endian 32-bit integers.
 
     A place before a space that is followed by something else than white space always
     starts a word, so what lies between two such places is split on its own, and each
     different stretch only once. Texts with other white space after a space are split whole.
     """
 
-    def __init__(self, pattern: str, known: dict[str, int]):
+    def __init__(self, pattern: str, ranks: Ranks, most_kept: int = KEPT):
         self.find = regex.compile(pattern).findall
         self.wide = regex.compile(r" \s| $").search
-        self.known = known
-        self.start()
-
-    def start(self) -> None:
-        self.words: dict[str, int] = {}
+        self.ranks, self.most = ranks, max(map(len, ranks), default=0)
+        self.most_kept = most_kept
+        self.words: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
 
-    def _numbers(self, words: list[str]) -> bytes:
-        out = []
-        for word in words:
-            number = self.known.get(word)
-            out.append(self.words.setdefault(word, len(self.known) + len(self.words)) if number is None else number)
-        return struct.pack(f"<{len(out)}i", *out)
+    def _word(self, word: str) -> bytes:
+        ids = merged(word.encode("utf-8", "surrogatepass"), self.ranks, self.most)
+        found = struct.pack(f"<{len(ids)}i", *ids)
+        if len(word) <= _LONG:
+            if len(self.words) >= self.most_kept:
+                self.words.clear()
+            self.words[word] = found
+        return found
+
+    def _ids(self, words: list[str]) -> bytes:
+        known = self.words
+        return b"".join([known.get(word) or self._word(word) for word in words])
 
     def _stretch(self, piece: str) -> bytes:
         """A space and what follows it up to the next."""
         letters = piece[:-1] if piece[-1:] in _MARKS else piece
         if letters.isalpha() and max(letters) < _BEYOND_LATIN:
-            return self._numbers([" " + letters, *piece[len(letters) :]])
-        return self._numbers(self.find(" " + piece))
+            return self._ids([" " + letters, *piece[len(letters) :]])
+        return self._ids(self.find(" " + piece))
 
-    def numbers(self, text: str) -> bytes:
-        """32-bit little-endian numbers of the words of a text."""
+    def encode(self, text: str) -> bytes:
         if self.wide(text):
-            return self._numbers(self.find(text))
+            return self._ids(self.find(text))
         first, *rest = text.split(" ")
-        known = self.stretches
+        known, parts = self.stretches, [self._ids(self.find(first))]
         for piece in rest:
-            if piece not in known:
-                known[piece] = self._stretch(piece)
-        return self._numbers(self.find(first)) + b"".join(map(known.__getitem__, rest))
+            found = known.get(piece)
+            if found is None:
+                found = self._stretch(piece)
+                if len(piece) <= _LONG:
+                    if len(known) >= self.most_kept:
+                        known.clear()
+                    known[piece] = found
+            parts.append(found)
+        return b"".join(parts)
 
 
 #: A single one of these after letters and before a space is a word of its own.
@@ -194,49 +140,8 @@ _MARKS = tuple(".,;:!?")
 _BEYOND_LATIN = chr(0x250)
 
 
-def _frequent(docs: DataFrame, pattern: str, text: str, most: int, chunk_chars: int) -> DataFrame:
-    """The at most ``most`` most frequent words of at most ``LONG`` bytes: those above a level of frequency.
-
-    Levels are sixteenths of a power of two, so the driver reads a few hundred numbers.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _Splitter(pattern, {})
-        parts: list[bytes] = []
-        size = 0
-
-        def row() -> pa.RecordBatch:
-            n = np.bincount(np.frombuffer(b"".join(parts), dtype="<i4"), minlength=len(split.words))
-            words = pa.array([w.encode("utf-8", "surrogatepass") for w in split.words], pa.binary())
-            split.start()
-            parts.clear()
-            counts = pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64))], ["word", "n"])
-            return counts.filter(pc.less_equal(pc.binary_length(words), LONG))
-
-        for batch in batches_of(batches, _ROWS):
-            for value in batch[text]:
-                value = value.as_py() or ""
-                parts.append(split.numbers(value))
-                size += len(value)
-                if size >= chunk_chars:
-                    yield row()
-                    give_back(cycles=False)
-                    size = 0
-        if parts:
-            yield row()
-        give_back()
-
-    counted = docs.select(F.col(f"`{text}`")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    level = F.floor(F.log2("n") * 16).cast("int")
-    counted = stored(counted.where("n > 1").withColumn("level", level), "words")
-    sizes = sorted((r["level"], r["count"]) for r in counted.groupBy("level").count().collect())
-    least, total = None, 0
-    for found, n in reversed(sizes):
-        total += n
-        if total > most:
-            break
-        least = found
-    return counted.where(F.col("level") >= F.lit(least)).select("word")
+#: Longer words and stretches are not held.
+_LONG = 64
 
 
 def encode(
@@ -246,121 +151,32 @@ def encode(
     text: str = "text",
     name: str = "ids",
     chunk_chars: int = CHUNK_CHARS,
-    frequent: int = FREQUENT,
+    kept: int = KEPT,
 ) -> DataFrame:
-    """All columns of ``docs`` and the token ids of the text, as an array of integers.
+    """All columns of ``docs`` and the token ids of the text, as an array of integers."""
 
-    The most frequent words of all texts, at most ``frequent``, are merged once beforehand and
-    go to every task with their ids.
-    """
-    fields = docs.schema.fields
-    chunk = StructType(
-        [
-            StructField("rows", BinaryType()),
-            StructField("places", BinaryType()),
-            StructField("words", ArrayType(BinaryType())),
-            StructField("long", BinaryType()),
-        ]
-    )
-    rank = rank_map(ranks)
-    # At most ``frequent`` words with their ids; dealt out again, as the merging is the work here.
-    words = _frequent(docs, pattern, text, frequent, chunk_chars).repartition(F.xxhash64("word"))
-    before = words.select("word", merged(F.col("word"), rank).alias("ids")).toArrow().combine_chunks()
-    known = {word.decode("utf-8", "surrogatepass"): k for k, word in enumerate(before["word"].to_pylist())}
-    known_sizes = pc.fill_null(pc.list_value_length(before["ids"]), 0).to_numpy().astype(np.int64)
-    known_ids = pc.list_flatten(before["ids"]).to_numpy().astype(np.int32)
-    most = max(map(len, ranks), default=0)
-    del before
-    give_back()
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _Splitter(pattern, known)
-        kept: list[pa.RecordBatch] = []
-        places: list[bytes] = []
-        size = 0
-
-        def chunk_row() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
-                for part in kept:
-                    out.write_batch(part)
-            lengths = np.array([len(places), *[len(p) // 4 for p in places]], dtype="<i4").tobytes()
-            words = [w.encode("utf-8", "surrogatepass") for w in split.words]
-            # Long words are merged here; the fold gets a single byte in their place.
-            at = [k for k, w in enumerate(words) if len(w) > LONG]
-            ids = [np.array(merged_long(words[k], ranks, most), dtype="<i4") for k in at]
-            for k in at:
-                words[k] = b" "
-            long = np.concatenate([np.array([len(at), *at, *map(len, ids)], dtype="<i4"), *ids]).tobytes()
-            row = [sink.getvalue().to_pybytes()], [lengths + b"".join(places)], [words], [long]
-            kept.clear()
-            places.clear()
-            split.start()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row[0], pa.binary()),
-                    pa.array(row[1], pa.binary()),
-                    pa.array(row[2], pa.list_(pa.binary())),
-                    pa.array(row[3], pa.binary()),
-                ],
-                ["rows", "places", "words", "long"],
-            )
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _Encoder(pattern, ranks, kept)
+
+        def with_ids(part: pa.RecordBatch, found: list[bytes]) -> pa.RecordBatch:
+            offsets = np.cumsum([0, *[len(f) // 4 for f in found]]).astype(np.int32)
+            ids = pa.array(np.frombuffer(b"".join(found), dtype="<i4"), pa.int32())
+            return with_columns(part, (), **{name: pa.ListArray.from_arrays(pa.array(offsets), ids)})
 
         for batch in batches_of(batches, _ROWS):
-            start = 0
+            found: list[bytes] = []
+            start = size = 0
             for at, value in enumerate(batch[text]):
                 value = value.as_py() or ""
-                places.append(split.numbers(value))
+                found.append(encoder.encode(value))
                 size += len(value)
-                if size >= chunk_chars:
-                    kept.append(batch.slice(start, at + 1 - start))
-                    yield chunk_row()
-                    give_back(cycles=False)
-                    start, size = at + 1, 0
-            if start < batch.num_rows:
-                kept.append(batch.slice(start))
-        if kept:
-            yield chunk_row()
-        give_back()
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, where, ids, long in zip(*[batch[k] for k in ("rows", "places", "ids", "long")], strict=True):
-                where = np.frombuffer(where.as_buffer(), dtype="<i4")
-                count = int(where[0])
-                lengths, places = where[1 : count + 1], where[count + 1 :]
-                values = ids.values
-                flat = np.concatenate([known_ids, values.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-                per_word = np.concatenate([known_sizes, np.diff(values.offsets.to_numpy()).astype(np.int64)])
-                first = np.cumsum(per_word) - per_word
-                long = np.frombuffer(long.as_buffer(), dtype="<i4")
-                m = int(long[0])
-                if m:
-                    at, sizes = long[1 : m + 1] + len(known_sizes), long[m + 1 : 2 * m + 1].astype(np.int64)
-                    first[at], per_word[at] = len(flat) + np.cumsum(sizes) - sizes, sizes
-                    flat = np.concatenate([flat, long[2 * m + 1 :]])
-                ends = np.cumsum(lengths, dtype=np.int64)
-                at = 0
-                for part in pa.ipc.open_stream(rows.as_buffer()):
-                    for start in range(0, part.num_rows, 512):
-                        own = part.slice(start, 512)
-                        begin = ends[at - 1] if at else 0
-                        here = places[begin : ends[at + own.num_rows - 1]]
-                        n = per_word[here]
-                        total = np.cumsum(n)
-                        moved = np.arange(total[-1] if len(total) else 0) - np.repeat(total - n, n)
-                        tokens = flat[np.repeat(first[here], n) + moved]
-                        upto = np.concatenate([[0], total])[ends[at : at + own.num_rows] - begin]
-                        offsets = np.concatenate([[0], upto]).astype(np.int32)
-                        array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))
-                        yield with_columns(own, (), **{name: array})
-                        at += own.num_rows
-                give_back(cycles=False)
+                if size >= chunk_chars or at + 1 == batch.num_rows:
+                    yield with_ids(batch.slice(start, at + 1 - start), found)
+                    found, start, size = [], at + 1, 0
+        del encoder
         give_back()
 
-    chunks = docs.mapInArrow(gather, chunk)
-    folded = chunks.select("rows", "places", "long", F.transform("words", lambda word: merged(word, rank)).alias("ids"))
-    return folded.mapInArrow(spread, StructType([*fields, StructField(name, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
 
 
 def pieces_of(ranks: Ranks) -> list[bytes]:

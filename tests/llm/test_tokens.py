@@ -139,3 +139,13 @@ def test_checksum_query(spark):
         assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids) + 1, crc)
         assert encoded[doc.doc_id].n_tokens == len(ids)
         start += len(ids) + 1
+
+
+def test_words_are_merged_once_in_a_bounded_cache(documents):
+    """No pass over the texts before, no literal vocabulary in the plan, and the same ids however few words are held."""
+    ranks = bpe.read_ranks(RANKS)
+    texts = ["alpha beta gamma-delta", "zqxj zqxj alpha", "日本 ñandú  x", None, "qwzx " * 50]
+    encoded = bpe.encode(documents(texts), ranks, P.PATTERN, kept=2)
+    assert "aggregate(" not in encoded._jdf.queryExecution().optimizedPlan().toString().lower()
+    plain = reference()
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {i: plain.encode_ordinary(t or "") for i, t in enumerate(texts)}
