@@ -2,7 +2,7 @@
 
 Text is split into words by the tokenizer's pattern, and each word starts as its bytes: the pair of
 neighbouring pieces of the lowest rank is joined, the first one if there are several, until no pair has a
-rank. Pairs wait in a heap, so a word of any length takes little more than time in proportion to it.
+rank. The pairs of a long word wait in a heap, so it takes little more than time in proportion to its length.
 A word that is a piece itself is that piece, as in the library. Documents are worked through batch by
 batch where they are, each different word of a task once while a bounded cache holds it. Texts are not
 shuffled, so documents, however skewed, never meet, and a lost task is simply run again.
@@ -32,6 +32,9 @@ Ranks = dict[bytes, int]
 CHUNK_CHARS = 2 << 20
 #: So many different words, and as many stretches between spaces, at most are held with their ids.
 KEPT = 1 << 17
+#: Words of more bytes are merged with a heap.
+SHORT = 32
+_NO_RANK = 1 << 62
 _ROWS = 1024
 
 
@@ -42,13 +45,33 @@ def read_ranks(path: str) -> Ranks:
 
 
 def merged(word: bytes, ranks: Ranks, most: int) -> list[int]:
-    """The ids of one word; no piece has more than ``most`` bytes.
-
-    Pairs wait in a heap by rank and place. One whose pieces have been joined to others since is passed over.
-    """
+    """The ids of one word; no piece has more than ``most`` bytes."""
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
+    return _merged_short(word, ranks) if len(word) <= SHORT else _merged_long(word, ranks, most)
+
+
+def _merged_short(word: bytes, ranks: Ranks) -> list[int]:
+    """By a look at all pairs for each join, which is faster than a heap for few."""
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], _NO_RANK) for i in range(len(word) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == _NO_RANK:
+            break
+        at = pairs.index(best)
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = ranks.get(pieces[at - 1] + pieces[at], _NO_RANK)
+        if at < len(pairs):
+            pairs[at] = ranks.get(pieces[at] + pieces[at + 1], _NO_RANK)
+    return [ranks[piece] for piece in pieces]
+
+
+def _merged_long(word: bytes, ranks: Ranks, most: int) -> list[int]:
+    """Pairs wait in a heap by rank and place. One whose pieces have been joined to others since is passed over."""
     n = len(word)
     end = list(range(1, n + 1))  # of the piece that starts at a place; 0 if none does
     before = list(range(-1, n))  # where the piece before it starts
