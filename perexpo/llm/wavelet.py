@@ -21,12 +21,15 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +40,10 @@ from perexpo.llm.common import stored
 END_ID = 2
 #: A shard ends with the document that reaches this number of ids.
 SHARD_IDS = 1 << 20
-_WORDS_KEPT, _STRETCHES_KEPT = 1 << 18, 1 << 17
+#: So many different words are held with their ids, and as many of those before them.
+_WORDS_KEPT = 3 << 16
+#: Texts are cut into stretches chunk by chunk, of so many characters.
+_CHUNK_CHARS = 4 << 20
 #: Bits between two entries of the stored rank directory.
 _STEP = 512
 
@@ -61,12 +67,14 @@ class WaveletMatrix:
         zeros, planes = [], []
         now = ids
         for bit in reversed(range(bits)):
-            is_one = (now >> bit & 1).astype(bool)
-            low = now[~is_one]
-            now = np.concatenate([low, now[is_one]])
-            zeros.append(len(low))
+            is_one = (now & now.dtype.type(1 << bit)) != 0
             packed = np.packbits(is_one, bitorder="little").tobytes()
             planes.append(np.frombuffer(packed + bytes(-len(packed) % 8), dtype="<u8"))
+            zeros.append(len(now) - np.count_nonzero(is_one))
+            dealt = np.empty_like(now)
+            np.compress(is_one, now, out=dealt[zeros[-1] :])
+            np.compress(~is_one, now, out=dealt[: zeros[-1]])
+            now = dealt
         return cls(len(ids), zeros, planes, [_before(p) for p in planes])
 
     def _rank(self, level: int, place: np.ndarray) -> np.ndarray:
@@ -160,102 +168,148 @@ def _before(plane: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.bitwise_count(plane), dtype=np.int64)])
 
 
-class _Kept(dict):
-    """A bounded cache: when it is full, what was not asked for since it was last full goes."""
-
-    def __init__(self, most: int, make):
-        self.most, self.make, self.older = most, make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class Encoder:
     """Ids of texts by a public tokenizer, as little-endian bytes of ``dtype``.
 
-    Stretches between spaces always start a pre-token, so each different one is encoded
-    once and kept, up to a bound. Texts in which a space meets other white space go to the
-    tokenizer's own splitting whole, as do stretches of more than letters and single marks.
+    Stretches between spaces always start a pre-token, so each different one of a chunk of texts
+    is split once, and each different word encoded once and kept, up to a bound. Texts in which a
+    space meets other white space are split whole. The splitting is the byte-level one, by its own
+    pattern; where signs beyond the Latin letters come in, the library splits.
 
     The definition's added tokens are found before anything else, and what lies between two
     of them is a text of its own, as in the library. Added tokens that take more than their
-    own characters, or not every place, are left to the library.
+    own characters, or not every place, and other ways of splitting are left to the library.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         read = json.loads(definition)
         added = read.get("added_tokens") or []
+        splits = read.get("pre_tokenizer") or {}
+        byte_level = splits.get("type") == "ByteLevel" and not splits.get("add_prefix_space") and splits.get("use_regex", True)
         plain = not read.get("normalizer") and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip"))
         self.added = {t["content"]: t["id"] for t in added}
         # Of those that start at one place the longest counts.
         self.marked = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
-        self.whole_texts = not plain
+        self.whole_texts = not (plain and byte_level)
         self.bits = max(self.tokenizer.get_vocab_size() - 1, 1).bit_length()
         self.code = "H" if self.bits <= 16 else "I"
         self.dtype = np.dtype(f"<u{array(self.code).itemsize}")
-        self.words = _Kept(_WORDS_KEPT, self._word)
-        self.stretches = _Kept(_STRETCHES_KEPT, self._stretch)
-
-    def _word(self, word: str) -> bytes:
-        """One pre-token in the alphabet of the byte-level model."""
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return b"".join([self.words[word] for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)])
-
-    def _stretch(self, piece: str) -> bytes:
-        """A space and what follows it up to the next."""
-        out: list[bytes] = []
-        lead = "Ġ"
-        for part in piece.split("\n"):
-            letters = part[:-1] if part[-1:] in _MARKS else part
-            if not letters.isalpha():
-                return self._whole(" " + piece)
-            if letters.isascii():
-                word = letters
-            elif max(letters) < _BEYOND_LATIN:
-                word = letters.encode().decode("latin-1").translate(_ALPHABET)
-            else:
-                return self._whole(" " + piece)
-            if not lead:
-                out.append(self.words[_NEWLINE])
-            out.append(self.words[lead + word])
-            if len(part) > len(letters):
-                out.append(self.words[part[-1]])
-            lead = ""
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, each given to the model in the byte-level alphabet."""
+        tokenize = self.tokenizer.model.tokenize
+        # All are translated at once, unless a word itself holds what stands between two.
+        signs = "\0".join(words).encode().decode("latin-1").translate(_ALPHABET).split(_NULL)
+        if len(signs) != len(words):
+            signs = [word.encode().decode("latin-1").translate(_ALPHABET) for word in words]
+        return [array(self.code, [t.id for t in tokenize(s)]).tobytes() for s in signs]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of different pre-tokens. When the cache is full, what was not asked for since it was last full goes."""
+        older = self.older.get
+        found = [older(word) if ids is None else ids for word, ids in zip(words, map(self.words.get, words), strict=True)]
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        for at, ids in zip(missing, self._new([words[at] for at in missing]), strict=True):
+            found[at] = ids
+        if len(self.words) >= _WORDS_KEPT:
+            self.words, self.older = {}, self.words
+        self.words.update(zip(words, found, strict=True))
+        return found
+
+    def _split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        if _BEYOND_LATIN.search(text):
+            return [text[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return _PRE_TOKENS.findall(text)
+
+    def _plain(self, texts: list[str]) -> pa.LargeBinaryArray:
+        """The ids of texts without added tokens."""
+        split = self._split if _BEYOND_LATIN.search("".join(texts)) else _PRE_TOKENS.findall
+        words: list[str] = []
+        sizes = array("q")
+        for text in texts:
+            some = split(text)
+            sizes.append(len(some))
+            words += some
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        del words
+        ids = pa.array(self._known(_strings(coded.dictionary)), pa.large_binary()).take(coded.indices)
+        return _united(ids, np.frombuffer(sizes, np.int64))
+
+    def _marked(self, text: str) -> bytes:
+        """The ids of a text that may hold added tokens."""
         if self.whole_texts:
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if self.marked is None or not self.marked.search(text):
-            return self._plain(text)
-        out, at = [], 0
+        between, marks, at = [], [], 0
         for found in self.marked.finditer(text):
-            out += [self._plain(text[at : found.start()]), array(self.code, [self.added[found[0]]]).tobytes()]
+            between.append(text[at : found.start()])
+            marks.append(array(self.code, [self.added[found[0]]]).tobytes())
             at = found.end()
-        return b"".join([*out, self._plain(text[at:])])
-
-    def _plain(self, text: str) -> bytes:
-        """A text without added tokens."""
-        if _meets_space(text):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        return self._whole(first) + b"".join(map(self.stretches.__getitem__, rest))
+        parts = self._plain([*between, text[at:]]).to_pylist()
+        return b"".join(chain.from_iterable(zip(parts, [*marks, b""], strict=True)))
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other and the end id behind each, and where each text ends."""
+        marked = [self.whole_texts or bool(self.marked and self.marked.search(text)) for text in texts]
+        whole = [mark or _meets_space(text) for text, mark in zip(texts, marked, strict=True)]
+        pieces = pc.split_pattern(pa.array([("" if w else t) for t, w in zip(texts, whole, strict=True)], pa.large_string()), " ")
+        bounds = pieces.offsets.to_numpy().astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        stretches = [" " + piece for piece in _strings(coded.dictionary)]
+        # The first piece of a text follows no space, and a text that is not cut is one piece.
+        firsts = ["" if m else t if w else t.split(" ", 1)[0] for t, m, w in zip(texts, marked, whole, strict=True)]
+        end = np.array([end_id], dtype=self.dtype).tobytes()
+        more = [self._marked(t) for t, m in zip(texts, marked, strict=True) if m]
+        each = pa.concat_arrays([self._plain(stretches + firsts), pa.array([end, *more], pa.large_binary())])
+        order = coded.indices.to_numpy().astype(np.int64)
+        first = len(stretches) + np.arange(len(texts))
+        first[np.flatnonzero(marked)] = len(stretches) + len(texts) + 1 + np.arange(len(more))
+        order[bounds[:-1]] = first
+        order = np.insert(order, bounds[1:], len(stretches) + len(texts))
+        found = _united(each.take(pa.array(order)), np.diff(bounds) + 1)
+        return _flat(found, self.dtype), np.frombuffer(found.buffers()[1], np.int64)[1 : len(texts) + 1] // self.dtype.itemsize
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _flat(column: pa.LargeBinaryArray, dtype: np.dtype) -> np.ndarray:
+    """The bytes of all rows as numbers."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if data else np.empty(0, dtype)
+
+
+def _united(column: pa.LargeBinaryArray, sizes: np.ndarray) -> pa.LargeBinaryArray:
+    """Runs of so many rows each, put together. The column does not start within another one."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64) if len(column) else np.zeros(1, np.int64)
+    bounds = np.ascontiguousarray(offsets[np.concatenate([[0], np.cumsum(sizes)])])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), column.buffers()[2] or pa.py_buffer(b"")])
+
+
+#: The first code points after the Latin letters, before which all Unicode versions agree on what is a letter.
+_BEYOND = 0x250
+_BEYOND_LATIN = re.compile(f"[^\0-{chr(_BEYOND - 1)}]")
+
+
+def _kinds(kind: str) -> str:
+    """The Latin signs of a Unicode category, as they stand in a set of a pattern."""
+    return "".join(re.escape(chr(c)) for c in range(_BEYOND) if unicodedata.category(chr(c)).startswith(kind))
+
+
+def _pre_tokens() -> re.Pattern:
+    """The byte-level model's own pattern, its classes spelt out."""
+    letters, numbers, spaces = _kinds("L"), _kinds("N"), "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0"
+    return re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+    )
 
 
-#: A single one of these after letters and before a space or a new line is a word of its own.
-_MARKS = tuple(".,;:!?")
-#: The first code point after the Latin letters, for which all Unicode versions agree on what is a letter.
-_BEYOND_LATIN = chr(0x250)
+_PRE_TOKENS = _pre_tokens()
 
 
 def _alphabet() -> dict[int, int]:
@@ -266,7 +320,7 @@ def _alphabet() -> dict[int, int]:
 
 
 _ALPHABET = _alphabet()
-_NEWLINE = chr(_ALPHABET[ord("\n")])
+_NULL = chr(_ALPHABET[0])
 
 
 def _meets_space(text: str) -> bool:
@@ -284,6 +338,21 @@ _SPACES = [
 ]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts, a null text as an empty one, in chunks that end with the text that reaches _CHUNK_CHARS."""
+    for batch in batches:
+        ids, texts, size = [], [], 0
+        for name, value in zip(batch["doc_id"], batch["text"], strict=True):
+            ids.append(name.as_py())
+            texts.append(value.as_py() or "")
+            size += len(texts[-1])
+            if size >= _CHUNK_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
+
 @functools.lru_cache(maxsize=1)
 def _encoder(definition: str) -> Encoder:
     """Kept by the worker from task to task."""
@@ -304,38 +373,41 @@ def write_shards(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition)
         bits = max(encoder.bits, end_id.bit_length())
-        end = np.array([end_id], dtype=encoder.dtype).tobytes()
-        width = encoder.dtype.itemsize
         part, shard = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
-        parts: list[bytes] = []
+        lengths: list[int] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def row() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), dtype=encoder.dtype)
+            ids = np.concatenate(parts)
             zeros, planes, ranks = WaveletMatrix.of(ids, bits).columns()
             values = {
                 "part": [part],
                 "shard": [shard],
                 "doc_ids": [list(names)],
-                "lengths": [[len(p) // width for p in parts]],
+                "lengths": [list(lengths)],
                 "n_tokens": [len(ids)],
                 "zeros": [zeros],
                 "planes": [planes],
                 "ranks": [ranks],
             }
-            names.clear()
-            parts.clear()
+            for held in (names, lengths, parts):
+                held.clear()
             return pa.RecordBatch.from_pydict(values, schema=_ARROW)
 
-        for batch in batches:
-            for name, value in zip(batch["doc_id"], batch["text"], strict=True):
-                names.append(name.as_py())
-                parts.append(encoder.encode(value.as_py() or "") + end)
-                size += len(parts[-1]) // width
+        for ids, texts in _chunks(batches):
+            flat, ends = encoder.encode(texts, end_id)
+            at = before = 0
+            for name, end in zip(ids, ends.tolist(), strict=True):
+                names.append(name)
+                lengths.append(end - before)
+                size, before = size + end - before, end
                 if size >= shard_ids:
+                    parts.append(flat[at:end])
                     yield row()
-                    shard, size = shard + 1, 0
+                    shard, size, at = shard + 1, 0, end
+            parts.append(flat[at:])
         if names:
             yield row()
 
@@ -389,8 +461,15 @@ def matrix(row: dict) -> WaveletMatrix:
     return WaveletMatrix.read(row["n_tokens"], row["zeros"], row["planes"], row["ranks"])
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every document, in the order of its shard."""
+def read_documents(
+    shards: DataFrame,
+    then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = iter,
+    schema: str = "doc_id bigint, start bigint, ids array<int>",
+) -> DataFrame:
+    """(doc_id, start, ids) of every document, in the order of its shard.
+
+    What is to be made of them in the same task, ``then`` makes, as rows of ``schema``.
+    """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,7 +490,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                         ["doc_id", "start", "ids"],
                     )
 
-    return shards.mapInArrow(unpack, "doc_id bigint, start bigint, ids array<int>")
+    return shards.mapInArrow(lambda batches: then(unpack(batches)), schema)
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:

@@ -149,3 +149,28 @@ def test_words_are_merged_once_in_a_bounded_cache(documents):
     assert "aggregate(" not in encoded._jdf.queryExecution().optimizedPlan().toString().lower()
     plain = reference()
     assert {r.doc_id: r.ids for r in encoded.collect()} == {i: plain.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_words_of_a_chunk_are_encoded_once_and_split_as_by_the_library():
+    """Every sign up to those beyond Latin between letters, numbers, spaces and marks; null signs and added tokens too."""
+    encoder = wavelet.Encoder(definition())
+    signs = [chr(c) for c in [*range(0x260), 0x300, 0x2003, 0x2014, 0x65E5, 0x1F600]]
+    texts = [f"a{s}b 1{s}2 {s} {s}{s}, it{s}s'll {s}x\n{s}" for s in signs]
+    texts += ["", " ", "\0", "a\0b c\0", "<|endoftext|>", "x <|endoftext|>  y", "日本 <|endoftext|>"] + ["same words here"] * 50
+    seen, new = [], encoder._new
+    encoder._new = lambda words: seen.extend(words) or new(words)
+    ids, ends = encoder.encode(texts, 2)
+    tokenizer = Tokenizer.from_str(definition())
+    start = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert ids[start:end].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+        start = end
+    assert len(seen) == len(set(seen))
+
+
+def test_digests_are_made_in_the_task_that_reads_a_shard(spark):
+    """Once the ids went through the JVM to a second step in Python."""
+    from perexpo.llm.queries import QUERIES
+
+    plan = QUERIES["op9_wavelet"](spark, f"{TESTDATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
