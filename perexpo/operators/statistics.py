@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from perexpo.operators.rates import top_k
 from perexpo.sources.tables import materialize
 
+#: Ranks of columns with few values, one for each partner and value, are broadcast up to this number in all.
+BROADCAST_NUMBERS = 1_000_000
+
 
 def _corr(x: Column, y: Column) -> Column:
     """Linear correlation over the rows where both are known; NULL where a column does not vary."""
@@ -86,66 +90,121 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x, y, pearson, spearman, n) for every two of the columns, each over the rows where both are known.
 
-    Rows become different combinations with their numbers. The values of all columns are then
-    ranked together, in one pass over (column, value): a value counts once for every partner column, by
-    the rows in which that partner is known, because those are the rows its rank is among. One
-    join brings all ranks back to the combinations and one aggregate makes all pairs. What
-    is broadcast or read by the driver is nothing but the numbers of rows, one for each two columns.
+    The values of all columns are ranked together, in one pass over (column, value): a value
+    counts once for every partner column, by the rows in which that partner is known, because those
+    are the rows its rank is among. What is multiplied are deviations from the mean, of values and of
+    ranks. Of two columns, the one with more different values is ``c`` below: the rows get its ranks,
+    which are summed up by the values of the partner, and only these sums meet the partner's ranks.
+    Ranks of columns with few values are broadcast; for the others a row is shuffled once
+    per column, whatever the number of partners. The driver reads, for each two columns, the number
+    of rows and the means, and for each column its number of different values.
     """
     p, names = len(cols), list(cols)
     each = range(p)
-    doubles = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)]
-    grouped = df.select(*doubles).groupBy(*[f"c{i}" for i in each]).agg(F.count("*").alias("n"))
-    combos = materialize(grouped.withColumn("combo", F.monotonically_increasing_id()), "combinations")
-    known = [F.col(f"c{i}").isNotNull() for i in each]
-    melted = combos.select(
-        "combo", "n", *[k.alias(f"k{i}") for i, k in enumerate(known)], F.posexplode(F.array(*[f"c{i}" for i in each])).alias("c", "v")
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    melted = rows.select(
+        *[F.col(f"c{j}").isNotNull().alias(f"k{j}") for j in each], F.posexplode(F.array(*[f"c{i}" for i in each])).alias("c", "v")
     ).where(F.col("v").isNotNull())
-    counts = melted.groupBy("c", "v").agg(*[F.sum(F.when(F.col(f"k{j}"), F.col("n")).otherwise(0)).alias(f"n{j}") for j in each])
-    ranks = _partner_ranks(counts, p)
-    back = melted.select("combo", "n", "c", "v").join(ranks, ["c", "v"]).groupBy("combo").agg(
-        F.first("n").alias("n"), *[F.max(F.when(F.col("c") == i, F.col("ranks"))).alias(f"r{i}") for i in each]
-    )
-    pairs = [(i, j) for i in each for j in range(i + 1, p)]
-    w = F.col("n").cast("double")
-    sizes = combos.agg(F.array(*[F.coalesce(F.sum(F.when(known[i] & known[j], F.col("n"))), F.lit(0)) for i, j in pairs])).scalar()
+    counts = melted.groupBy("c", "v").agg(*[F.count_if(f"k{j}").alias(f"n{j}") for j in each])
+    ranks, facts = _partner_ranks(counts, p)
+    means = F.array(*[F.lit(m).cast("double") for c in each for m in facts[c]["means"]])
+
+    def off(v: Column, c: Column, partner: Column) -> Column:
+        return v - F.get(means, c * p + partner)
+
+    order = sorted(each, key=lambda c: (facts[c]["n_values"], c))
+    few, numbers = set(), 0
+    for c in order:
+        numbers += p * facts[c]["n_values"]
+        if numbers <= BROADCAST_NUMBERS:
+            few.add(c)
+
+    def ranks_of(some: set[int]) -> DataFrame:
+        found = ranks.where(F.col("c").isin(*some)).select("c", "v", "ranks")
+        return F.broadcast(found) if some <= few else found
+
+    c, v, partner, u = F.col("c"), F.col("v"), F.col("partner"), F.col("u")
+    paired = F.array(*[F.lit(order.index(j) < order.index(i)) for i in each for j in each])
     sums = []
-    for at, (i, j) in enumerate(pairs):
-        middle = (F.col("sizes")[at] + 1) / 2
-        a, b = F.get(f"r{i}", F.lit(j)) - middle, F.get(f"r{j}", F.lit(i)) - middle
-        both = F.col(f"r{i}").isNotNull() & F.col(f"r{j}").isNotNull()
-        moments = [F.sum(F.when(both, w * x * y)) for x, y in ((a, b), (a, a), (b, b))]
-        sums.append(F.try_divide(moments[0], F.sqrt(moments[1]) * F.sqrt(moments[2])))
-    spearman_of = back.withColumn("sizes", sizes).agg(F.array(*sums).alias("s")).select("s").scalar()
-    linear = df.select(*doubles).agg(
-        F.array(*[F.struct(_corr(F.col(f"c{i}"), F.col(f"c{j}")).alias("r"), F.count_if(known[i] & known[j]).alias("n")) for i, j in pairs]).alias("l")
+    for some in (few, set(each) - few):
+        if some:
+            of_rows = rows.select("*", F.posexplode(F.array(*[F.when(F.lit(i in some), F.col(f"c{i}")) for i in each])).alias("c", "v"))
+            placed = of_rows.where(v.isNotNull()).join(ranks_of(some), ["c", "v"])
+            met = placed.select("c", "v", "ranks", F.posexplode(F.array(*[f"c{i}" for i in each])).alias("partner", "u"))
+            met = met.where(u.isNotNull() & F.get(paired, c * p + partner))
+            sums.append(
+                met.groupBy("c", "partner", "u").agg(
+                    F.sum(F.get("ranks", partner)).alias("r"), F.sum(off(v, c, partner) * off(u, partner, c)).alias("l")
+                )
+            )
+    summed = functools.reduce(DataFrame.unionByName, sums)
+    others = ranks_of(set(order[:-1])).select(c.alias("partner"), v.alias("u"), "ranks")
+    products = summed.join(others, ["partner", "u"]).groupBy("c", "partner").agg(
+        F.sum(F.get("ranks", c) * F.col("r")).alias("rr"), F.sum("l").alias("ll")
+    )
+    squares = ranks.select("c", "v", "ranks", F.posexplode("ns").alias("partner", "n")).where(F.col("n") > 0)
+    w, a, d = F.col("n").cast("double"), F.get("ranks", partner), off(v, c, partner)
+    squares = squares.groupBy("c", "partner").agg(F.sum(w * a * a).alias("rr"), F.sum(w * d * d).alias("ll"))
+    i, j = F.least("c", "partner").alias("i"), F.greatest("c", "partner").alias("j")
+    moments = products.select(i, j, F.lit(2).alias("side"), "rr", "ll").unionByName(
+        squares.select(i, j, (c > partner).cast("int").alias("side"), "rr", "ll")
     )
-    labels = F.array(*[F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y")) for i, j in pairs])
-    rows = linear.select(F.posexplode("l").alias("at", "l"), spearman_of.alias("s"), labels.alias("labels"))
-    return rows.select(
-        F.col("labels")[F.col("at")]["x"].alias("x"),
-        F.col("labels")[F.col("at")]["y"].alias("y"),
-        F.col("l.r").alias("pearson"),
-        F.get("s", F.col("at")).alias("spearman"),
-        F.col("l.n").alias("n"),
+    of = {(m, at): F.sum(F.when(F.col("side") == at, F.col(m))) for m in ("rr", "ll") for at in range(3)}
+    found = moments.groupBy("i", "j").agg(
+        *[F.try_divide(of[m, 2], F.sqrt(of[m, 0]) * F.sqrt(of[m, 1])).alias(r) for m, r in (("ll", "pearson"), ("rr", "spearman"))]
     )
+    labels = [
+        F.struct(*[F.lit(of).alias(name) for of, name in ((i, "i"), (j, "j"), (names[i], "x"), (names[j], "y"))],
+                 F.lit(facts[i]["sizes"][j]).cast("long").alias("n"))
+        for i in each
+        for j in range(i + 1, p)
+    ]
+    listed = df.sparkSession.range(1).select(F.inline(F.array(*labels)))
+    return listed.join(F.broadcast(found), ["i", "j"], "left").select("x", "y", "pearson", "spearman", "n")
 
 
-def _partner_ranks(counts: DataFrame, p: int) -> DataFrame:
-    """(c, v, ranks) from (c, v, n0, n1, ...): for each partner the average rank of v in column c.
+def _partner_ranks(counts: DataFrame, p: int) -> tuple[DataFrame, dict[int, dict]]:
+    """(c, v, ns, ranks) from (c, v, n0, n1, ...), and for each column its number of values, and by partner its rows and mean.
 
+    ``ranks`` holds for each partner how far the average rank of v in column c is from the mean rank.
     Columns and values are dealt out by range together; a running sum in each part and the
     totals of the parts before it give the ranks of all columns at once.
     """
     parts = materialize(counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()), "column-ranges")
-    totals = parts.groupBy("c", "part").agg(*[F.sum(f"n{j}").alias(f"t{j}") for j in range(p)])
+    each, held = range(p), [F.when(F.col(f"n{j}") > 0, F.col("v")) for j in range(p)]
+    totals = parts.groupBy("c", "part").agg(
+        F.count("*").alias("n_values"),
+        *[F.sum(f"n{j}").alias(f"t{j}") for j in each],
+        *[F.sum(held[j] * F.col(f"n{j}")).alias(f"sum{j}") for j in each],
+        *[F.min(held[j]).alias(f"min{j}") for j in each],
+        *[F.max(held[j]).alias(f"max{j}") for j in each],
+    )
+    totals = materialize(totals, "column-totals")
+    # Rounded, the mean of equal values may be another number than they are.
+    mean = [F.greatest(F.min(f"min{j}"), F.least(F.max(f"max{j}"), F.sum(f"sum{j}") / F.sum(f"t{j}"))) for j in each]
+    facts = totals.groupBy("c").agg(
+        F.sum("n_values").alias("n_values"),
+        F.array(*[F.sum(f"t{j}") for j in each]).alias("sizes"),
+        F.array(*[F.when(F.sum(f"t{j}") > 0, mean[j]) for j in each]).alias("means"),
+    )
+    read = {c: {"n_values": 0, "sizes": [0] * p, "means": [None] * p} for c in each}
+    read |= {r["c"]: r.asDict() for r in facts.collect()}
     # A column has one row here for each part that it touches.
     earlier = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("c", "part", *[F.coalesce(F.sum(f"t{j}").over(earlier), F.lit(0)).alias(f"s{j}") for j in range(p)])
+    whole = Window.partitionBy("c")
+    starts = totals.select(
+        "c",
+        "part",
+        *[F.coalesce(F.sum(f"t{j}").over(earlier), F.lit(0)).alias(f"s{j}") for j in each],
+        *[F.sum(f"t{j}").over(whole).alias(f"size{j}") for j in each],
+    )
     inside = Window.partitionBy("c", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = parts.select("c", "part", "v", *[f"n{j}" for j in range(p)], *[F.sum(f"n{j}").over(inside).alias(f"b{j}") for j in range(p)])
-    rank = [F.col(f"s{j}") + F.coalesce(f"b{j}", F.lit(0)) + (F.col(f"n{j}") + 1) / 2 for j in range(p)]
-    return ranked.join(starts, ["c", "part"]).select("c", "v", F.array(*rank).alias("ranks"))
+    ranked = parts.select("c", "part", "v", *[f"n{j}" for j in each], *[F.sum(f"n{j}").over(inside).alias(f"b{j}") for j in each])
+    rank = [F.col(f"s{j}") + F.coalesce(f"b{j}", F.lit(0)) + (F.col(f"n{j}") - F.col(f"size{j}")) / 2 for j in each]
+    ranked = ranked.join(starts, ["c", "part"]).select("c", "v", *[f"n{j}" for j in each], *[r.alias(f"r{j}") for j, r in enumerate(rank)])
+    # Written column by column: lists of numbers take several times as long.
+    flat = materialize(ranked, "column-ranks")
+    return flat.select("c", "v", F.array(*[f"n{j}" for j in each]).alias("ns"), F.array(*[f"r{j}" for j in each]).alias("ranks")), read
 
 
 def log10(df: DataFrame, col: str, out: str) -> DataFrame:

@@ -97,6 +97,50 @@ def test_ranks_of_all_columns_take_one_range_exchange(spark):
     assert found.count("SortMergeJoin") + found.count("BroadcastHashJoin") <= 4
 
 
+def test_rows_are_not_put_together_again_after_the_join(spark):
+    """Ranks that go back to each row, in lists by its number, are sorted and shuffled with all rows once per column."""
+    df = spark.range(100).select(*[(F.col("id") * k % 7).alias(f"c{k}") for k in range(1, 7)])
+    found = plan(statistics.correlation_matrix(df, df.columns))
+    assert "SortAggregate" not in found and "SortMergeJoin" not in found
+
+
+@pytest.mark.parametrize("limit", [0, 200, 10**6])
+def test_matrix_with_ranks_broadcast_or_shuffled(spark, monkeypatch, limit):
+    """No column's ranks are broadcast, those of two, or all."""
+    monkeypatch.setattr(statistics, "BROADCAST_NUMBERS", limit)
+    rng = random.Random(5)
+    cols = ["a", "b", "c", "d"]
+    data = [[rng.randint(0, 8), rng.gauss(0, 5), rng.randint(0, 20), rng.randint(0, 300)] for _ in range(500)]
+    data = [[r[0], r[1] + r[0], *r[2:]] for r in data] + [[0, -1e3, 1, 2]] * 200
+    data = [[None if rng.random() < 0.2 else v for v in r] for r in data]
+    found = matrix(spark, data, cols)
+    assert list(found) == list(itertools.combinations(cols, 2))
+    frame = pd.DataFrame(data, columns=cols).astype(float)
+    for (x, y), r in found.items():
+        both = frame[[x, y]].dropna()
+        ranks = both.rank()
+        assert r.n == len(both)
+        assert r.pearson == pytest.approx(np.corrcoef(both[x], both[y])[0, 1], abs=1e-12)
+        assert r.spearman == pytest.approx(np.corrcoef(ranks[x], ranks[y])[0, 1], abs=1e-12)
+
+
+def test_matrix_takes_means_from_the_rows_of_each_pair(spark):
+    """A value far away in rows that the pair leaves out, and equal values whose mean is rounded."""
+    data = [[1e12 + i, None, 0.1] for i in range(20)] + [[i % 7, (i * i) % 5, 0.1] for i in range(60)]
+    found = matrix(spark, data, ["a", "b", "c"])
+    a, b = np.array([r[0] for r in data[20:]]), np.array([r[1] for r in data[20:]])
+    assert found["a", "b"].pearson == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-12)
+    assert (found["a", "c"].n, found["a", "c"].pearson, found["a", "c"].spearman) == (80, None, None)
+
+
+def test_matrix_with_values_that_are_no_numbers(spark):
+    df = spark.createDataFrame([(1.0, float("nan"), 2.0), (2.0, 1.0, 5.0), (3.0, 2.0, -0.0), (4.0, 3.0, 0.0)], "a double, b double, c double")
+    found = {(r.x, r.y): r for r in statistics.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    assert math.isnan(found["a", "b"].pearson) and math.isnan(found["b", "c"].pearson)
+    assert found["a", "b"].spearman == pytest.approx(np.corrcoef([1, 2, 3, 4], [4, 1, 2, 3])[0, 1])
+    assert found["a", "c"].spearman == pytest.approx(np.corrcoef([1, 2, 3, 4], [3, 4, 1.5, 1.5])[0, 1])
+
+
 def test_exact_counts_do_not_multiply_the_rows(spark):
     """Different values of several columns in one aggregate make a row for each of them, and sort all."""
     df = spark.createDataFrame([(1, "a", 0), (1, None, 0), (2, "b", 1), (2, "b", None)], "i int, t string, batch int")
